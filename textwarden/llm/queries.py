@@ -4,15 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textwarden.llm import mixing, quality, substring_dedup, suffix_dedup
+from textwarden.llm import language_id, lm_scoring, mixing, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _held_out(parts: int, part: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", _held_out(3, 1))
+    model = language_id.fit(docs.where("NOT held_out").select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model, extra={"held_out": F.col("held_out")})
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> tuple | None:
+    labels = _read(spark, sf_dir, "labels").where(~_held_out(4, 2)).select("doc_id", "toxic")
+    return toxicity.fit(_read(spark, sf_dir, "documents"), labels)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", _held_out(4, 2).alias("held_out"), "text")
+    out = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return out.selectExpr("doc_id", "held_out", "toxic_score AS score", f"cast(toxic_score >= {toxicity.THRESHOLD} AS int) AS predicted", "n_sentences", "cast(size(offending) AS bigint) AS n_offending")
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -33,8 +59,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op5_mixing, op7_suffix_array_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op7_suffix_array_dedup, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE}
+    return {"op3_lm_scoring": lm_scoring.ORACLE, "op5_mixing": mixing.ORACLE}
