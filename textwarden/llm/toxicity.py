@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; only documents have labels. A sentence's probability is the
-logistic of a sum of weights of its hashed byte n-grams (A-Z lowered, white space as one
-space byte); the document's is the noisy-or of its sentences', 1 - prod(1 - p). Weights
+logistic of a sum of weights of its hashed words (runs of letters and digits, A-Z and Latin-1
+capitals lowered); the document's is the noisy-or of its sentences', 1 - prod(1 - p). Weights
 are trained through the noisy-or by Adagrad, so a toxic label moves the sentences that
 explain it, and the sentence scores locate the offending ones.
 
@@ -24,17 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textwarden.llm.blocks import _SPACE
+from textwarden.llm.hashing import Rolling
 
 BITS = 18
-#: Byte n-gram orders.
-ORDERS = (4, 6, 8)
+#: Texts are hashed in pieces of about so many bytes.
 PIECE = 1 << 18
 THRESHOLD = 0.3
 
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += 32
-_FOLD[_SPACE] = 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
@@ -47,23 +45,34 @@ def sentence_starts(raw: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(end[:-1] & ~end[1:]) + 1))
 
 
-def slots(raw: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(offset, per order the hashed n-gram at each byte), piece by piece. Beyond the text lie spaces."""
-    look = max(ORDERS)
-    for a in range(0, len(raw), PIECE):
-        own = min(PIECE, len(raw) - a)
-        b = np.full(own + look - 1, 32, np.uint64)
-        got = _FOLD[raw[a : a + own + look - 1]]
-        b[: len(got)] = got
-        key, out = b, []
-        for k in range(2, look + 1):
-            key = (key[:-1] << np.uint64(8)) | b[k - 1 :]
-            if k in ORDERS:
-                out.append((((key[:own] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32))
-        yield a, out
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: int = 8192, epochs: int = 12, seed: int = 5) -> tuple[np.ndarray, float] | None:
+def fold(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of Latin-1 (lead byte C3) lowered."""
+    out = raw.copy()
+    out[(raw >= 65) & (raw <= 90)] += 32
+    second = np.zeros(len(raw), bool)
+    second[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+    out[second] += 32
+    return out
+
+
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and hashed slots of all words."""
+    places, slots, a = [], [], 0
+    while a < len(raw):
+        b = min(len(raw), a + PIECE)
+        while b < len(raw) and _LETTER[raw[b]] and _LETTER[raw[b - 1]]:  # up to the end of a word
+            b += 1
+        data = fold(raw[a:b])
+        step = np.diff(np.concatenate(([0], _LETTER[data].view(np.int8), [0])))
+        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        places.append(start + a)
+        slots.append((Rolling(data).of(start, end) >> np.uint64(64 - BITS)).astype(np.int32))
+        a = b
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(places), np.concatenate(slots)) if places else (none, none.astype(np.int32))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12000, max_bytes: int = 65536, epochs: int = 10, least_gain: float = 14.0, seed: int = 5) -> tuple[np.ndarray, float] | None:
     """Weights and bias from documents and (doc_id, toxic) rows."""
     each = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r.toxic: r.n for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic IN (0, 1)").collect()}
@@ -71,33 +80,43 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: in
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = {c: min(1.0, per_class / n) for c, n in size.items()}
-    chosen = each.where((F.col("toxic").isin(0, 1)) & (draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).limit(4 * per_class)
-    # chosen has at most 4 * per_class rows
-    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen), "doc_id").limit(4 * per_class).collect()
+    chosen = each.where((F.col("toxic").isin(0, 1)) & (draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).limit(2 * per_class + 1000)
+    # chosen has at most 2 * per_class + 1000 rows
+    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen), "doc_id").limit(2 * per_class + 1000).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
-    if len({r.toxic for r in rows}) < 2:
-        return None
     bags = []
     for r in rows:
         raw = np.frombuffer(r.text.encode(), np.uint8)
-        starts = sentence_starts(raw)
-        sent = np.zeros(len(raw), np.int32)
-        sent[starts[1:]] = 1
-        bags.append((np.cumsum(sent, dtype=np.int32), np.stack([np.concatenate(x) for x in zip(*[o for _, o in slots(raw)], strict=True)])))
-    y = np.array([r.toxic for r in rows])
+        place, slot = words(raw)
+        if len(place):
+            _, of = np.unique(np.searchsorted(sentence_starts(raw), place, "right"), return_inverse=True)
+            bags.append((of.astype(np.int32), slot, r.toxic))
+    if len({x[2] for x in bags}) < 2:
+        return None
+    y = np.array([x[2] for x in bags])
     weight = np.where(y == 1, 1 / rate[1], 1 / rate[0])
     weight = weight / weight.mean()
-    w, bias = np.zeros(1 << BITS, np.float32), -5.0
+    # words that go with the label; the rest would only let training learn documents by heart
+    in_pos, in_neg = (np.bincount(np.concatenate([np.unique(x[1]) for x in bags if x[2] == c]), minlength=1 << BITS) for c in (1, 0))
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    both = in_pos + in_neg
+    share = n_pos / (n_pos + n_neg)
+    gain = 2 * sum(k * np.log(np.maximum(k, 1e-9) / np.maximum(both * q, 1e-9)) for k, q in ((in_pos, share), (in_neg, 1 - share)))
+    usable = (gain >= least_gain) & (both >= 3)
+    odds = np.log((in_pos + 0.5) / (n_pos + 1)) - np.log((in_neg + 0.5) / (n_neg + 1))
+    w = np.where(usable, np.clip(2 * odds, -2, 10), 0).astype(np.float32)
+    bias = -9.0
     seen, seen_b = np.full(1 << BITS, 1e-3, np.float32), 1e-3
+    rate_w = 0.05
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 32)):
             base, owner, idx, slot = 0, [], [], []
             for d in part:
-                s, h = bags[d]
+                s, h, _ = bags[d]
                 owner.append(np.full(s[-1] + 1, len(owner)))
-                idx.append(np.tile(s + base, len(ORDERS)))
-                slot.append(h.ravel())
+                idx.append(s + base)
+                slot.append(h)
                 base += int(s[-1]) + 1
             owner, idx, slot = np.concatenate(owner), np.concatenate(idx), np.concatenate(slot)
             p = 1 / (1 + np.exp(-np.clip(np.bincount(idx, w[slot], minlength=base) + bias, -30, 30)))
@@ -106,28 +125,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes: in
             pull = np.where(pos, -none / np.maximum(1 - none, 1e-9), 1.0) * weight[part]
             g = (pull[owner] * p / len(part)).astype(np.float32)
             grad = np.bincount(slot, g[idx], minlength=1 << BITS).astype(np.float32)
-            at = np.flatnonzero(grad)
+            at = np.flatnonzero((grad != 0) & usable)
             step = grad[at] + 1e-5 * w[at]
             seen[at] += step * step
-            w[at] -= 0.15 * step / np.sqrt(seen[at])
+            w[at] -= rate_w * step / np.sqrt(seen[at])
             gb = float(g.sum())
             seen_b += gb * gb
-            bias -= 0.15 * gb / np.sqrt(seen_b)
+            bias -= rate_w * gb / np.sqrt(seen_b)
     return w, bias
 
 
 def sentence_scores(raw: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the sentences and their probabilities."""
     starts = sentence_starts(raw)
-    z = np.full(len(starts), bias)
-    for a, hashed in slots(raw):
-        v = w[hashed[0]]
-        for h in hashed[1:]:
-            v += w[h]
-        lo = np.searchsorted(starts, a, "right") - 1
-        hi = np.searchsorted(starts, a + len(v), "left")
-        at = np.maximum(starts[lo:hi] - a, 0)
-        z[lo:hi] += np.add.reduceat(v, at)
+    place, slot = words(raw)
+    z = bias + np.bincount(np.searchsorted(starts, place, "right") - 1, w[slot], minlength=len(starts))
     return starts, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
