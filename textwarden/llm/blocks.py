@@ -41,10 +41,10 @@ class Layout:
     buckets: int
 
 
-def layout(docs: DataFrame, text: str = "text") -> Layout:
+def layout(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Layout:
     """Counts of blocks and buckets in proportion to the bytes of text (one aggregate row)."""
     n = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return Layout(LEAST + n // BLOCK_BYTES, LEAST + n // BUCKET_BYTES)
+    return Layout(LEAST + n // block_bytes, LEAST + n // bucket_bytes)
 
 
 def blocked(docs: DataFrame, lay: Layout, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -66,21 +66,19 @@ def segments(s: Stream, plan: Plan, counts: pa.Table, buckets: int) -> list[tupl
     at, hashes = anchors(s, plan)
     values, place = np.unique(hashes, return_inverse=True)
     count = B.block_counts(values, counts)[place] if len(values) else np.zeros(0, np.uint32)
-    lone = np.zeros(n + 1, np.int64)
+    lone = np.zeros(n + 1, np.int32)
     lone[at[count < 2] + 1] = 1
-    lone = np.cumsum(lone)
-    hot = np.zeros(n + 1, np.int64)
+    lone = np.cumsum(lone, dtype=np.int32)
+    hot = np.zeros(n + 1, np.int32)
     hot[at[count >= plan.hot] + 1] = 1
-    hot = np.cumsum(hot)
+    hot = np.cumsum(hot, dtype=np.int32)
     span = w - plan.gram + 1
-    start = np.arange(n - w + 1)
-    left = (lone[start + span] == lone[start]) & B.inside(s.first, n, w)
+    left = (lone[span : n - w + 1 + span] == lone[: n - w + 1]) & B.inside(s.first, n, w)
     lo, hi = true_runs(left)
+    del lone, left
     if not len(lo):
         return []
     g = s.grams(plan.gram)
-    fine = s.grams(max(2, plan.gram // 4))
-    begins, ends, keys = [], [], []
     # all runs at once: their grams, laid end to end, are minimised and windows across a seam left out
     size = hi - lo
     window = expand(lo, size)
@@ -90,9 +88,10 @@ def segments(s: Stream, plan: Plan, counts: pa.Table, buckets: int) -> list[tupl
     tail = min(wide, max(4, plan.gram * 2))
     busy = hot[window + span] > hot[window]
     if busy.any():
+        fine = mix(s.grams(max(2, plan.gram // 4)))
+        low = sliding_min(fine, tail)
+        del fine
         for side in (0, wide - tail):  # the finest gram of the window's first and last part
-            v = mix(fine)
-            low = sliding_min(v, tail)
             key = np.where(busy, mix(key ^ low[np.minimum(window + side, len(low) - 1)]), key)
     new = np.ones(len(window), bool)
     new[1:] = (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1)
@@ -123,7 +122,7 @@ def repeated_starts(blocks: DataFrame, lay: B.Layout, plan: Plan, stream: Callab
 
     def send(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs):
-            return pa.table({k: pa.array([], v) for k, v in (("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.binary()))})
+            return pa.table({k: pa.array([], v) for k, v in (("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.list_(pa.binary())))})
         s = stream(docs)
         rows = []
         for bucket, places, copies, lengths in segments(s, plan, back, buckets):

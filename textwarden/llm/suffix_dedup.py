@@ -26,6 +26,8 @@ from textwarden.llm.hashing import expand, true_runs
 
 #: Anchors are 32-byte grams, one in 24.
 GRAM, EVERY = 32, 24
+#: Bytes are symbols here, each with some 100 bytes of working arrays, so blocks and buckets are small.
+BLOCK_BYTES, BUCKET_BYTES = 3 << 19, 6 << 20
 
 
 def _keys(text: np.ndarray) -> np.ndarray:
@@ -165,7 +167,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
 
     A byte goes if a string of ``width`` bytes that covers it also starts anywhere else.
     """
-    lay = B.layout(docs, text_col)
+    lay = B.layout(docs, text_col, BLOCK_BYTES, BUCKET_BYTES)
     blocks = B.blocked(docs, lay, id_col, text_col)
     plan = R.Plan(width=width, gram=min(GRAM, width), every=EVERY, symbols="uint8")
 
