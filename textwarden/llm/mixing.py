@@ -15,15 +15,23 @@ ignored by :func:`plan`. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.llm.storage import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 17
+#: Rows of the table of sources that may be sent to every task.
+BROADCAST_SOURCES = 10_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "source").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return docs.select("doc_id", "text", "source").withColumn("size", _size())
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -44,31 +52,39 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     )
 
 
-def plan(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every document."""
-    sized = sizes(docs)
-    per = targets(sized, **shares).withColumnRenamed("source", "its_source")
-    # a row per source: Spark broadcasts it under its size threshold and else deals both sides by source, splitting hot ones
-    joined = sized.join(per, F.col("source").eqNullSafe(F.col("its_source")))
-    draw = f"cast(conv(substring(md5(concat('{seed}|', coalesce(cast(doc_id AS string), md5(text), ''))), 1, 13), 16, 10) AS double) / 4503599627370496D"
+def _joined(sized: DataFrame, shares: dict) -> DataFrame:
+    """sized (with size, draw) beside its source's source_size and target, and copies.
+
+    The table of sources, a row each, is written once; up to BROADCAST_SOURCES rows it is sent to the tasks, beyond
+    that both sides are dealt by source and hot sources split by the adaptive join.
+    """
+    per = checkpointed(targets(sized.select("source", "size"), **shares).withColumnRenamed("source", "its_source"))
+    if per.count() <= BROADCAST_SOURCES:
+        per = F.broadcast(per)
     return (
-        joined.selectExpr("*", "CASE WHEN source_size = 0 THEN 0D ELSE target / source_size END AS rate")
-        .selectExpr("*", f"cast(floor(rate) AS int) + CASE WHEN {draw} < rate - floor(rate) THEN 1 ELSE 0 END AS copies")
-        .selectExpr("doc_id", "text", "source", "size", "source_size", "target", "size * copies AS taken", "copies")
+        sized.join(per, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+        .withColumn("rate", F.expr("CASE WHEN source_size = 0 THEN 0D ELSE target / source_size END"))
+        .withColumn("copies", F.expr("cast(floor(rate) AS int) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END"))
     )
 
 
+def _draw(seed: int) -> Column:
+    """A number in [0, 1) from 52 bits of the digest of seed and id."""
+    return F.expr(f"cast(conv(substring(md5(concat('{seed}|', coalesce(cast(doc_id AS string), md5(text), ''))), 1, 13), 16, 10) AS double) / 4503599627370496D")
+
+
+def plan(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every document. Texts aren't moved."""
+    sized = sizes(docs).withColumn("draw", _draw(seed)).drop("text")
+    return _joined(sized, shares).selectExpr("doc_id", "source", "size", "source_size", "target", "size * copies AS taken", "copies")
+
+
 def emit(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     """The mix itself: each document as often as planned, with its columns and ``copy`` from 1."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
-    kept = docs.select("doc_id", "text", "source", *[F.col(f"`{c}`") for c in others])
-    sized = kept.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    per = targets(sized.select("source", F.col("_size").alias("size")), **shares).select(F.col("source").alias("_src"), "source_size", "target")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
-    rate = F.when(F.col("source_size") == 0, 0.0).otherwise(F.col("target") / F.col("source_size"))
-    copies = F.floor(rate).cast("int") + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("_src"))).withColumn("_copies", copies)
-    return out.where("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.expr("sequence(1, _copies)")).alias("copy"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    sized = docs.select(whole).select("whole", F.col("whole.source").alias("source"), F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"))
+    sized = sized.withColumn("size", _size()).withColumn("draw", _draw(seed)).drop("text", "doc_id")
+    return _joined(sized, shares).where("copies > 0").select("whole", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("whole.*", "copy")
 
 
 ORACLE = r"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import language_id, lm_scoring, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from textwarden.llm import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), width=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -58,8 +63,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.summary(decontamination.find(docs, _read(spark, sf_dir, "benchmark")))
+
+
+#: The folder of public tokenizer files; a parameter of the environment, not of the repository.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = token_counts.load_sentencepiece(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocab).select("doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op7_suffix_array_dedup, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_quality_rules, op9_decontamination, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
