@@ -47,10 +47,10 @@ def layout(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
     return Layout(LEAST + n // block_bytes, LEAST + n // bucket_bytes)
 
 
-def blocked(docs: DataFrame, lay: Layout, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text); the same rows always come to the same block."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lay.blocks)).cast("int").alias("block"), "doc_id", "text")
+def blocked(docs: DataFrame, lay: Layout, id_col: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """(block, doc_id, text and the column to carry, if any); the same rows always come to the same block."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), *([carry] if carry else []))
+    return d.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lay.blocks)).cast("int").alias("block"), *d.columns)
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -79,7 +79,8 @@ class Block:
 
     def __init__(self, table: pa.Table):
         t = pa.table({"doc_id": table["doc_id"], "text": table["text"].cast(pa.large_binary())}).combine_chunks()
-        t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+        self.order = pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")])
+        t = t.take(self.order).combine_chunks()
         self.doc_id = t["doc_id"]
         col = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"]
         col = pc.fill_null(col, b"")

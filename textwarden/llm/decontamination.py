@@ -20,7 +20,8 @@ benchmark; one pass over the documents serves each chunk.
 
 Results for odd input: null or blank text has no words and isn't contaminated; items without words
 match nothing; equal items are all reported; repeated rows are judged alike; ties for the best similarity
-don't affect the ids reported; extra columns are kept by :func:`find`.
+don't affect the ids reported; extra columns are kept by :func:`find`,
+which replaces one named ``matches``.
 """
 
 from __future__ import annotations
@@ -249,7 +250,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS, agree: float = AGREE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns of docs and ``matches``: (start, end, item, similarity) of all windows of words that match an item."""
-    out = docs.withColumn("matches", F.expr("cast(array() AS array<struct<start:bigint,end:bigint,item:bigint,similarity:double>>)"))
+    out = docs.drop("_hits").withColumn("matches", F.expr("cast(array() AS array<struct<start:bigint,end:bigint,item:bigint,similarity:double>>)"))
     for chunk in _chunks(items, item_id, item_text):
         found = _scan(out, Index(chunk, similarity, tables_for(recall, agree, bits), bits))
         out = found.withColumn("matches", F.concat("matches", "_hits")).drop("_hits")

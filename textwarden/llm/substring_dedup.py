@@ -84,13 +84,13 @@ def _stream(table: pa.Table) -> R.Stream:
 SCHEMA = "doc_id long, text string, kept string, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: text, kept text, counts, removed spans (in words) and the digest of what is kept.
+def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """Per document: text, kept text, counts, removed spans (in words), the digest of what is kept, and the column ``carry``.
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else.
     """
     lay = B.layout(docs, text_col)
-    blocks = B.blocked(docs, lay, id_col, text_col)
+    blocks = B.blocked(docs, lay, id_col, text_col, carry)
     plan = R.Plan(width=width, gram=min(GRAM, width), every=EVERY, symbols="uint32")
 
     def work(docs: pa.Table, back: pa.Table) -> pa.Table:
@@ -117,6 +117,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
             "n_removed": pa.array(removed, pa.int64()),
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             "kept_sha256": pa.array(digest, pa.string()),
+            **({carry: docs[carry].take(b.order)} if carry else {}),
         })
 
-    return R.finish(blocks, R.repeated_starts(blocks, lay, plan, _stream, match), work, SCHEMA)
+    return R.finish(blocks, R.repeated_starts(blocks, lay, plan, _stream, match), work, SCHEMA + (f", {carry} {dict(docs.dtypes)[carry]}" if carry else ""))

@@ -13,7 +13,8 @@ texts fall into segments that are counted on their own and remembered (a bounded
 worker; what falls out is counted again). Scores are added in double precision.
 
 Results for odd input: null and empty text have 0 tokens; repeated rows are counted alike; texts of any
-length are counted whole in linear time; extra columns are kept.
+length are counted whole in linear time; extra columns are kept, but for one named
+``n_tokens``, which is replaced.
 """
 
 from __future__ import annotations
@@ -130,6 +131,7 @@ def load_sentencepiece(path: str) -> Vocabulary:
 
 def count_tokens(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> DataFrame:
     """The columns of docs and n_tokens. The vocabulary, a file of fixed size, goes with the task."""
+    docs = docs.drop("n_tokens")
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

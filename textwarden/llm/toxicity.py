@@ -12,7 +12,8 @@ Every text is scored whole.
 
 Results for odd input: null or empty text has no sentence and score 0.0; a document with several
 labels takes the largest; labels without a document or with a null class are ignored; repeated rows
-are scored alike; ties for the worst sentence go to the first; extra columns are kept by :func:`score`.
+are scored alike; ties for the worst sentence go to the first; extra columns are kept by
+:func:`score`, which replaces those with the names of its own.
 """
 
 from __future__ import annotations
@@ -145,6 +146,7 @@ def sentence_scores(raw: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.nda
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs (text only if it is among ``docs``), toxic_score, n_sentences, and the spans, in bytes, of offending sentences."""
+    docs = docs.drop("toxic_score", "n_sentences", "offending")
     names = docs.columns
     w, bias = model if model else (np.zeros(1 << BITS, np.float32), -30.0)
 
