@@ -5,7 +5,8 @@ documents' exploded n-grams join it in their blocks' sorted order, and log score
 summed per document (:func:`blocks.corpus_counts` has the exchange). Counts cover the whole corpus.
 
 S(w | h) = count(h w) / count(h) if count(h w) >= ``least``, else ``backoff`` * S(w | shorter h);
-S(w) = count(w) / words of the corpus. With ``least`` = 2, an n-gram that only the
+S(w) = count(w) / words of the corpus. N-grams are told apart by ``HASH_BITS`` bits of their hash: with
+10^9 different ones a count is wrong with probability 6e-8. With ``least`` = 2, an n-gram that only the
 document itself has once counts as unseen.
 
 Results for odd input: null or blank text has no words and the score 0.0; a document's first
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from textwarden.llm import blocks as B
 from textwarden.llm.hashing import Rolling
 
+HASH_BITS = 54
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -31,7 +33,8 @@ def _grams(table: pa.Table, order: int) -> tuple[B.Block, np.ndarray, list[np.nd
     b = B.Block(table)
     words, first = B.word_hashes(b, fold=True)
     roll = Rolling(words)
-    hashes = [roll.windows(k) for k in range(1, order + 1)]
+    high = np.uint64((1 << 64) - (1 << 64 - HASH_BITS))  # zero low bits cost nothing when packed
+    hashes = [roll.windows(k) & high for k in range(1, order + 1)]
     return b, first, hashes, [B.inside(first, len(words), k) for k in range(1, order + 1)]
 
 
