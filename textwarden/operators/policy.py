@@ -1,0 +1,61 @@
+"""The decision policy: defaults, merge with a file's values, and the thresholds rules read."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field, replace
+
+# Thresholds of the shipped policy.
+BLOCK_SCORE, WARN_PROB, BLOCK_PROB = 80, 0.11439897698209718, 0.6473913043478261
+CONTACT_CAP, SILENT_MAX, STRICT_FAMILIES = 70, 30, 2
+#: Sensitivity names of a knowledge base to (warn, block) probabilities.
+SENSITIVITY = {"block": (0.35, 0.55), "warn": (0.65, 0.92)}
+ACTION_RANK = {"silent": 0, "warn": 1, "block": 2}
+
+
+@dataclass(frozen=True)
+class Policy:
+    block_score: int = BLOCK_SCORE
+    warn_prob: float = WARN_PROB
+    block_prob: float = BLOCK_PROB
+    strict: bool = True
+    families: int = STRICT_FAMILIES
+    tiny_chars: int = 12
+    tiny_confidence: float = 0.85
+    token_bits: float = 4.2
+    contact_cap: int = CONTACT_CAP
+    per_class: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+
+def merge(base: dict, over: dict) -> dict:
+    """Deep merge; values of ``over`` win."""
+    return base | {k: merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+
+
+def two_thresholds(policy: dict) -> tuple[float, float]:
+    """Warn and block probabilities; with one threshold, warn lies 0.20 below it, at least at 0.05."""
+    two = policy.get("inference_binary_two_threshold") or {}
+    if "prob_threshold_warn" in two and "prob_threshold_block" in two:
+        return float(two["prob_threshold_warn"]), float(two["prob_threshold_block"])
+    one = float((policy.get("inference_binary_labels") or {}).get("prob_threshold_risky", 0.5))
+    return max(0.05, one - 0.20), one
+
+
+def from_json(text: str) -> Policy:
+    raw = json.loads(text)
+    warn, block = two_thresholds(raw)
+    strict = raw.get("strict_decision_rules") or {}
+    return Policy(
+        block_score=int(raw.get("block_threshold", BLOCK_SCORE)), warn_prob=warn, block_prob=block,
+        strict=bool(strict.get("recall_first_mode", False)), families=max(1, int(strict.get("medium_multi_signal_block_min", 2))),
+        tiny_chars=max(1, int(strict.get("tiny_text_min_chars", 12))), tiny_confidence=float(strict.get("tiny_text_min_confidence", 0.85)),
+        token_bits=float((raw.get("critical_secret") or {}).get("min_token_entropy_bits", 4.2)),
+        contact_cap=min(100, max(1, int(raw.get("contact_only_risk_cap", CONTACT_CAP)))),
+        per_class={k.upper(): (float(v["warn"]), float(v["block"])) for k, v in (raw.get("thresholds") or {}).items()},
+    )
+
+
+def with_sensitivity(policy: Policy, overrides: dict[str, str]) -> Policy:
+    """Class thresholds of a knowledge base; unknown names change nothing."""
+    known = {k.upper(): SENSITIVITY[v] for k, v in overrides.items() if v in SENSITIVITY}
+    return replace(policy, per_class=policy.per_class | known)
