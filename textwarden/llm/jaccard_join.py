@@ -9,11 +9,12 @@ Two sets link if 100 * |intersection| >= percent * |union|.
    than ``spare`` partitions equal, so two linked sets share the signature of a partition in which
    both have n-grams. (Of the subsets to enumerate, these are the one-partition subsets of PartEnum.) A set with more
    than ``spare`` empty partitions also sends signatures for these, which makes the argument hold for it, too.
-3. Signatures go to hash ranges, packed per block. Nodes that share one are a group.
-4. Links. First each node is verified against its most frequent group leader, then against
-   leaders in other components, and last, in groups that still span several components, all members across
-   components, in units of bounded size, by prefix filter and exact count. Links inside a
-   component can't change it and are left out. Nothing emits all pairs of a group.
+3. Signatures go to hash ranges, packed for a few MB of documents at a time. Nodes that share one are a group.
+4. Links. First each node is verified against its most frequent group leader. Groups that then still span several
+   components are joined into families; a family's sets meet in units of bounded size, where members of
+   different components are compared by prefix filter and exact count. Links inside a component can't
+   change it and are left out. Nothing emits all pairs of a group. Sets travel as 48-bit hashes: two different
+   n-grams of a compared pair pass for one with probability below 1e-8.
 5. Components by contraction to the smallest neighbour, each round written to the checkpoint folder.
 
 Results for odd input: null, blank or empty text has an empty set (0 n-grams) and is its own component;
@@ -24,6 +25,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,7 @@ from textwarden.llm import blocks as B
 from textwarden.llm.hashing import U64, Rolling, expand, mix
 from textwarden.llm.storage import checkpointed
 
-#: Members of a group that are compared in one task.
+#: Members of a family that are compared in one task, at most twice so many.
 UNIT = 4096
 
 
@@ -107,38 +110,50 @@ def signatures(h: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(sigs), np.concatenate(of)
 
 
-def _groups(blocks: DataFrame, lay: B.Layout, n: int, percent: int) -> DataFrame:
-    """(gid, node, block, leader, members, sigs): nodes that share signatures, one gid for each distinct list of members."""
-    buckets = lay.buckets
-
-    def send(table: pa.Table) -> pa.Table:
-        h, count, name = block_sets(B.Block(table), n)
-        live = np.flatnonzero(count)
-        _, lead = np.unique(name[live], return_index=True)
-        lead = np.sort(live[lead])
-        start = np.cumsum(count) - count
-        sig, of = signatures(h[expand(start[lead], count[lead])], count[lead], percent)
-        order = np.argsort(sig, kind="stable")
-        sig, of = sig[order], of[order]
-        cut = B.slices(sig, buckets)
-        rows = {"bucket": [], "block": [], "sigs": [], "of": [], "names": []}
-        for i in np.flatnonzero(np.diff(cut)):
-            part = slice(cut[i], cut[i + 1])
-            used, place = np.unique(of[part], return_inverse=True)
-            rows["bucket"].append(int(i))
-            rows["block"].append(table["block"][0].as_py())
-            rows["sigs"].append(B.pack_sorted(sig[part]))
-            rows["of"].append(B.pack(place.astype(np.uint32)))
-            rows["names"].append(name[lead[used]].tobytes())
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("sigs", "of", "names")}})
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
+    """Documents of a task in chunks of a few MB."""
+    held, size = [], 0
+    for batch in batches:
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            held.append(part)
+            size += part.column("text").nbytes
+            if size >= B.BLOCK_BYTES:
+                yield B.Block(pa.Table.from_batches(held))
+                held, size = [], 0
+    if held:
+        yield B.Block(pa.Table.from_batches(held))
+
+
+def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
+    """(gid, node, leader, members, sigs): nodes that share signatures, one gid for each distinct list of members."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches):
+            h, count, name = block_sets(b, n)
+            live = np.flatnonzero(count)
+            _, lead = np.unique(name[live], return_index=True)
+            lead = np.sort(live[lead])
+            start = np.cumsum(count) - count
+            sig, of = signatures(h[expand(start[lead], count[lead])], count[lead], percent)
+            order = np.argsort(sig, kind="stable")
+            sig, of = sig[order], of[order]
+            cut = B.slices(sig, buckets)
+            rows = []
+            for i in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[i], cut[i + 1])
+                used, place = np.unique(of[part], return_inverse=True)
+                rows.append((int(i), B.pack_sorted(sig[part]), B.pack(place.astype(np.uint32)), name[lead[used]].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "sigs", "of", "names"])
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, node, block = [], [], []
-        for bl, s, of, names in zip(*(table[c].to_pylist() for c in ("block", "sigs", "of", "names")), strict=True):
+        sig, node = [], []
+        for s, of, names in zip(*(table[c].to_pylist() for c in ("sigs", "of", "names")), strict=True):
             sig.append(B.unpack_sorted(s))
             node.append(np.frombuffer(names, U64)[B.unpack(of, np.uint32)])
-            block.append(np.full(len(sig[-1]), bl, np.int32))
-        sig, node, block = np.concatenate(sig), np.concatenate(node).view(np.int64), np.concatenate(block)
+        sig, node = np.concatenate(sig), np.concatenate(node).view(np.int64)
         # only signatures met more than once need the finer order
         order = np.argsort(sig, kind="stable")
         same = sig[order[1:]] == sig[order[:-1]]
@@ -146,57 +161,75 @@ def _groups(blocks: DataFrame, lay: B.Layout, n: int, percent: int) -> DataFrame
         keep[1:] |= same
         keep[:-1] |= same
         order = order[keep]
-        sig, node, block = sig[order], node[order], block[order]
-        order = np.lexsort((block, node, sig))
-        sig, node, block = sig[order], node[order], block[order]
+        sig, node = sig[order], node[order]
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, block = sig[new], node[new], block[new]
+        sig, node = sig[new], node[new]
         head = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(sig)))
         head, size = head[size > 1], size[size > 1]
-        rows = expand(head, size)
-        node, block = node[rows], block[rows]
+        node = node[expand(head, size)]
         start = np.cumsum(size) - size
         gid = mix(np.add.reduceat(mix(node.view(U64)), start) + size.astype(U64)).view(np.int64) if len(size) else np.zeros(0, np.int64)
         kinds, pick, times = np.unique(gid, return_index=True, return_counts=True)
-        rows = expand(start[pick], size[pick])
         per = size[pick]
         return pa.table({
-            "gid": np.repeat(kinds, per), "node": node[rows], "block": block[rows], "leader": np.repeat(node[start[pick]], per),
+            "gid": np.repeat(kinds, per), "node": node[expand(start[pick], per)], "leader": np.repeat(node[start[pick]], per),
             "members": np.repeat(per, per), "sigs": np.repeat(times, per),
         })
 
-    sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, sigs binary, of binary, names binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "gid long, node long, block int, leader long, members long, sigs long")
-    return met.groupBy("gid", "node").agg(F.min("block").alias("block"), F.min("leader").alias("leader"), F.max("members").alias("members"), F.sum("sigs").alias("sigs"))
+    sent = docs.mapInArrow(send, "bucket int, sigs binary, of binary, names binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "gid long, node long, leader long, members long, sigs long")
+    return met.groupBy("gid", "node").agg(F.min("leader").alias("leader"), F.max("members").alias("members"), F.sum("sigs").alias("sigs"))
+
 
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, size, grams) of the nodes wanted; grams are packed. Texts move once, compressed, one of each node and chunk."""
 
-def _sets(blocks: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams) of the nodes wanted from each block."""
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches):
+            _, count, names = block_sets(b, n)
+            live = np.flatnonzero(count)
+            _, lead = np.unique(names[live], return_index=True)
+            lead = live[lead]
+            z = B.zstandard.ZstdCompressor(level=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lead].view(np.int64)), pa.array([z.compress(b.text(i)) for i in lead], pa.binary())], ["node", "packed"])
 
-    def pick(table: pa.Table, want: pa.Table) -> pa.Table:
-        if not len(want) or not len(table):
-            return pa.table({"node": pa.array([], pa.int64()), "grams": pa.array([], pa.list_(pa.int64()))})
-        h, count, name = block_sets(B.Block(table), n)
-        names, lead = np.unique(name.view(np.int64), return_index=True)
-        need = np.unique(want["node"].to_numpy())
-        at = lead[np.searchsorted(names, need)]
-        start = np.cumsum(count) - count
-        body = h[expand(start[at], count[at])].view(np.int64)
-        offsets = np.concatenate(([0], np.cumsum(count[at]))).astype(np.int32)
-        return pa.table({"node": need, "grams": pa.ListArray.from_arrays(pa.array(offsets), pa.array(body))})
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                z = B.zstandard.ZstdDecompressor()
+                texts = pa.array([z.decompress(x) if x else b"" for x in part["packed"].to_pylist()], pa.binary())
+                b = B.Block(pa.table({"doc_id": part["node"], "text": texts}))
+                h, count, _ = block_sets(b, n)
+                short = h >> U64(16)  # the order stays
+                cut = np.cumsum(count)[:-1]
+                yield pa.RecordBatch.from_arrays([b.doc_id.combine_chunks() if isinstance(b.doc_id, pa.ChunkedArray) else b.doc_id, pa.array(count, pa.int64()), pa.array([B.pack_sorted(x) for x in np.split(short, cut)], pa.binary())], ["node", "size", "grams"])
 
-    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(pick, "node long, grams array<long>")
+    named = docs.mapInArrow(name, "node long, packed binary")
+    one = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
+    return one.mapInArrow(sets, "node long, size long, grams binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection."""
-    one, two = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b")
-    both = both.where(f"{percent} * greatest(size(ga), size(gb)) <= 100 * least(size(ga), size(gb))")
-    both = both.withColumn("common", F.size(F.array_intersect("ga", "gb")).cast("long"))
-    return both.where(f"100 * common >= {percent} * (size(ga) + size(gb) - common)").select("a", "b")
+    one = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("grams").alias("ga"))
+    two = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("grams").alias("gb"))
+    both = pairs.join(one, "a").join(two, "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for ga, gb in zip(batch["ga"].to_pylist(), batch["gb"].to_pylist(), strict=True):
+                x, y = B.unpack_sorted(ga), B.unpack_sorted(gb)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long")
 
 
 def _contract(edges: DataFrame) -> DataFrame | None:
@@ -261,54 +294,46 @@ def unit_links(node: np.ndarray, comp: np.ndarray, grams: list[np.ndarray], perc
 
 
 def _across(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in groups of three and more that span several."""
-    labelled = groups.where("members > 2").join(comps, "node", "left").select("gid", "node", "members", F.coalesce("comp", "node").alias("comp"))
-    labelled = checkpointed(labelled)
-    open_ = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    units = labelled.join(open_, "gid").withColumn("chunks", F.expr(f"cast(ceil(members / {UNIT}D) AS int)"))
-    units = units.withColumn("own", F.expr("cast(pmod(node, chunks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    units = units.select("gid", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node", "comp")
+    """Links between components that meet in groups."""
+    labelled = checkpointed(groups.join(comps, "node", "left").select("gid", "node", "leader", F.coalesce("comp", "node").alias("comp")))
+    span = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    open_ = checkpointed(labelled.join(span, "gid").select("node", "leader", "comp").distinct())
+    family = _contract(open_.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    if family is None:
+        return open_.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("false")
+    members = open_.select("node", "comp").distinct().join(family.select("node", F.col("comp").alias("family")), "node")
+    chunks = family.groupBy(F.col("comp").alias("family")).agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("chunks"))
+    units = members.join(chunks, "family").withColumn("own", F.expr("cast(pmod(node, chunks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    units = units.select("family", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node", "comp")
 
     def join(table: pa.Table) -> pa.Table:
-        flat = table["grams"].combine_chunks()
-        pairs = unit_links(table["node"].to_numpy(), table["comp"].to_numpy(), [flat[i].values.to_numpy() for i in range(len(flat))], percent)
+        pairs = unit_links(table["node"].to_numpy(), table["comp"].to_numpy(), [B.unpack_sorted(x) for x in table["grams"].to_pylist()], percent)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return units.join(sets, "node").groupBy("gid", "u", "v").applyInArrow(join, "a long, b long")
+    return units.join(sets.select("node", "grams"), "node").groupBy("family", "u", "v").applyInArrow(join, "a long, b long")
 
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    lay = B.layout(docs, text_col)
-    blocks = B.blocked(docs, lay, id_col, text_col)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def name(table: pa.Table) -> pa.Table:
-        b = B.Block(table)
-        _, count, names = block_sets(b, n)
-        return pa.table({"doc_id": b.doc_id, "n_shingles": pa.array(count, pa.int64()), "node": pa.array(names.view(np.int64), mask=count == 0)})
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _chunks(batches):
+            _, count, names = block_sets(b, n)
+            ids = b.doc_id.combine_chunks() if isinstance(b.doc_id, pa.ChunkedArray) else b.doc_id
+            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(names.view(np.int64), mask=count == 0)], ["doc_id", "n_shingles", "node"])
 
-    rows = blocks.groupBy("block").applyInArrow(name, "doc_id long, n_shingles long, node long")
-    groups = checkpointed(_groups(blocks, lay, n, percent))
-    sets = checkpointed(_sets(blocks, groups.groupBy("block", "node").agg(F.lit(1).alias("one")).select("block", "node"), n))
+    rows = d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles long, node long")
+    groups = checkpointed(_groups(d, B.layout(d).buckets, n, percent))
+    sets = checkpointed(_sets(d, groups.select("node").distinct(), n))
     stars = groups.where("node <> leader").groupBy("node", "leader").agg(F.sum("sigs").alias("sigs"))
     best = stars.groupBy("node").agg(F.max_by("leader", F.struct("sigs", "leader")).alias("leader"))
     edges = checkpointed(_linked(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, percent))
+    nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
     comps = _contract(edges)
-    for more in (lambda c: _linked(_other_leaders(stars, c), sets, percent), lambda c: _across(groups, c, sets, percent)):
-        known = comps if comps is not None else docs.sparkSession.createDataFrame([], "node long, comp long")
-        found = checkpointed(more(known))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            comps = _contract(edges)
-    if comps is None:
-        comps = docs.sparkSession.createDataFrame([], "node long, comp long")
-    placed = checkpointed(rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
+    found = checkpointed(_across(groups, nothing if comps is None else comps, sets, percent))
+    if not found.isEmpty():
+        comps = _contract(edges.union(found))
+    placed = checkpointed(rows.join(nothing if comps is None else comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "least")
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-
-
-def _other_leaders(stars: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of nodes and leaders that lie in different components so far."""
-    of_node, of_leader = comps.select("node", F.col("comp").alias("cn")), comps.select(F.col("node").alias("leader"), F.col("comp").alias("cl"))
-    both = stars.join(of_node, "node", "left").join(of_leader, "leader", "left")
-    return both.where(F.coalesce("cn", "node") != F.coalesce("cl", "leader")).select(F.col("node").alias("a"), F.col("leader").alias("b"))
