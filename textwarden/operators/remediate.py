@@ -40,7 +40,7 @@ def replace_matches(d: Dialect, x: str, pattern: str, form) -> str:
     ms = d.all_matches(x, pattern)
     if d.spark:
         return f"array_join(zip_with(split({x}, {d.q(pattern)}, -1), {ms}, (p, m) -> concat(coalesce(p, ''), coalesce({form(d, 'm')}, ''))), '')"
-    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, {d.q(pattern)}), {ms}), lambda z: concat(coalesce(z[1], ''), coalesce({form(d, 'z[2]')}, ''))), '')"
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, {d.q(pattern)}), {ms}), lambda z: concat(coalesce(z[1], ''), CASE WHEN z[2] IS NULL THEN '' ELSE {form(d, 'z[2]')} END)), '')"
 
 
 def steps(d: Dialect, x: str, form) -> list[dict[str, str]]:

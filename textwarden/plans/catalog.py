@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textwarden.plans import data_queries, event_queries, text_queries
+from textwarden.plans.common import Query, reader
+
+ALL: dict[str, Query] = text_queries.QUERIES | data_queries.QUERIES | event_queries.QUERIES
+
+
+def _bind(q: Query) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: q.run(reader(spark, sf_dir), spark)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {n: _bind(q) for n, q in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: q.sql for n, q in ALL.items() if q.sql}

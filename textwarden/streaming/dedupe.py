@@ -25,7 +25,7 @@ def ttl_dedupe_batch(df: DataFrame, ts: str, key: str, seconds: int = 60) -> Dat
     """The same for a table: a row goes if a row of its key lies up to ``seconds`` before it."""
     w = Window.partitionBy(key).orderBy(ts)
     before = F.lag(ts).over(w)
-    return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_micros(ts) - F.unix_micros("_b") > seconds * 1_000_000)).drop("_b")
+    return df.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_b").cast("timestamp")) > seconds * 1_000_000)).drop("_b")
 
 
 def ring(texts: list[str], keep: list[bool] | None = None, size: int = 3) -> list[bool]:
