@@ -80,7 +80,8 @@ def plan(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
 
 
 def emit(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
-    """The mix itself: each document as often as planned, with its columns and ``copy`` from 1."""
+    """The mix itself: each document as often as planned, with its columns and ``copy`` from 1 (which replaces a column of that name)."""
+    docs = docs.drop("copy")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     sized = docs.select(whole).select("whole", F.col("whole.source").alias("source"), F.col("whole.doc_id").alias("doc_id"), F.col("whole.text").alias("text"))
     sized = sized.withColumn("size", _size()).withColumn("draw", _draw(seed)).drop("text", "doc_id")

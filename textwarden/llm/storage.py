@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,3 +29,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def _loose(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _loose(f.dataType), True) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_loose(t.elementType), True)
+    if isinstance(t, T.MapType):
+        return T.MapType(_loose(t.keyType), _loose(t.valueType), True)
+    return t
+
+
+def loosened(df: DataFrame) -> DataFrame:
+    """df with nulls allowed everywhere inside nested columns, as rows that pass through Arrow functions are declared."""
+    nested = {f.name: _loose(f.dataType) for f in df.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))}
+    return df.select(*[F.col(f"`{c}`").cast(nested[c]).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns])

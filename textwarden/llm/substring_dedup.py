@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from textwarden.llm import blocks as B
 from textwarden.llm import repeats as R
 from textwarden.llm.hashing import Rolling, expand, true_runs
+from textwarden.llm.storage import loosened
 
 #: Anchors are 8-word grams, one in 4.
 GRAM, EVERY = 8, 4
@@ -89,6 +90,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
 
     A word goes if a window of ``width`` words that covers it also starts anywhere else.
     """
+    docs = loosened(docs)
     lay = B.layout(docs, text_col)
     blocks = B.blocked(docs, lay, id_col, text_col, carry)
     plan = R.Plan(width=width, gram=min(GRAM, width), every=EVERY, symbols="uint32")

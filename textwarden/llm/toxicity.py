@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.hashing import Rolling
+from textwarden.llm.storage import loosened
 
 BITS = 18
 #: Texts are hashed in pieces of about so many bytes.
@@ -146,7 +147,7 @@ def sentence_scores(raw: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.nda
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs (text only if it is among ``docs``), toxic_score, n_sentences, and the spans, in bytes, of offending sentences."""
-    docs = docs.drop("toxic_score", "n_sentences", "offending")
+    docs = loosened(docs.drop("toxic_score", "n_sentences", "offending"))
     names = docs.columns
     w, bias = model if model else (np.zeros(1 << BITS, np.float32), -30.0)
 
