@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.hashing import mix
+from textwarden.llm.storage import loosened
 
 SIMILARITY = 0.8
 BITS, AGREE, RECALL = 2, 0.5, 0.97
@@ -216,13 +217,16 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
             texts = batch.column(names.index("text"))
             hits: list[list] = [[] for _ in range(len(batch))]
             seq: list[int] = []
-            bounds: list[tuple[int, int]] = []
+            bounds: list[tuple[int, int, int, int]] = []  # first and last place, document, its word at the first place
 
             def flush() -> None:
                 starts = np.array([b[0] for b in bounds])
+                stops = np.array([b[1] for b in bounds])
                 for place, length, item, d in index.search(np.array(seq, np.int32)):
-                    k = int(np.searchsorted(starts, place, "right")) - 1
-                    hits[bounds[k][1]].append((place - bounds[k][0], length, item, d))
+                    # a window that starts in the padding before a document belongs to it
+                    k = int(np.searchsorted(stops, place, "right"))
+                    _, _, i, first = bounds[k]
+                    hits[i].append((max(place, int(starts[k])) - int(starts[k]) + first, length, item, d))
                 seq.clear()
                 bounds.clear()
 
@@ -230,10 +234,10 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 ws = words(texts[i].as_py())
                 # a very long document goes piece by piece, with an item's length of overlap
                 for a in range(0, len(ws), PIECE):
-                    if seq:
-                        seq.extend([0] * gap)
-                    bounds.append((len(seq) - a, i))
-                    seq.extend([get(w, 0) for w in ws[a : a + PIECE + index.longest]])
+                    seq.extend([0] * gap)
+                    ids = [get(w, 0) for w in ws[a : a + PIECE + index.longest]]
+                    bounds.append((len(seq), len(seq) + len(ids), i, a))
+                    seq.extend(ids)
                     if len(seq) >= PIECE:
                         seq.extend([0] * gap)
                         flush()
@@ -250,9 +254,9 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS, agree: float = AGREE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns of docs and ``matches``: (start, end, item, similarity) of all windows of words that match an item."""
-    out = docs.drop("_hits").withColumn("matches", F.expr("cast(array() AS array<struct<start:bigint,end:bigint,item:bigint,similarity:double>>)"))
+    out = loosened(docs.drop("_hits")).withColumn("matches", F.expr("cast(array() AS array<struct<start:bigint,end:bigint,item:bigint,similarity:double>>)"))
     for chunk in _chunks(items, item_id, item_text):
-        found = _scan(out, Index(chunk, similarity, tables_for(recall, agree, bits), bits))
+        found = _scan(loosened(out), Index(chunk, similarity, tables_for(recall, agree, bits), bits))
         out = found.withColumn("matches", F.concat("matches", "_hits")).drop("_hits")
     return out
 
