@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import decontamination, jaccard_join, mixing, substring_dedup, toxicity
 from textwarden.llm.queries import toxicity_model
-from textwarden.llm.storage import stored
+from textwarden.llm.storage import loosened, stored
 
 
 def _packed(docs: DataFrame, *named: str) -> DataFrame:
     """The columns an operator needs, and the whole row as one column, so that no other name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named)
+    return loosened(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *named))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
