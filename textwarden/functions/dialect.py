@@ -44,6 +44,10 @@ class Dialect:
     def any(self, x: str, words) -> str:
         return "(" + " OR ".join(self.has(x, w) for w in words) + ")"
 
+    def ascii_bounds(self, x: str) -> str:
+        """x for patterns with word boundaries beside letters beyond ASCII: the checker takes these for no letters, so there they become "_"."""
+        return x if self.spark else self.sub(x, r"[^\x00-\x7F\p{P}\p{Z}\p{S}]", "_")
+
     def strip(self, x: str) -> str:
         return self.sub(x, r"^\s+|\s+$", "")
 

@@ -144,3 +144,56 @@ def source_report(df: DataFrame, source: str = "source", label: str | None = Non
 def audit(df: DataFrame, text_col: str = "text") -> DataFrame:
     keys = df.select(F.expr(X.audit_key(SPARK, text_col)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return keys.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct")).withColumn("n_duplicates", F.col("n_rows") - F.col("n_distinct"))
+
+
+def class_floors(df: DataFrame, key: str, label: str, floors: dict[str, int], most: float | None = None, seed: int = SEED) -> DataFrame:
+    """Classes below their floor are raised to it by copies; with ``most``, none keeps more than that times the smallest floor. Adds ``copy``."""
+    table = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))])
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_floor", F.coalesce(table[F.col(label).cast("string")], F.lit(0)))
+    cap = F.lit(int(most * min(floors.values()))) if most else F.col("_n")
+    n = n.withColumn("_t", F.greatest(F.col("_floor"), F.least(F.col("_n"), cap)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key)) - 1
+    d = df.join(F.broadcast(n), label).withColumn("_r", rank).where("_r < _t")
+    return d.withColumn("copy", F.explode(F.expr("sequence(0, cast(floor((_t - _r - 1) / _n) AS int))"))).drop("_n", "_floor", "_t", "_r")
+
+
+def holdout_coverage(holdout: DataFrame, pool: DataFrame, key: str, label: str, least: dict[str, int], seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(hold-out, pool): real rows moved from the pool until each class of the hold-out has its least count, as far as the pool goes."""
+    have = holdout.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
+    table = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))
+    moved = pool.join(F.broadcast(have), label, "left").withColumn("_r", rank).where(F.col("_r") <= F.coalesce(table[F.col(label)], F.lit(0)) - F.coalesce("_have", F.lit(0))).select(*pool.columns)
+    return holdout.unionByName(moved), pool.join(moved.select(key), key, "left_anti")
+
+
+def binary_halves(df: DataFrame, key: str, label: str, most: int = 5000, seed: int = SEED) -> DataFrame:
+    """Both classes at min(largest class, most) rows, by sampling or copies."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    target = n.agg(F.least(F.max("n"), F.lit(most)).alias("t")).first()[0] or 0
+    kinds = [r[0] for r in n.select(F.col(label).cast("string")).collect()]
+    return cap_copies(df, key, label, {k: target for k in kinds}, seed)
+
+
+def cap_copies(df: DataFrame, key: str, label: str, targets: dict[str, int], seed: int = SEED) -> DataFrame:
+    """Each class at its target, by sampling or copies; adds ``copy``."""
+    return class_floors(cap_per_class(df, key, label, targets, seed), key, label, targets, seed=seed)
+
+
+def equal_thirds(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
+    """low, med and high at the count of med (of the smallest class, if there is no med)."""
+    n = {r[0]: r[1] for r in df.where(F.col(label).isin("low", "med", "high")).groupBy(label).count().collect()}
+    t = n.get("med") or min(n.values(), default=0)
+    return cap_copies(df, key, label, {k: t for k in n}, seed)
+
+
+def small_corpus_guard(df: DataFrame, split: str, label: str, least: int = 20, per_class: int = 2) -> DataFrame:
+    """With fewer than ``least`` rows, or a class below ``per_class``, everything is train."""
+    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("c")).agg((F.sum("c") < least).alias("a"), (F.min("c") < per_class).alias("b"))
+    return df.join(F.broadcast(n)).withColumn(split, F.when(F.col("a") | F.col("b"), "train").otherwise(F.col(split))).drop("a", "b")
+
+
+def candidates(texts: DataFrame, known: DataFrame, text_col: str, n: int, threshold: float = 0.62) -> DataFrame:
+    """The first n different texts that aren't near any known text."""
+    d = texts.select(F.expr(X.words_key(SPARK, text_col)).alias("_k"), text_col).where("_k <> ''").groupBy("_k").agg(F.min(text_col).alias(text_col))
+    near = near_duplicates(d, known.select(F.monotonically_increasing_id().alias("_o"), F.col(text_col)), "_k", "_o", text_col, threshold).select("_k").distinct()
+    return d.join(near, "_k", "left_anti").orderBy("_k").limit(n).select(text_col)

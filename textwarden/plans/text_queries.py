@@ -123,10 +123,8 @@ def _scan():
 
 
 def _mail(d: Dialect) -> str:
-    # the checker's word boundary is ASCII: letters beyond become a word character that is no letter
-    own = "text" if d.spark else d.sub("text", r"[^\x00-\x7F\p{P}\p{Z}\p{S}]", "_")
     high = " OR ".join(d.rx("text", p) for p in P.MAIL_HIGH)
-    pairs = d.all_matches(own, P.TITLE_PAIR)
+    pairs = d.all_matches(d.ascii_bounds("text"), P.TITLE_PAIR)
     first = d.sub("m", r"\s.*$", "")
     stop = ", ".join(f"'{w}'" for w in P.TITLE_STOP)
     pair = d.exists(pairs, "m", f"lower({first}) NOT IN ({stop})")
