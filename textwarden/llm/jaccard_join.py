@@ -10,12 +10,13 @@ Two sets link if 100 * |intersection| >= percent * |union|.
    both have n-grams. (Of the subsets to enumerate, these are the one-partition subsets of PartEnum.) A set with more
    than ``spare`` empty partitions also sends signatures for these, which makes the argument hold for it, too.
 3. Signatures go to hash ranges, packed for a few MB of documents at a time. Nodes that share one are a group.
-4. Links. First each node is verified against its most frequent group leader. Groups that then still span several
-   components are joined into families; a family's sets meet in units of bounded size, where members of
-   different components are compared by prefix filter and exact count. Links inside a component can't
-   change it and are left out. Nothing emits all pairs of a group. Sets travel as 48-bit hashes: two different
-   n-grams of a compared pair pass for one with probability below 1e-8.
-5. Components by contraction to the smallest neighbour, each round written to the checkpoint folder.
+4. Links. Groups that share members are families. The sets of a family of up to ``UNIT`` nodes meet in one task, where
+   members are compared by prefix filter and exact count until all that link are joined. In a larger family,
+   each node is first verified against its most frequent group leader; what still spans several components
+   then meets in units, each of two chunks of members. Links inside a component can't change it and are
+   left out. Nothing emits all pairs of a group. Sets travel as 48-bit hashes: two different n-grams of a
+   compared pair pass for one with probability below 1e-8.
+5. Families and components by contraction to the smallest neighbour, each round written to the checkpoint folder.
 
 Results for odd input: null, blank or empty text has an empty set (0 n-grams) and is its own component;
 fewer words than n make one n-gram of all words; repeated rows are equal sets and link; null ids take part
@@ -36,8 +37,8 @@ from textwarden.llm import blocks as B
 from textwarden.llm.hashing import U64, Rolling, expand, mix
 from textwarden.llm.storage import checkpointed
 
-#: Members of a family that are compared in one task, at most twice so many.
-UNIT = 4096
+#: Members of a family that are compared in one task; of a larger family, at most twice so many on average.
+UNIT = 2048
 
 
 def block_sets(b: B.Block, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +239,7 @@ def _contract(edges: DataFrame) -> DataFrame | None:
     edges = checkpointed(edges.where("a <> b").distinct())
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        low = checkpointed(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")))
+        low = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp"))
         maps.append(low)
         a, b = low.select(F.col("node").alias("a"), F.col("comp").alias("ca")), low.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         edges = checkpointed(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
@@ -265,34 +266,49 @@ def unit_links(node: np.ndarray, comp: np.ndarray, grams: list[np.ndarray], perc
     tok, own = token[take][by], owner[take][by]
     cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
     ends = np.append(cut[1:], len(tok))
-    root = {int(c): int(c) for c in comp}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
+    label = np.unique(comp, return_inverse=True)[1]
     seen, out = set(), []
     for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
         if b - a < 2:
             continue
         members = own[a:b]
-        if (comp[members] == comp[members[0]]).all():
+        if (label[members] == label[members[0]]).all():
             continue
         for i, x in enumerate(members.tolist()):
-            for y in members[i + 1 :][comp[members[i + 1 :]] != comp[x]].tolist():
-                cx, cy = find(int(comp[x])), find(int(comp[y]))
-                if cx == cy or (x, y) in seen or percent * max(size[x], size[y]) > 100 * min(size[x], size[y]):
+            rest = members[i + 1 :]
+            for y in rest[label[rest] != label[x]].tolist():
+                if label[x] == label[y] or (x, y) in seen or percent * max(size[x], size[y]) > 100 * min(size[x], size[y]):
                     continue
                 seen.add((x, y))
                 common = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
                 if 100 * common >= percent * (size[x] + size[y] - common):
-                    root[max(cx, cy)] = min(cx, cy)
+                    label[label == label[y]] = label[x]
                     out.append((int(node[x]), int(node[y])))
     return out
 
 
+def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of families (node, family) that fit into a task."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        node = table["node"].to_numpy()
+        pairs = unit_links(node, node, [B.unpack_sorted(x) for x in table["grams"].to_pylist()], percent)
+        root = {x: x for x in node.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        return pa.table({"node": pa.array(node, pa.int64()), "comp": pa.array([find(x) for x in node.tolist()], pa.int64())})
+
+    return members.join(sets.select("node", "grams"), "node").select("family", "node", "grams").groupBy("family").applyInArrow(solve, "node long, comp long")
+
+
 def _across(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that meet in groups."""
     labelled = checkpointed(groups.join(comps, "node", "left").select("gid", "node", "leader", F.coalesce("comp", "node").alias("comp")))
@@ -313,6 +329,18 @@ def _across(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     return units.join(sets.select("node", "grams"), "node").groupBy("family", "u", "v").applyInArrow(join, "a long, b long")
 
 
+def _large(groups: DataFrame, sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
+    """(node, comp) of the groups of large families."""
+    stars = groups.where("node <> leader").groupBy("node", "leader").agg(F.sum("sigs").alias("sigs"))
+    best = stars.groupBy("node").agg(F.max_by("leader", F.struct("sigs", "leader")).alias("leader"))
+    edges = checkpointed(_linked(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, percent))
+    comps = _contract(edges)
+    found = checkpointed(_across(groups, nothing if comps is None else comps, sets, percent))
+    if not found.isEmpty():
+        comps = _contract(edges.union(found))
+    return nothing if comps is None else comps
+
+
 def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -326,14 +354,16 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     rows = d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles long, node long")
     groups = checkpointed(_groups(d, B.layout(d).buckets, n, percent))
     sets = checkpointed(_sets(d, groups.select("node").distinct(), n))
-    stars = groups.where("node <> leader").groupBy("node", "leader").agg(F.sum("sigs").alias("sigs"))
-    best = stars.groupBy("node").agg(F.max_by("leader", F.struct("sigs", "leader")).alias("leader"))
-    edges = checkpointed(_linked(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, percent))
     nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
-    comps = _contract(edges)
-    found = checkpointed(_across(groups, nothing if comps is None else comps, sets, percent))
-    if not found.isEmpty():
-        comps = _contract(edges.union(found))
+    families = _contract(groups.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    comps = None
+    if families is not None:
+        families = families.select("node", F.col("comp").alias("family"))
+        size = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+        comps = _solved(families.join(size.where(f"n <= {UNIT}"), "family"), sets, percent)
+        large = checkpointed(families.join(size.where(f"n > {UNIT}"), "family").select("node"))
+        if not large.isEmpty():
+            comps = checkpointed(comps.union(_large(groups.join(large, "node", "left_semi"), sets, percent, nothing)))
     placed = checkpointed(rows.join(nothing if comps is None else comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "least")
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
