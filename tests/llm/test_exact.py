@@ -225,3 +225,19 @@ def test_empty_tables(nothing):
     assert lm_scoring.score(nothing).count() == 0
     assert mixing.plan(nothing).count() == 0 and mixing.emit(nothing).count() == 0
     assert quality.score(nothing).count() == 0
+
+
+def test_large_families(spark, monkeypatch):
+    """The path of families that don't fit into a task, forced by a small unit."""
+    monkeypatch.setattr(jaccard_join, "UNIT", 6)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    docs = []
+    for i in range(45):
+        ws = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 6])):
+            ws[rng.randrange(80)] = f"x{rng.random()}"
+        docs.append((i, " ".join(ws)))
+    docs += [(45 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(6 + i)])) for i in range(10)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
