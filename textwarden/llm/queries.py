@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import decontamination, jaccard_join, language_id, lm_scoring, mixing, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from textwarden.llm import decontamination, jaccard_join, language_id, lm_scoring, mixing, oracles, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,4 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lm_scoring": lm_scoring.ORACLE, "op5_mixing": mixing.ORACLE}
+    return {
+        "op3_lm_scoring": lm_scoring.ORACLE,
+        "op4_substring_dedup": oracles.SUBSTRING,
+        "op5_mixing": mixing.ORACLE,
+        "op6_ngram_jaccard_join": oracles.JACCARD,
+        "op7_suffix_array_dedup": oracles.SUFFIX,
+    }
