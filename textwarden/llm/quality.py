@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from textwarden.llm.storage import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rounds of expectation-maximisation; starting beliefs: share of good documents, a rule's accuracy on good and on bad ones.
-ROUNDS, PRIOR, ON_GOOD, ON_BAD = 60, 0.8, 0.9, 0.6
+#: Rounds of expectation-maximisation; starting beliefs: share of good documents, a rule's accuracy on good and on bad ones (a rule seldom errs on good documents and catches one kind of bad ones).
+ROUNDS, PRIOR, ON_GOOD, ON_BAD = 60, 0.8, 0.995, 0.25
 RULES = ("length", "word_length", "symbols", "lines", "repeats", "letters", "shouting", "marks")
 _VOTES = {
     "length": "CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END",
