@@ -241,3 +241,22 @@ def test_large_families(spark, monkeypatch):
     docs += [(45 + i, " ".join(base[:60] + [f"y{i}_{j}" for j in range(6 + i)])) for i in range(10)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_roots(seed):
+    rng = random.Random(seed)
+    groups = [rng.sample(range(40), rng.randint(2, 4)) for _ in range(rng.randint(0, 14))]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for g in groups:
+        for x in g[1:]:
+            a, b = find(g[0]), find(x)
+            root[max(a, b)] = min(a, b)
+    flat = np.array([x for g in groups for x in g], np.int64)
+    assert jaccard_join.roots(flat, np.array([len(g) for g in groups], np.int64)).tolist() == [find(x) for x in flat.tolist()]
