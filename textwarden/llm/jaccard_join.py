@@ -111,6 +111,22 @@ def signatures(h: np.ndarray, count: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.concatenate(sigs), np.concatenate(of)
 
 
+def roots(node: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of nodes in groups laid end to end: the smallest node that groups with common members reach."""
+    if not len(node):
+        return node
+    names, at = np.unique(node, return_inverse=True)
+    label, start = np.arange(len(names)), np.cumsum(size) - size
+    while True:
+        low = np.repeat(np.minimum.reduceat(label[at], start), size)
+        new = label.copy()
+        np.minimum.at(new, at, low)
+        new = new[new]  # a label is a node, whose own label is no larger
+        if (new == label).all():
+            return names[label[at]]
+        label = new
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
     """Documents of a task in chunks of a few MB."""
     held, size = [], 0
@@ -127,7 +143,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
 
 
 def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
-    """(gid, node, leader, members, sigs): nodes that share signatures, one gid for each distinct list of members."""
+    """(gid, node, leader, root, members, sigs): nodes that share signatures, one gid for each distinct list of members.
+
+    leader is the group's smallest node; root the smallest node that groups of the same hash range lead to.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
@@ -176,14 +195,15 @@ def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
         gid = mix(np.add.reduceat(mix(node.view(U64)), start) + size.astype(U64)).view(np.int64) if len(size) else np.zeros(0, np.int64)
         kinds, pick, times = np.unique(gid, return_index=True, return_counts=True)
         per = size[pick]
+        own = node[expand(start[pick], per)]
         return pa.table({
-            "gid": np.repeat(kinds, per), "node": node[expand(start[pick], per)], "leader": np.repeat(node[start[pick]], per),
+            "gid": np.repeat(kinds, per), "node": own, "leader": np.repeat(node[start[pick]], per), "root": roots(own, per),
             "members": np.repeat(per, per), "sigs": np.repeat(times, per),
         })
 
     sent = docs.mapInArrow(send, "bucket int, sigs binary, of binary, names binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "gid long, node long, leader long, members long, sigs long")
-    return met.groupBy("gid", "node").agg(F.min("leader").alias("leader"), F.max("members").alias("members"), F.sum("sigs").alias("sigs"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "gid long, node long, leader long, root long, members long, sigs long")
+    return met.groupBy("gid", "node").agg(F.min("leader").alias("leader"), F.min("root").alias("root"), F.max("members").alias("members"), F.sum("sigs").alias("sigs"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -355,7 +375,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     groups = checkpointed(_groups(d, B.layout(d).buckets, n, percent))
     sets = checkpointed(_sets(d, groups.select("node").distinct(), n))
     nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
-    families = _contract(groups.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    families = _contract(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     comps = None
     if families is not None:
         families = families.select("node", F.col("comp").alias("family"))
