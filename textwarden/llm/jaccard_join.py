@@ -12,8 +12,8 @@ Two sets link if 100 * |intersection| >= percent * |union|.
 3. Signatures go to hash ranges, packed for a few MB of documents at a time. Nodes that share one are a group.
 4. Links. Groups that share members are families. The sets of a family of up to ``UNIT`` nodes meet in one task, where
    members are compared by prefix filter and exact count until all that link are joined. In a larger family,
-   each node is first verified against its most frequent group leader; what still spans several components
-   then meets in units, each of two chunks of members. Links inside a component can't change it and are
+   each node is first verified against its most frequent group leader; if it still spans several components,
+   chunks of its largest component each meet chunks of the rest, and these one another. Links inside a component can't change it and are
    left out. Nothing emits all pairs of a group. Sets travel as 48-bit hashes: two different n-grams of a
    compared pair pass for one with probability below 1e-8.
 5. Families and components by contraction to the smallest neighbour, each round written to the checkpoint folder.
@@ -143,9 +143,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
 
 
 def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
-    """(gid, node, leader, root, members, sigs): nodes that share signatures, one gid for each distinct list of members.
+    """(node, root, leader, sigs): nodes that share signatures with others.
 
-    leader is the group's smallest node; root the smallest node that groups of the same hash range lead to.
+    root is the smallest node that groups of one hash range lead to, leader the smallest node of the groups
+    that the node is in most often there. One row per node and root.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +193,22 @@ def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
         head, size = head[size > 1], size[size > 1]
         node = node[expand(head, size)]
         start = np.cumsum(size) - size
-        gid = mix(np.add.reduceat(mix(node.view(U64)), start) + size.astype(U64)).view(np.int64) if len(size) else np.zeros(0, np.int64)
-        kinds, pick, times = np.unique(gid, return_index=True, return_counts=True)
-        per = size[pick]
-        own = node[expand(start[pick], per)]
-        return pa.table({
-            "gid": np.repeat(kinds, per), "node": own, "leader": np.repeat(node[start[pick]], per), "root": roots(own, per),
-            "members": np.repeat(per, per), "sigs": np.repeat(times, per),
-        })
+        root = roots(node, size)
+        leader = np.repeat(node[start], size) if len(size) else node
+        # per node the leader met most often, of equals the smallest
+        order = np.lexsort((leader, node))
+        n2, l2, r2 = node[order], leader[order], root[order]
+        head = np.flatnonzero(np.append(True, (n2[1:] != n2[:-1]) | (l2[1:] != l2[:-1]))) if len(n2) else np.zeros(0, np.int64)
+        times = np.diff(np.append(head, len(n2)))
+        n2, l2, r2 = n2[head], l2[head], r2[head]
+        order = np.lexsort((l2, -times, n2))
+        first = order[np.append(True, n2[order][1:] != n2[order][:-1])] if len(order) else order
+        return pa.table({"node": n2[first], "root": r2[first], "leader": l2[first], "sigs": times[first]})
 
     sent = docs.mapInArrow(send, "bucket int, sigs binary, of binary, names binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "gid long, node long, leader long, root long, members long, sigs long")
-    return met.groupBy("gid", "node").agg(F.min("leader").alias("leader"), F.min("root").alias("root"), F.max("members").alias("members"), F.sum("sigs").alias("sigs"))
+    met = sent.groupBy("bucket").applyInArrow(meet, "node long, root long, leader long, sigs long")
+    best = F.struct(F.col("leader") != F.col("node"), "sigs", -F.col("leader"))
+    return met.groupBy("node", "root").agg(F.max_by("leader", best).alias("leader"), F.max("sigs").alias("sigs"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -329,33 +334,31 @@ def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(sets.select("node", "grams"), "node").select("family", "node", "grams").groupBy("family").applyInArrow(solve, "node long, comp long")
 
 
-def _across(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that meet in groups."""
-    labelled = checkpointed(groups.join(comps, "node", "left").select("gid", "node", "leader", F.coalesce("comp", "node").alias("comp")))
-    span = labelled.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    open_ = checkpointed(labelled.join(span, "gid").select("node", "leader", "comp").distinct())
-    family = _contract(open_.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    if family is None:
-        return open_.select(F.col("node").alias("a"), F.col("leader").alias("b")).where("false")
-    members = open_.select("node", "comp").distinct().join(family.select("node", F.col("comp").alias("family")), "node")
-    chunks = family.groupBy(F.col("comp").alias("family")).agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("chunks"))
-    units = members.join(chunks, "family").withColumn("own", F.expr("cast(pmod(node, chunks) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    units = units.select("family", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "node", "comp")
+def _across(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components of the same family (node, family)."""
+    labelled = checkpointed(members.join(comps, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
+    size = labelled.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = size.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("m"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    whole = whole.select("family", "main", F.ceil(F.col("m") / UNIT).cast("int").alias("main_chunks"), F.ceil(F.col("rest") / UNIT).cast("int").alias("rest_chunks"))
+    d = labelled.join(whole, "family").withColumn("is_main", F.col("comp") == F.col("main"))
+    d = d.withColumn("own", F.expr("cast(pmod(node, CASE WHEN is_main THEN main_chunks ELSE rest_chunks END) AS int)"))
+    unit = """CASE WHEN is_main THEN transform(sequence(0, rest_chunks - 1), j -> struct('main' AS kind, own AS u, j AS v))
+        ELSE concat(transform(sequence(0, main_chunks - 1), i -> struct('main' AS kind, i AS u, own AS v)),
+                    transform(filter(sequence(0, rest_chunks - 1), j -> j <> own), j -> struct('rest' AS kind, least(j, own) AS u, greatest(j, own) AS v))) END"""
+    units = d.select("family", F.explode(F.expr(unit)).alias("unit"), "node", "comp").select("family", "unit.*", "node", "comp")
 
     def join(table: pa.Table) -> pa.Table:
         pairs = unit_links(table["node"].to_numpy(), table["comp"].to_numpy(), [B.unpack_sorted(x) for x in table["grams"].to_pylist()], percent)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return units.join(sets.select("node", "grams"), "node").groupBy("family", "u", "v").applyInArrow(join, "a long, b long")
+    return units.join(sets.select("node", "grams"), "node").groupBy("family", "kind", "u", "v").applyInArrow(join, "a long, b long")
 
 
-def _large(groups: DataFrame, sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
-    """(node, comp) of the groups of large families."""
-    stars = groups.where("node <> leader").groupBy("node", "leader").agg(F.sum("sigs").alias("sigs"))
-    best = stars.groupBy("node").agg(F.max_by("leader", F.struct("sigs", "leader")).alias("leader"))
-    edges = checkpointed(_linked(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), sets, percent))
+def _large(members: DataFrame, best: DataFrame, sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
+    """(node, comp) of large families (node, family); best has a leader per node."""
+    edges = checkpointed(_linked(best, sets, percent))
     comps = _contract(edges)
-    found = checkpointed(_across(groups, nothing if comps is None else comps, sets, percent))
+    found = checkpointed(_across(members, nothing if comps is None else comps, sets, percent))
     if not found.isEmpty():
         comps = _contract(edges.union(found))
     return nothing if comps is None else comps
@@ -381,9 +384,12 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
         families = families.select("node", F.col("comp").alias("family"))
         size = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
         comps = _solved(families.join(size.where(f"n <= {UNIT}"), "family"), sets, percent)
-        large = checkpointed(families.join(size.where(f"n > {UNIT}"), "family").select("node"))
+        large = checkpointed(families.join(size.where(f"n > {UNIT}"), "family").select("node", "family"))
         if not large.isEmpty():
-            comps = checkpointed(comps.union(_large(groups.join(large, "node", "left_semi"), sets, percent, nothing)))
+            lead = F.max_by("leader", F.struct(F.col("leader") != F.col("node"), "sigs", -F.col("leader"))).alias("b")
+            best = groups.groupBy("node").agg(lead).select(F.col("node").alias("a"), "b").where("a <> b")
+            best = large.select(F.col("node").alias("a")).join(best, "a")
+            comps = checkpointed(comps.union(_large(large, best, sets, percent, nothing)))
     placed = checkpointed(rows.join(nothing if comps is None else comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "least")
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
