@@ -212,7 +212,7 @@ def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, size, grams) of the nodes wanted; grams are packed. Texts move once, compressed, one of each node and chunk."""
+    """The rows wanted (node, family, members, leader) with size and grams, packed. Texts move once, compressed, one of each node and chunk."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
@@ -233,18 +233,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 h, count, _ = block_sets(b, n)
                 short = h >> U64(16)  # the order stays
                 cut = np.cumsum(count)[:-1]
-                yield pa.RecordBatch.from_arrays([b.doc_id.combine_chunks() if isinstance(b.doc_id, pa.ChunkedArray) else b.doc_id, pa.array(count, pa.int64()), pa.array([B.pack_sorted(x) for x in np.split(short, cut)], pa.binary())], ["node", "size", "grams"])
+                cols = [part[c].take(b.order) for c in ("node", "family", "members", "leader")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array([B.pack_sorted(x) for x in np.split(short, cut)], pa.binary())], ["node", "family", "members", "leader", "size", "grams"])
 
     named = docs.mapInArrow(name, "node long, packed binary")
-    one = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
-    return one.mapInArrow(sets, "node long, size long, grams binary")
+    one = named.join(wanted, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("family", "members", "leader", "packed")])
+    return one.mapInArrow(sets, "node long, family long, members long, leader long, size long, grams binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
-    one = sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("grams").alias("ga"))
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a node and its leader that link, by exact intersection."""
+    one = sets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("size").alias("na"), F.col("grams").alias("ga"))
     two = sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+    both = one.join(two, "b").where(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,8 +313,8 @@ def unit_links(node: np.ndarray, comp: np.ndarray, grams: list[np.ndarray], perc
     return out
 
 
-def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) of families (node, family) that fit into a task."""
+def _solved(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) of families that fit into a task."""
 
     def solve(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
@@ -331,12 +332,12 @@ def _solved(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             root[max(x, y)] = min(x, y)
         return pa.table({"node": pa.array(node, pa.int64()), "comp": pa.array([find(x) for x in node.tolist()], pa.int64())})
 
-    return members.join(sets.select("node", "grams"), "node").select("family", "node", "grams").groupBy("family").applyInArrow(solve, "node long, comp long")
+    return sets.select("family", "node", "grams").groupBy("family").applyInArrow(solve, "node long, comp long")
 
 
-def _across(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of the same family (node, family)."""
-    labelled = checkpointed(members.join(comps, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
+def _across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links between components of the same family."""
+    labelled = checkpointed(sets.select("node", "family").join(comps, "node", "left").select("family", "node", F.coalesce("comp", "node").alias("comp")))
     size = labelled.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
     whole = size.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("m"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
     whole = whole.select("family", "main", F.ceil(F.col("m") / UNIT).cast("int").alias("main_chunks"), F.ceil(F.col("rest") / UNIT).cast("int").alias("rest_chunks"))
@@ -354,11 +355,11 @@ def _across(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
     return units.join(sets.select("node", "grams"), "node").groupBy("family", "kind", "u", "v").applyInArrow(join, "a long, b long")
 
 
-def _large(members: DataFrame, best: DataFrame, sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
-    """(node, comp) of large families (node, family); best has a leader per node."""
-    edges = checkpointed(_linked(best, sets, percent))
+def _large(sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
+    """(node, comp) of large families."""
+    edges = checkpointed(_linked(sets, percent))
     comps = _contract(edges)
-    found = checkpointed(_across(members, nothing if comps is None else comps, sets, percent))
+    found = checkpointed(_across(sets, nothing if comps is None else comps, percent))
     if not found.isEmpty():
         comps = _contract(edges.union(found))
     return nothing if comps is None else comps
@@ -376,20 +377,19 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
 
     rows = d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles long, node long")
     groups = checkpointed(_groups(d, B.layout(d).buckets, n, percent))
-    sets = checkpointed(_sets(d, groups.select("node").distinct(), n))
     nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
     families = _contract(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     comps = None
     if families is not None:
         families = families.select("node", F.col("comp").alias("family"))
-        size = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-        comps = _solved(families.join(size.where(f"n <= {UNIT}"), "family"), sets, percent)
-        large = checkpointed(families.join(size.where(f"n > {UNIT}"), "family").select("node", "family"))
+        size = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+        best = groups.groupBy("node").agg(F.max_by("leader", F.struct(F.col("leader") != F.col("node"), "sigs", -F.col("leader"))).alias("leader"))
+        wanted = families.join(size, "family").join(best, "node").select("node", "family", "members", "leader")
+        sets = checkpointed(_sets(d, wanted, n))
+        large = sets.where(f"members > {UNIT}")
+        comps = _solved(sets.where(f"members <= {UNIT}"), percent)
         if not large.isEmpty():
-            lead = F.max_by("leader", F.struct(F.col("leader") != F.col("node"), "sigs", -F.col("leader"))).alias("b")
-            best = groups.groupBy("node").agg(lead).select(F.col("node").alias("a"), "b").where("a <> b")
-            best = large.select(F.col("node").alias("a")).join(best, "a")
-            comps = checkpointed(comps.union(_large(large, best, sets, percent, nothing)))
+            comps = checkpointed(comps.union(_large(large, percent, nothing)))
     placed = checkpointed(rows.join(nothing if comps is None else comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "least")
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
