@@ -117,17 +117,28 @@ def test_components_chain_and_hubs(spark):
     assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
 
 
-@pytest.mark.parametrize("seed", range(15))
-def test_linked_sets_share_a_signature(seed):
+@pytest.mark.parametrize("percent", [80, 85, 97])
+@pytest.mark.parametrize("seed", range(12))
+def test_linked_sets_share_a_signature(seed, percent):
+    """Whatever the sizes and wherever the differences lie, also where signatures are ordered by rarity."""
     rng = np.random.default_rng(seed)
-    size = int(rng.integers(1, 400))
-    a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
-    most = int(len(a) * 0.15 / 1.0)
-    b = np.unique(np.concatenate((a[: len(a) - int(rng.integers(0, most + 1))], rng.integers(0, 1 << 62, int(rng.integers(0, 3))).astype(np.uint64))))
-    both = len(np.intersect1d(a, b))
-    sig, of = jaccard_join.signatures(np.concatenate((a, b)), np.array([len(a), len(b)]), 85)
-    if 100 * both >= 85 * (len(a) + len(b) - both):
-        assert np.intersect1d(sig[of == 0], sig[of == 1]).size
+    draw = lambda n: rng.integers(0, 1 << 62, int(n)).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        a = np.unique(draw(rng.integers(1, 400)))
+        gone = rng.integers(0, len(a) * (100 - percent) // 100 + 1)
+        more = rng.integers(0, max(1, (100 * (len(a) - gone)) // percent - len(a) + 1))
+        sets += [a, np.unique(np.concatenate((rng.permutation(a)[gone:], draw(more))))]
+    h, count = np.concatenate(sets), np.array([len(x) for x in sets])
+    _, place, times = np.unique(h, return_inverse=True, return_counts=True)
+    linked = 0
+    for sig, of in (jaccard_join.signatures(h, count, percent), jaccard_join.signatures(h, count, percent, sub=2, spare=1.0, rarity=times[place])):
+        for x in range(0, len(sets), 2):
+            both = len(np.intersect1d(sets[x], sets[x + 1]))
+            if both < max(count[x], count[x + 1]) and 100 * both >= percent * (count[x] + count[x + 1] - both):
+                linked += 1
+                assert np.intersect1d(sig[of == x], sig[of == x + 1]).size
+    assert linked > 20
 
 
 def test_unit_links_join_what_links():
@@ -243,6 +254,52 @@ def test_large_families(spark, monkeypatch):
     assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
 
 
+def test_family_of_many_chunks(spark, monkeypatch):
+    """A family far larger than a unit, of texts around one passage, some of them near copies: the result is exact, and a set
+    is copied only to chunks that hold a set with which it shares rare n-grams."""
+    monkeypatch.setattr(jaccard_join, "UNIT", 8)
+    seen = []
+    whole = jaccard_join.units
+
+    def noted(*tables):
+        out = whole(*tables)
+        seen.extend(r.n for r in out.groupBy("node").agg(F.count("*").alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "units", noted)
+    rng = random.Random(3)
+    common = [f"p{i}" for i in range(40)]
+    docs = []
+    for i in range(160):
+        own = [f"u{i // 2}_{j}" for j in range(rng.choice([18, 25, 32]) if i % 2 == 0 else len(own))]
+        own[-1] = f"last{i}"
+        docs.append((i, " ".join(common + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
+    assert len({c for _, c in got.values()}) <= 80
+    assert 0 < max(seen) <= 4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contract(spark, seed):
+    """Chains, stars and random links come to one name each, whatever the order of the ids."""
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
+    got = {r.node: r.comp for r in jaccard_join._contract(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    ends = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(got) == ends
+    assert len({(find(x), got[x]) for x in ends}) == len({find(x) for x in ends}) == len({got[x] for x in ends})
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_roots(seed):
     rng = random.Random(seed)

@@ -5,30 +5,48 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, all at once. A local folder is set only if the session names none (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or, where that is unset, the context's. In local mode one is made if there is none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, all at once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to a new folder below the checkpoint folder, and read again."""
+    """df written as Parquet to a new folder below the checkpoint folder, and read again.
+
+    Unlike a checkpointed table it tells the planner its true size, where loops of joins would multiply estimates.
+    """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tables-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Deletes tables made by :func:`stored` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_stored_at", None):
+            spark = t.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _loose(t: T.DataType) -> T.DataType:
