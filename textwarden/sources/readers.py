@@ -14,12 +14,25 @@ from pyspark.sql import types as T
 from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
 
-# Column names tried in order, and label maps.
-TEXT_KEYS = ("text", "content", "excerpt", "prompt", "input", "description", "body")
-LABEL_KEYS = ("risk", "label", "category", "classification", "sensitivity")
-SENSITIVITY = {"public": "low", "internal": "low", "confidential": "med", "restricted": "high", "sensitive": "high"}
+# For each corpus the column names tried in order for text and label, and what a row without a label gets.
+CORPORA = {
+    "enterprise": (("text", "content", "excerpt", "prompt", "input"), ("sensitivity", "label", "risk", "category", "classification"), "med"),
+    "business": (("text", "content", "excerpt", "prompt", "input", "body"), ("risk", "label", "category", "classification", "sensitivity"), None),
+    "tabular": (("text", "content", "excerpt", "prompt", "input", "description", "body"), ("risk", "label", "category", "classification", "sensitivity"), None),
+}
+MAIL_KEYS = ("text", "content", "body", "excerpt", "prompt", "input", "message")
+SECRET_KEYS, SECRET_FLAGS = ("text", "snippet", "code"), ("is_positive", "positive", "is_secret")
+HUB_KEYS, HUB_FLAGS = ("text", "snippet", "code", "content", "statement", "line"), ("label", "leak", "is_secret", "in_clean_set", "vulnerable")
+HUB_CLEAN = ("0", "FALSE", "CLEAN", "NEGATIVE", "SAFE", "BENIGN")
+# Label maps.
+SENSITIVITY = {
+    "public": "low", "internal": "low", "low": "low", "confidential": "med", "medium": "med", "med": "med",
+    "restricted": "high", "sensitive": "high", "high": "high",
+}
 EXPECTED = {"safe": "silent", "low": "silent", "med": "warn", "medium": "warn", "risky": "block", "high": "block", "critical": "block"}
-PII_PRIORITY = ("AUTH", "FINANCIAL", "HEALTH", "ID", "CONTACT", "NAME", "LOCATION", "OTHER_PII", "O")
+# Classes from the lowest to the highest priority.
+ENGLISH = ("en", "en-US", "en-GB", "en_US", "en_GB")
+PII_PRIORITY = ("O", "NAME", "LOCATION", "CONTACT", "ID", "OTHER_PII", "FINANCIAL", "HEALTH", "AUTH")
 
 
 def raw(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -45,26 +58,78 @@ def first_present(df: DataFrame, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols]) if cols else F.lit(None).cast("string")
 
 
-def labelled(df: DataFrame, source: str, labels: dict[str, str] | None = None, other: str | None = None) -> DataFrame:
-    """(text, risk, source): rows with text; the label by the map, else by the common names, else ``other``."""
-    raw_label = F.lower(F.trim(first_present(df, LABEL_KEYS)))
-    chain = F.expr("cast(NULL AS string)")
-    for k, v in (labels or {}).items():
-        chain = F.when(raw_label == k, v).otherwise(chain)
-    known = df.select(first_present(df, TEXT_KEYS).alias("text"), raw_label.alias("_l"), F.coalesce(chain, F.lit(None).cast("string")).alias("_m"))
-    risk = F.coalesce("_m", F.expr(X.risk_name(SPARK, "_l")), F.lit(other).cast("string"))
-    return known.where("text IS NOT NULL").select("text", risk.alias("risk"), F.lit(source).alias("source"))
+def labelled(df: DataFrame, corpus: str, source: str | None = None) -> DataFrame:
+    """(text, risk, source): rows with text; the first label column that isn't null, by the map, med where the map lacks it.
+
+    Without a label the enterprise corpus has med, the others no risk (candidates without label).
+    """
+    text_keys, label_keys, without = CORPORA[corpus]
+    have = {c.lower(): c for c in df.columns}
+    labels = [F.lower(F.trim(F.col(f"`{have[k]}`").cast("string"))) for k in label_keys if k in have]
+    label = F.coalesce(*labels) if labels else F.lit(None).cast("string")
+    table = F.create_map(*[F.lit(x) for kv in SENSITIVITY.items() for x in kv])
+    risk = F.when(label.isNull() | (label == ""), F.lit(without)).otherwise(F.coalesce(table[label], F.lit("med")))
+    found = df.select(F.trim(first_present(df, text_keys)).alias("text"), risk.alias("risk"))
+    return found.where("text IS NOT NULL").select("text", "risk", F.lit(source or corpus).alias("source"))
 
 
 def sensitivity_corpus(spark: SparkSession, path: str, source: str) -> DataFrame:
-    return labelled(raw(spark, path), source, SENSITIVITY, "med")
+    return labelled(raw(spark, path), "enterprise", source)
+
+
+def mail_corpus(spark: SparkSession, path: str, most: int | None = None, id_col: str | None = None) -> DataFrame:
+    """(text, source) of mail files of one format; backups named ``*_full*`` are left out, ``most`` rows stay (the first by ``id_col``, else by text)."""
+    names = F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1))
+    d = raw(spark, path)
+    d = d.select(F.trim(first_present(d, MAIL_KEYS)).alias("text"), *([F.col(id_col)] if id_col else []), names.alias("_file"))
+    d = d.where("text IS NOT NULL AND NOT contains(_file, '_full')")
+    if most is not None:
+        d = d.orderBy(id_col or "text").limit(most)
+    return d.select("text", F.lit("mail").alias("source"))
+
+
+def balanced_rows(df: DataFrame, most: int | None = 12_000) -> DataFrame:
+    """(text, risk) of rows with 12 to 32,000 characters and a known risk; the first ``most`` by the digest of the text."""
+    risk = F.lower(F.trim(first_present(df, ("risk", "label"))))
+    d = df.select(F.trim(first_present(df, ("text", "content"))).alias("text"), F.when(risk == "medium", "med").otherwise(risk).alias("risk"))
+    d = d.where("length(text) BETWEEN 12 AND 32000 AND risk IN ('low', 'med', 'high')")
+    return d if most is None else d.orderBy(F.md5("text"), "text", "risk").limit(most)
+
+
+def _truth(df: DataFrame, name: str, false: tuple[str, ...] = ("",)) -> Column:
+    """Whether a column is true: booleans as they are, numbers other than 0, strings other than those named."""
+    kind = dict(df.dtypes)[name]
+    if kind == "boolean":
+        return F.col(f"`{name}`")
+    return ~F.upper(F.trim(F.col(f"`{name}`"))).isin(*false) if kind == "string" else F.col(f"`{name}`") != 0
+
+
+def secret_rows(df: DataFrame) -> DataFrame:
+    """(text, risk): by the first flag that isn't null high or low, else the row's risk; rows without either go."""
+    flags = [_truth(df, c) for c in SECRET_FLAGS if c in df.columns]
+    flag = F.coalesce(*flags) if flags else F.lit(None).cast("boolean")
+    given = F.lower(first_present(df, ("risk",)))
+    risk = F.when(flag, "high").when(~flag, "low").when(given.isin("low", "med", "high"), given)
+    return df.select(F.trim(first_present(df, SECRET_KEYS)).alias("text"), risk.alias("risk")).where("text <> '' AND risk IS NOT NULL")
+
 
+def hub_secret_rows(df: DataFrame) -> DataFrame:
+    """(text, risk) of a table with unknown columns: the first that may be the text (else the first at all) and the first that may be a label; high without."""
+    text = next((c for c in HUB_KEYS if c in df.columns), df.columns[0])
+    flag = next((c for c in HUB_FLAGS if c in df.columns), None)
+    risk = F.when(_truth(df, flag, HUB_CLEAN), "high").otherwise("low") if flag else F.lit("high")
+    return df.select(F.trim(F.col(f"`{text}`").cast("string")).alias("text"), risk.alias("risk")).where("length(text) >= 8")
 
-def by_fragments(df: DataFrame, kind: str = "type", fragments: str = "fragments", cap: int = 15_000) -> DataFrame:
-    """Code rows: three fragments or a secret's name are high; none in comments or safe rows low; else med."""
+
+def by_fragments(df: DataFrame, kind: str = "type", fragments: str = "fragments", cap: int | None = 15_000) -> DataFrame:
+    """Code rows: three fragments or a secret's name are high; none in comments or safe rows low; else med.
+
+    The first ``cap`` rows stay, by the digest of the row; all with None.
+    """
     k, n = F.lower(F.coalesce(F.col(kind), F.lit(""))), F.coalesce(F.size(fragments), F.lit(0))
     risk = F.when((n >= 3) | k.rlike("secret|key|password|token"), "high").when((n <= 0) & ((k == "") | k.rlike("comment|safe")), "low").otherwise("med")
-    return df.withColumn("risk", risk).limit(cap)
+    out = df.withColumn("risk", risk)
+    return out if cap is None else out.orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).limit(cap)
 
 
 def by_spans(df: DataFrame, label: str = "label", spans: str = "spans") -> DataFrame:
@@ -79,16 +144,24 @@ def by_spans(df: DataFrame, label: str = "label", spans: str = "spans") -> DataF
 def dominant_class(classes: Column) -> Column:
     """The class of highest priority; O without any."""
     order = F.array(*[F.lit(c) for c in PII_PRIORITY])
-    ranks = F.filter(F.transform(classes, lambda c: F.array_position(order, c)), lambda r: r > 0)
-    return F.when(F.size(ranks) > 0, F.element_at(order, F.array_min(ranks).cast("int"))).otherwise("O")
+    top = F.array_max(F.transform(classes, lambda c: F.array_position(order, c)))
+    return F.when(top > 0, F.element_at(order, top.cast("int"))).otherwise("O")
+
 
+def masked_templates(df: DataFrame, text_col: str, masked_col: str, collapse: dict[str, str], lang_col: str | None = None, most_chars: int = 1000) -> DataFrame:
+    """Templates with [TAG_n] placeholders: tags collapsed to classes, the dominant one as label.
 
-def masked_templates(df: DataFrame, text_col: str, masked_col: str, collapse: dict[str, str]) -> DataFrame:
-    """Templates with [TAG_n] placeholders: tags collapsed to classes, the dominant one as label."""
-    tags = F.regexp_extract_all(F.col(masked_col), F.lit(r"\[([A-Z_]+?)(?:_\d+)?\]"), F.lit(1))
+    The part of a tag before its first ``_`` is looked up, then the whole tag; else it is OTHER_PII. Of rows that name a language
+    the English ones stay; texts have 10 characters or more and are cut to ``most_chars``.
+    """
+    tags = F.transform(F.regexp_extract_all(F.col(masked_col), F.lit(r"\[([A-Za-z0-9_]+)\]"), F.lit(1)), F.upper)
     table = F.create_map(*[F.lit(x) for kv in collapse.items() for x in kv])
-    cls = F.transform(tags, lambda t: F.coalesce(table[t], F.lit("OTHER_PII")))
-    return df.where(F.length(text_col) >= 10).select(F.substring(text_col, 1, 1000).alias("text"), dominant_class(cls).alias("label"))
+    cls = F.transform(tags, lambda t: F.coalesce(table[F.substring_index(t, "_", 1)], table[t], F.lit("OTHER_PII")))
+    if lang_col:
+        lang = F.trim(F.coalesce(F.col(lang_col), F.lit("")))
+        df = df.where((lang == "") | lang.isin(*ENGLISH))
+    text = F.trim(F.col(text_col))
+    return df.where(F.length(text) >= 10).select(F.substring(text, 1, most_chars).alias("text"), dominant_class(F.coalesce(cls, F.array().cast("array<string>"))).alias("label"))
 
 
 def bio_tokens(df: DataFrame, tokens: str, tags: str, collapse: dict[str, str]) -> DataFrame:
@@ -174,17 +247,67 @@ def extract(path: str, content: bytes) -> list[tuple[str, str]]:
     return [(content.decode("utf-8", errors="replace"), "text")]
 
 
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines): lines that aren't blank, by file."""
+    d = spark.read.text(path).where(F.trim("value") != "")
+    return d.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def manual_rows(df: DataFrame) -> DataFrame:
+    """(text, risk) of a manual set: low, med or high, med for all else."""
+    label = F.lower(F.trim(first_present(df, ("risk", "label", "category", "classification"))))
+    risk = F.when(label.isin("low", "high"), label).otherwise("med")
+    return df.select(F.trim(first_present(df, ("text", "content", "excerpt", "prompt", "input"))).alias("text"), risk.alias("risk")).where("text IS NOT NULL")
+
+
 def telemetry_tail(spark: SparkSession, path: str, n: int = 2000) -> DataFrame:
     """The last n events of a JSON-lines log; bad lines are skipped."""
     d = spark.read.option("mode", "DROPMALFORMED").json(path)
     return d.orderBy(F.desc("timestamp")).limit(n)
 
 
+def knowledge_base_text(place: str, cache: str | None = None, token: str = "", seconds: float = 5.0) -> str:
+    """A knowledge base from a file or an https address; what was read last, from ``cache``, where that fails; "" without any."""
+    import urllib.request
+
+    try:
+        if place.startswith("https://"):
+            asked = urllib.request.Request(place, headers={"Authorization": f"token {token}"} if token else {})
+            with urllib.request.urlopen(asked, timeout=seconds) as answer:
+                text = answer.read().decode("utf-8")
+        else:
+            text = Path(place).read_text(encoding="utf-8")
+        knowledge_base(text)
+    except (OSError, ValueError, TypeError, KeyError, AttributeError):
+        return Path(cache).read_text(encoding="utf-8") if cache and Path(cache).is_file() else ""
+    if cache:
+        Path(cache).write_text(text, encoding="utf-8")
+    return text
+
+
+def _parsed(text: str) -> dict:
+    """JSON, or YAML where its library is there."""
+    try:
+        found = json.loads(text or "{}")
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("the knowledge base isn't JSON, and there is no YAML library") from None
+        try:
+            found = yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(f"the knowledge base is neither JSON nor YAML: {e}") from None
+    if not isinstance(found, dict):
+        raise ValueError("a knowledge base is a table of names")
+    return found
+
+
 def knowledge_base(text: str) -> tuple[list[dict], dict[str, str]]:
-    """(rules, sensitivity) of a JSON knowledge base: custom regexes, and forbidden terms as literal, high, case-blind rules; bad regexes are skipped."""
+    """(rules, sensitivity) of a JSON or YAML knowledge base: custom regexes, and forbidden terms as literal, high, case-blind rules; bad regexes are skipped."""
     import re
 
-    kb = json.loads(text or "{}")
+    kb = _parsed(text)
     rules = [{"name": r["name"], "regex": r["regex"], "risk": r.get("risk", "med")} for r in kb.get("custom_pii_patterns") or []]
     rules += [{"name": f"forbidden:{t[:64]}", "regex": "(?i)" + re.escape(t), "risk": "high"} for t in kb.get("forbidden_terms") or []]
     good = []

@@ -18,6 +18,28 @@ def append_events(df: DataFrame, path: str, text_col: str = "text") -> None:
     out.write.mode("append").parquet(path)
 
 
+def scan_history(df: DataFrame, path: str) -> None:
+    """One row for each scanned document."""
+    df.withColumn("scanned_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def with_reports(history: DataFrame, reports: DataFrame, key: str = "scan_id") -> DataFrame:
+    """The history with the report paths of ``reports`` (key, report_path); other rows keep theirs."""
+    own = F.col("report_path") if "report_path" in history.columns else F.lit(None).cast("string")
+    d = history.withColumn("_own", own).drop("report_path").join(reports.select(key, F.col("report_path").alias("_new")).dropDuplicates([key]), key, "left")
+    return d.withColumn("report_path", F.coalesce("_new", "_own")).drop("_own", "_new")
+
+
+def report_html(findings: DataFrame, title: str, most: int = 1000, longest: int = 80) -> str:
+    """A page that lists the first ``most`` findings (class, match, risk); of a longer match only that the section is sensitive."""
+    import html
+
+    rows = findings.select("class", "match", "risk").orderBy("class", "match").limit(most).collect()
+    shown = lambda m: html.escape(m) if len(m) <= longest else "section with sensitive text"
+    lines = "".join(f"<tr><td>{html.escape(r[0])}</td><td>{shown(r[1] or '')}</td><td>{html.escape(r[2] or '')}</td></tr>" for r in rows)
+    return f"<!doctype html><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr><th>Class</th><th>Match</th><th>Risk</th></tr>{lines}</table>"
+
+
 def export_csv(df: DataFrame, path: str, order: str = "event_id", limit: int = 5000) -> None:
     df.orderBy(F.desc(order)).limit(limit).write.mode("overwrite").option("header", True).csv(path)
 
