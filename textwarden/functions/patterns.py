@@ -74,8 +74,10 @@ SECRETS = (
     Pattern("SSH private key", r"-----BEGIN\s+(?:RSA\s+|EC\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", "secret"),
     Pattern("DB connection string", r"(?:mongodb|mysql|postgres|postgresql|redis|mssql)://[A-Za-z0-9_]+:[^@\s]+@", "secret"),
 )
-#: Runs that may be keys, and the entropy from which they are.
+#: Runs that may be keys, and the entropy from which they are. Spark looks behind first, so that a start inside a run fails at once.
 TOKEN, TOKEN_BITS = r"[A-Za-z0-9+/=_-]{36,}", 4.2
+TOKEN_RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{36,}"
+# The patterns of the demo's rule layer.
 DEMO = {
     "SSN": r"(?i)\b\d{3}-\d{2}-\d{4}\b",
     "Credit Card": r"(?i)\b(?:\d{4}[-\s]?){3}\d{4}\b",
@@ -90,8 +92,10 @@ DEMO = {
     "NPI": r"(?i)\bNPI\s*#?\s*:?\s*\d{10}\b",
     "Date (MM/DD/YYYY)": r"(?i)\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b",
 }
+# Which of them block and which warn.
 DEMO_CRITICAL = ("SSN", "Credit Card", "API Key", "AWS Key", "JWT", "MRN", "DEA Number")
 DEMO_MEDIUM = ("Email", "Phone", "IP Address", "Date (MM/DD/YYYY)")
+# What makes a mail high, and pairs of words that may be names.
 MAIL_HIGH = (
     r"\b\d{3}-\d{2}-\d{4}\b|\b\d{3}\s+\d{2}\s+\d{4}\b",
     r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b",
@@ -123,3 +127,40 @@ CATEGORIES = (
     ("LOCATION", ("street", "address", "city", "location", "avenue")),
     ("NAME", ("name", "mr ", "ms ", "dr ")),
 )
+
+
+@dataclass(frozen=True)
+class Guard:
+    """What any match needs, tested before the pattern: one of ``words`` in the lower-case text, and ``digits`` in its runs of digits."""
+
+    words: tuple[str, ...] = ()
+    digits: str = ""
+
+    def holds(self, low: str, digits: str, find) -> bool:
+        return (not self.words or any(w in low for w in self.words)) and (not self.digits or find(self.digits, digits) is not None)
+
+
+def _guards(patterns: tuple[Pattern, ...], *guards: Guard) -> dict[str, Guard]:
+    return {p.test: g for p, g in zip(patterns, guards, strict=True)} | {p.regex: g for p, g in zip(patterns, guards, strict=True)}
+
+
+#: Runs of digits are compared in a text in which all else has become single spaces.
+GUARDS = (
+    _guards(
+        STRONG, Guard(digits=r"\d{3} ?\d{2} ?\d{3}"), Guard(digits=r"(?:\d ?){12}\d"), Guard(digits=r"\d{2}"), Guard(digits=r"\d{9}"), Guard(digits=r"\d{3} ?\d{3} ?\d{4}"),
+        Guard(("@",)), Guard(digits=r"\d \d{1,3} \d{1,3} \d"), Guard((":",)), Guard(("passport",), r"\d{6}"), Guard(("passport", "travel"), r"\d{6}"),
+        Guard(("insurance", "sin"), r"\d{3} ?\d{3} ?\d{3}"), Guard(("aadha",), r"\d{4} ?\d{4} ?\d{4}"), Guard(("insurance", "ni"), r"\d{2} ?\d{2} ?\d{2}"), Guard(("cvv",), r"\d{4}"),
+    )
+    | _guards(
+        MEDIUM, Guard((",",), r"\d{5}"), Guard(("+",), r"\d"), Guard(digits=r"\d"), Guard(("cvv",), r"\d{3}"), Guard(("card",), r"\d{4}"),
+        Guard(("confidential", "internal", "trade", "proprietary")), Guard(("salary",)),
+    )
+    | _guards(HIPAA, Guard(("mrn", "medical"), r"\d{5}"), Guard(("dea",), r"\d{7}"), Guard(("npi",), r"\d{10}"), Guard(("member", "beneficiary", "policy")), Guard(("age", "old"), r"9\d|1\d\d"))
+    | _guards(
+        SECRETS, Guard(("sk-",)), Guard(("sk-",)), Guard(("rk_live_",)), Guard(("akia",)), Guard(("asia",)), Guard(("ghp_",)), Guard(("gho_",)), Guard(("github_pat_",)), Guard(("xox",)),
+        Guard(("aiza",)), Guard(("ya29.",)), Guard(("bearer",)), Guard(("apikey", "api_key", "api-key")), Guard(("secret_key_base",)), Guard(("eyj",)), Guard(("password", "passwd", "pwd")),
+        Guard(("-----begin",)), Guard(("://",)),
+    )
+)
+#: All runs of other characters become one space.
+NOT_DIGITS = "[^0-9]+"

@@ -32,16 +32,24 @@ def word_windows(df: DataFrame, key: str, text_col: str = "text", size: int = 12
 
 
 def scan(df: DataFrame, key: str = "doc_id", text_col: str = "text", policy: Policy | None = None) -> DataFrame:
-    """One row per document: risk, score, flagged and scored chunks, triggers."""
-    parts = chunks(df, key, text_col).where(F.length(F.expr(SPARK.strip("chunk"))) >= LEAST)
+    """One row per document (of a unique key): risk, score, flagged and scored chunks, triggers; one pass and one exchange of partial sums."""
+    low = S.seen(text_col)
+    seen = df.select(key, F.col(text_col).alias("_text"), *[F.expr(e).alias(c) for c, e in low.items()])
+    critical = F.expr(f"coalesce({S.found(SPARK, '_text', [p for p in STRONG if p.name in CRITICAL], S.SEEN)}, false)")
+    # the text's own flag goes along with its chunks, of which an empty text has none but one row
+    flagged = seen.select(key, "_text", critical.alias("_critical"))
+    last = F.when(F.length("_text") <= SIZE, F.lit(0)).otherwise(F.length("_text") - 1)
+    starts = F.when(F.length("_text") > 0, F.sequence(F.lit(0), last, F.lit(SIZE - OVERLAP)))
+    parts = flagged.select(key, "_critical", "_text", F.explode_outer(starts).alias("_start"))
+    parts = parts.select(key, "_critical", F.substring(F.col("_text"), F.col("_start") + 1, F.lit(SIZE)).alias("chunk"))
+    parts = parts.withColumn("_ok", F.coalesce(F.length(F.expr(SPARK.strip("chunk"))) >= LEAST, F.lit(False)))
+    parts = parts.withColumn("chunk", F.when(F.col("_ok"), F.col("chunk")))
     scored = S.score(parts, "chunk", policy=policy)
-    rank = F.expr("CASE action WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END")
-    rolled = scored.groupBy(key).agg(
-        F.max("risk_score").alias("top"), F.max(rank).alias("act"), F.count(F.lit(1)).alias("chunks_scored"),
-        F.sum(F.when(rank > 0, 1).otherwise(0)).alias("flagged_chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("triggers")))).alias("triggers"))
-    critical = " OR ".join(SPARK.rx(text_col, p.regex) for p in STRONG if p.name in CRITICAL)
-    docs = df.select(key, F.expr(f"coalesce({critical}, false)").alias("page_critical"))
-    out = docs.join(rolled, key, "left")
+    rank = F.when(F.col("_ok"), F.expr("CASE action WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END"))
+    out = scored.groupBy(key).agg(
+        F.max(F.when(F.col("_ok"), F.col("risk_score"))).alias("top"), F.max(rank).alias("act"), F.sum(F.col("_ok").cast("int")).alias("chunks_scored"),
+        F.sum(F.when(rank > 0, 1).otherwise(0)).alias("flagged_chunks"), F.max("_critical").alias("page_critical"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_ok"), F.col("triggers")))))).alias("triggers"))
     act = F.when(F.col("page_critical"), 2).otherwise(F.coalesce("act", F.lit(0)))
     return out.select(
         key,

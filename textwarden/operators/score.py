@@ -72,18 +72,37 @@ def detectors(kb: tuple[P.Pattern, ...] = ()) -> dict[str, list[P.Pattern]]:
     return out
 
 
-def found(d: Dialect, x: str, ps: list[P.Pattern]) -> str:
-    return "(" + " OR ".join(d.rx(x, p.test) for p in ps) + ")"
+#: Columns that guards read: the lower-case text and its runs of digits.
+SEEN = ("lowered", "digits")
 
 
-def secret(d: Dialect, x: str, bits: float = P.TOKEN_BITS) -> str:
+def seen(x: str) -> Level:
+    """The columns that guards read, for Spark."""
+    return {SEEN[0]: f"lower({x})", SEEN[1]: f"regexp_replace({x}, '{P.NOT_DIGITS}', ' ')"}
+
+
+def guarded(d: Dialect, x: str, pattern: str, guard: P.Guard | None, low: tuple[str, str] | None) -> str:
+    """Whether x matches; in Spark what any match needs is tested first, where the columns for that are given."""
+    test = d.rx(x, pattern)
+    if not d.spark or guard is None or low is None:
+        return test
+    needs = ([d.any(low[0], guard.words)] if guard.words else []) + ([d.rx(low[1], guard.digits)] if guard.digits else [])
+    return "(" + " AND ".join([*needs, test]) + ")"
+
+
+def found(d: Dialect, x: str, ps: list[P.Pattern], low: tuple[str, str] | None = None) -> str:
+    return "(" + " OR ".join(guarded(d, x, p.test, P.GUARDS.get(p.test), low) for p in ps) + ")"
+
+
+def secret(d: Dialect, x: str, bits: float = P.TOKEN_BITS, low: tuple[str, str] | None = None) -> str:
     """A known key format, or a long token of high entropy."""
-    return f"({found(d, x, list(P.SECRETS))} OR {d.exists(d.all_matches(x, P.TOKEN), 'k', f'{d.entropy('k')} >= {bits}')})"
+    tokens = d.all_matches(x, P.TOKEN_RUN if d.spark else P.TOKEN)
+    return f"({found(d, x, list(P.SECRETS), low)} OR {d.exists(tokens, 'k', f'{d.entropy('k')} >= {bits}')})"
 
 
-def override_risk(d: Dialect, x: str, base: str = "'low'") -> str:
+def override_risk(d: Dialect, x: str, base: str = "'low'", low: tuple[str, str] | None = None) -> str:
     """High with any strong detector; medium ones lift low to med; never lower."""
-    return f"CASE WHEN {found(d, x, list(P.STRONG))} THEN 'high' WHEN {base} = 'low' AND {found(d, x, list(P.MEDIUM))} THEN 'med' ELSE {base} END"
+    return f"CASE WHEN {found(d, x, list(P.STRONG), low)} THEN 'high' WHEN {base} = 'low' AND {found(d, x, list(P.MEDIUM), low)} THEN 'med' ELSE {base} END"
 
 
 def trigger_score(risk: str, flags: dict[str, str], extra: str = "0") -> str:
@@ -91,28 +110,40 @@ def trigger_score(risk: str, flags: dict[str, str], extra: str = "0") -> str:
     return f"least(100, CASE {risk} WHEN 'high' THEN 70 WHEN 'med' THEN 30 ELSE 0 END + {extra} + {' + '.join(terms)})"
 
 
-def _shared_hard(d: Dialect, t: str) -> list[str]:
+#: What matches of the text rules need.
+RULE_GUARDS = {
+    TAX_ID: P.Guard(("tax", "ein"), r"\d{2} \d{7}"), PAN: P.Guard(("pan",), r"\d{4}"), LICENSE: P.Guard(("license", "dl")),
+    ACCOUNT: P.Guard(("account",), r"\d{8}"), KEY_BASE: P.Guard(("secret_key_base",)),
+}
+
+
+def rule(d: Dialect, t: str, pattern: str) -> str:
+    return guarded(d, t, pattern, RULE_GUARDS[pattern], (t, SEEN[1]))
+
+
+def shared_hard(d: Dialect, t: str) -> str:
     """Text rules that both severity and hard block use."""
     pay = f"({d.has(t, 'payroll')} AND {d.any(t, PAYROLL_WORDS)})"
     staff = f"({d.has(t, 'employee')} AND {d.has(t, 'salary')} AND {d.any(t, ('dob', 'born'))})"
     bonus = f"({d.any(t, ('salary', 'salaries'))} AND {d.has(t, 'bonus')} AND {d.any(t, ('employee id', 'employee ids'))})"
     log = f"({d.has(t, 'debug log')} AND {d.any(t, ('email', 'emails'))} AND {d.any(t, ('id', 'order id', 'order ids'))})"
-    return [d.rx(t, TAX_ID), d.rx(t, PAN), d.rx(t, LICENSE), f"({d.has(t, 'swift')} AND {d.rx(t, SWIFT)} AND {d.has(t, 'account')})", pay, staff, bonus, log]
+    swift = f"({d.has(t, 'swift')} AND {d.has(t, 'account')} AND {d.rx(t, SWIFT)})"
+    return "(" + " OR ".join([rule(d, t, TAX_ID), rule(d, t, PAN), rule(d, t, LICENSE), swift, pay, staff, bonus, log]) + ")"
 
 
-def severity(d: Dialect, t: str, merged: str, prob: str, p: Policy) -> str:
+def severity(d: Dialect, t: str, merged: str, prob: str, p: Policy, shared: str = "shared") -> str:
     medical = d.any(t, MEDICAL_WORDS)
     return (
-        f"CASE WHEN {' OR '.join(_shared_hard(d, t))} OR {d.any(merged, CRITICAL_NAMES)} OR {d.any(t, CRITICAL_WORDS)} THEN 'high' "
+        f"CASE WHEN {shared} OR {d.any(merged, CRITICAL_NAMES)} OR {d.any(t, CRITICAL_WORDS)} THEN 'high' "
         f"WHEN {d.any(merged, ('email', 'phone'))} OR {d.any(t, MEDIUM_WORDS)} THEN 'med' "
         f"WHEN {medical} AND ({d.any(merged, ('person', 'name'))} OR {d.any(t, MEDICAL_ID_WORDS)}) OR {d.has(t, 'card ending')} AND {d.has(t, 'cvv')} THEN 'high' "
         f"WHEN {prob} >= {p.block_prob} THEN 'high' WHEN {prob} >= {p.warn_prob} THEN 'med' ELSE 'low' END"
     )
 
 
-def hard_block(d: Dialect, t: str, merged: str) -> str:
-    own = [d.any(merged, HARD_NAMES), f"({d.has(t, 'card ending')} AND {d.has(t, 'cvv')})", d.rx(t, ACCOUNT), d.rx(t, KEY_BASE), d.any(t, HARD_WORDS)]
-    return "(" + " OR ".join(own + _shared_hard(d, t)) + ")"
+def hard_block(d: Dialect, t: str, merged: str, shared: str = "shared") -> str:
+    own = [d.any(merged, HARD_NAMES), f"({d.has(t, 'card ending')} AND {d.has(t, 'cvv')})", rule(d, t, ACCOUNT), rule(d, t, KEY_BASE), d.any(t, HARD_WORDS)]
+    return "(" + " OR ".join([shared, *own]) + ")"
 
 
 def family_count(d: Dialect, t: str, merged: str) -> str:
@@ -142,9 +173,10 @@ def levels(d: Dialect, text: str = "text", prob: str | None = None, policy: Poli
     fam, conf = "families", "CASE WHEN critical THEN 0 ELSE greatest(prob, 1 - prob) END"
     return [
         {"stripped": f"coalesce({d.strip(text)}, '')", "prob": f"coalesce(cast({prob} AS double), 0)" if prob else "cast(0 AS double)"},
-        {"lowered": "lower(stripped)", "critical": secret(d, "stripped", p.token_bits)}
-        | {f: found(d, "stripped", names[n]) for n, f in flag.items()} | {f: d.rx("stripped", x.regex) for x, f in zip(P.HIPAA, hflag.values(), strict=True)},
-        {"listed": listed},
+        seen("stripped") if d.spark else {"lowered": "lower(stripped)"},
+        {"critical": secret(d, "stripped", p.token_bits, SEEN)}
+        | {f: found(d, "stripped", names[n], SEEN) for n, f in flag.items()} | {f: found(d, "stripped", [x], SEEN) for x, f in zip(P.HIPAA, hflag.values(), strict=True)},
+        {"listed": listed, "shared": shared_hard(d, "lowered")},
         {"merged0": f"lower({d.join('listed', ' | ')})"},
         {"severity0": f"CASE WHEN critical THEN 'high' ELSE {severity(d, 'lowered', 'merged0', 'prob', p)} END"},
         {"business": f"(NOT critical AND severity0 = 'med' AND {d.size('listed')} = 0 AND length(stripped) > 8 AND {d.any('lowered', BUSINESS_WORDS)})"},

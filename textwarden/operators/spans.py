@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.functions.dialect import SPARK, Dialect
-from textwarden.functions.patterns import HIPAA, MEDIUM, SECRETS, STRONG, Pattern
+from textwarden.functions.patterns import GUARDS, HIPAA, MEDIUM, NOT_DIGITS, SECRETS, STRONG, Pattern
 
 SPAN = "struct<start:int,end:int,class:string,match:string,source:string,risk:string>"
 RISK = {"strong": "high", "medium": "med", "critical": "critical", "secret": "high"}
@@ -42,19 +42,26 @@ def find(df: DataFrame, pattern: Pattern, text_col: str = "text", out: str = "sp
 
 
 def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *HIPAA, *SECRETS), text_col: str = "text", out: str = "spans") -> DataFrame:
-    """df with the spans of all detectors, in order of start and end; overlaps between detectors are kept."""
+    """df with the spans of all detectors, in order of start and end; overlaps between detectors are kept.
+
+    A detector is run on texts only that hold what its matches need; on texts beyond ASCII always, as letters may fold there.
+    """
     df = df.drop(out)
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [(re.compile(p.regex), p.name, "critical_secret" if p.tier == "secret" else "regex", RISK[p.tier]) for p in patterns]
+        table = [(re.compile(p.regex), GUARDS.get(p.regex), p.name, "critical_secret" if p.tier == "secret" else "regex", RISK[p.tier]) for p in patterns]
+        not_digits = re.compile(NOT_DIGITS)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *((k, pa.string()) for k in ("class", "match", "source", "risk"))]))
         for batch in batches:
             rows = []
             for text in batch.column(names.index(text_col)).to_pylist():
-                seen = {}
-                for rx, name, source, risk in table:
-                    for m in rx.finditer(text or ""):
+                seen, text = {}, text or ""
+                plain, low, digits = text.isascii(), text.lower(), not_digits.sub(" ", text)
+                for rx, guard, name, source, risk in table:
+                    if plain and guard and not guard.holds(low, digits, re.search):
+                        continue
+                    for m in rx.finditer(text):
                         seen.setdefault((m.start(), m.end(), name), {"start": m.start(), "end": m.end(), "class": name, "match": m.group()[:500], "source": source, "risk": risk})
                 rows.append([seen[k] for k in sorted(seen)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*names, out])
@@ -112,7 +119,7 @@ def highlight(text: str, spans: str) -> str:
 
 def mask(text: str, spans: str, mode: str = "full") -> str:
     form = {"full": "concat('[', s.class, ']')", "type_only": "concat('[', upper(s.class), ']')", "stars": "repeat('*', s.end - s.start)",
-            "partial": "CASE WHEN s.end - s.start <= 2 THEN repeat('*', s.end - s.start) ELSE concat(substring(s.match, 1, 1), repeat('*', s.end - s.start - 2), right(s.match, 1)) END"}[mode]
+            "partial": "CASE WHEN s.end - s.start <= 2 THEN repeat('*', s.end - s.start) ELSE concat(substring(t, s.start + 1, 1), repeat('*', s.end - s.start - 2), substring(t, s.end, 1)) END"}[mode]
     return replace_spans(text, for_mask(spans), form)
 
 

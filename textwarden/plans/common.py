@@ -15,10 +15,21 @@ class Query:
     sql: str | None = None
 
 
+#: Bytes of a file for each core up to which it is dealt out before costly work: such a file may be a single row group.
+SMALL = 32 << 20
+
+
 def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores if its files are small, as it is if they are large: a file of a single row group is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def scored_labels(t: Callable[[str], DataFrame]) -> DataFrame:
     """doc_id, y (toxic), p: a reproducible score that goes with the label, where no model is at hand."""
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / 4294967296.0

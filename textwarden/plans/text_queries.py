@@ -8,15 +8,20 @@ from textwarden.functions import patterns as P
 from textwarden.functions import text as X
 from textwarden.functions.dialect import CHECK, SPARK, Dialect, apply, nest
 from textwarden.operators import remediate, scan, score, spans
-from textwarden.plans.common import Query
+from textwarden.plans.common import Query, dealt
 from textwarden.sources.readers import unmarked
 
 ALL = {p.name: p for p in P.STRONG + P.MEDIUM}
 KB = (P.Pattern("kb:project", r"(?i)\bproject\s+[a-z]+\b", "strong"), P.Pattern("forbidden:onher", "(?i)onher", "strong"))
 
 
+def _texts(t):
+    """doc_id and text on all cores, with the columns that guards read."""
+    return dealt(t("documents").select("doc_id", "text")).selectExpr("doc_id", "text", *[f"{e} AS {c}" for c, e in score.seen("text").items()])
+
+
 def _flags(d: Dialect, table: dict[str, list[P.Pattern]], col: str = "text") -> dict[str, str]:
-    return {f"f{i}": score.found(d, col, ps) for i, ps in enumerate(table.values())}
+    return {f"f{i}": score.found(d, col, ps, score.SEEN) for i, ps in enumerate(table.values())}
 
 
 def _count_by_name(table: dict[str, list[P.Pattern]]):
@@ -26,7 +31,7 @@ def _count_by_name(table: dict[str, list[P.Pattern]]):
     def run(t, spark):
         sums = [F.expr(f"coalesce(sum(cast({e} AS int)), 0L)").alias(k) for k, e in _flags(SPARK, table).items()]
         rows = ", ".join(f"named_struct('name', {SPARK.q(n)}, 'n', f{i})" for i, n in enumerate(names))
-        return t("documents").agg(*sums).select(F.explode(F.expr(f"array({rows})")).alias("r")).select("r.*")
+        return _texts(t).agg(*sums).select(F.explode(F.expr(f"array({rows})")).alias("r")).select("r.*")
 
     one = "SELECT " + ", ".join(f"coalesce(sum({e}::INT), 0)::BIGINT AS {k}" for k, e in _flags(CHECK, table).items()) + " FROM documents"
     return Query(run, " UNION ALL ".join(f"SELECT {CHECK.q(n)} AS name, f{i} AS n FROM ({one})" for i, n in enumerate(names)))
@@ -37,7 +42,7 @@ def _pattern_sums(patterns: tuple[P.Pattern, ...]):
 
     def run(t, spark):
         rows = ", ".join(f"named_struct('name', {SPARK.q(patterns[int(k[1:])].name)}, 'place', {k[1:]}, 'n_matches', {k})" for k in ex(SPARK))
-        return t("documents").agg(*[F.expr(f"cast(sum({e}) AS bigint)").alias(k) for k, e in ex(SPARK).items()]).select(F.explode(F.expr(f"array({rows})")).alias("r")).select("r.*")
+        return _texts(t).agg(*[F.expr(f"cast(sum({e}) AS bigint)").alias(k) for k, e in ex(SPARK).items()]).select(F.explode(F.expr(f"array({rows})")).alias("r")).select("r.*")
 
     one = "SELECT " + ", ".join(f"sum({e})::BIGINT AS {k}" for k, e in ex(CHECK).items()) + " FROM documents"
     return Query(run, " UNION ALL ".join(f"SELECT {CHECK.q(patterns[int(k[1:])].name)} AS name, {k[1:]}::INTEGER AS place, {k} AS n_matches FROM ({one})" for k in ex(CHECK)))
@@ -46,13 +51,13 @@ def _pattern_sums(patterns: tuple[P.Pattern, ...]):
 def _per_doc(**columns):
     """doc_id and expressions that a function of the dialect gives."""
     return Query(
-        lambda t, spark: t("documents").selectExpr("doc_id", *[f"{f(SPARK)} AS {n}" for n, f in columns.items()]),
+        lambda t, spark: _texts(t).selectExpr("doc_id", *[f"{f(SPARK)} AS {n}" for n, f in columns.items()]),
         f"SELECT doc_id, {', '.join(f'{f(CHECK)} AS {n}' for n, f in columns.items())} FROM documents")
 
 
 def _n(d: Dialect, ps, col: str = "text") -> str:
     kind = "cast({} AS int)" if d.spark else "({})::INT"
-    return f"cast({' + '.join(kind.format(d.rx(col, p.test)) for p in ps)} AS bigint)"
+    return f"cast({' + '.join(kind.format(score.found(d, col, [p], score.SEEN)) for p in ps)} AS bigint)"
 
 
 RULES = ("doc_id", "risk", "risk_score", "action", "decision", "critical", "n_triggers")
@@ -60,7 +65,7 @@ RULES = ("doc_id", "risk", "risk_score", "action", "decision", "critical", "n_tr
 
 def _rules(prob: bool = False):
     def run(t, spark):
-        d = t("documents").select("doc_id", "text", F.expr("cast(pmod(doc_id * 37, 100) AS double) / 100").alias("pr"))
+        d = dealt(t("documents").select("doc_id", "text")).select("doc_id", "text", F.expr("cast(pmod(doc_id * 37, 100) AS double) / 100").alias("pr"))
         return apply(d, score.levels(SPARK, "text", "pr" if prob else None)).selectExpr("doc_id", "risk", "risk_score", "action", "decision", "critical", "cast(size(triggers) AS bigint) AS n_triggers")
 
     src = "(SELECT doc_id, text, ((doc_id * 37) % 100)::DOUBLE / 100 AS pr FROM documents)"
@@ -69,7 +74,7 @@ def _rules(prob: bool = False):
 
 def _tiers():
     def run(t, spark):
-        s = score.score(t("documents").select("doc_id", "text"))
+        s = score.score(dealt(t("documents").select("doc_id", "text")))
         return s.groupBy("risk", "action").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").cast("long").alias("score_sum"))
 
     return Query(run, f"SELECT risk, action, count(*) AS n, sum(risk_score)::BIGINT AS score_sum FROM ({nest('documents', score.levels(CHECK))}) GROUP BY 1, 2")
@@ -77,23 +82,23 @@ def _tiers():
 
 def _heuristic():
     def levels(d):
-        flags = {n: score.found(d, "text", ps) for n, ps in score.detectors().items()}
-        return [{"risk": score.override_risk(d, "text")}, {"score": f"cast({score.trigger_score('risk', flags)} AS int)"}]
+        flags = {n: score.found(d, "text", ps, score.SEEN) for n, ps in score.detectors().items()}
+        return [{"risk": score.override_risk(d, "text", low=score.SEEN)}, {"score": f"cast({score.trigger_score('risk', flags)} AS int)"}]
 
-    return Query(lambda t, spark: apply(t("documents").select("doc_id", "text"), levels(SPARK)).drop("text"), f"SELECT doc_id, risk, score FROM ({nest('(SELECT doc_id, text FROM documents)', levels(CHECK))})")
+    return Query(lambda t, spark: apply(_texts(t), levels(SPARK)).select("doc_id", "risk", "score"), f"SELECT doc_id, risk, score FROM ({nest('(SELECT doc_id, text FROM documents)', levels(CHECK))})")
 
 
 def _entropy():
     def levels(d):
         best = f"array_max(transform(toks, k -> {d.entropy('k')}))" if d.spark else f"list_max(list_transform(toks, lambda k: {d.entropy('k')}))"
-        return [{"toks": d.all_matches("text", P.TOKEN)}, {"n_tokens": f"cast({d.size('toks')} AS bigint)", "max_entropy": f"round(coalesce({best}, 0), 6)"}, {"fires": f"max_entropy >= {P.TOKEN_BITS}"}]
+        return [{"toks": d.all_matches("text", P.TOKEN_RUN if d.spark else P.TOKEN)}, {"n_tokens": f"cast({d.size('toks')} AS bigint)", "max_entropy": f"round(coalesce({best}, 0), 6)"}, {"fires": f"max_entropy >= {P.TOKEN_BITS}"}]
 
-    return Query(lambda t, spark: apply(t("documents").select("doc_id", "text"), levels(SPARK)).drop("text", "toks"), f"SELECT doc_id, n_tokens, max_entropy, fires FROM ({nest('(SELECT doc_id, text FROM documents)', levels(CHECK))})")
+    return Query(lambda t, spark: apply(dealt(t("documents").select("doc_id", "text")), levels(SPARK)).drop("text", "toks"), f"SELECT doc_id, n_tokens, max_entropy, fires FROM ({nest('(SELECT doc_id, text FROM documents)', levels(CHECK))})")
 
 
 def _replaced(steps):
     return Query(
-        lambda t, spark: apply(t("documents").select("doc_id", "text"), steps(SPARK, "text")).selectExpr("doc_id", f"md5({remediate.LAST}) AS text_md5", f"cast(length({remediate.LAST}) AS bigint) AS n_chars"),
+        lambda t, spark: apply(dealt(t("documents").select("doc_id", "text")), steps(SPARK, "text")).selectExpr("doc_id", f"md5({remediate.LAST}) AS text_md5", f"cast(length({remediate.LAST}) AS bigint) AS n_chars"),
         f"SELECT doc_id, md5({remediate.LAST}) AS text_md5, length({remediate.LAST})::BIGINT AS n_chars FROM ({nest('(SELECT doc_id, text FROM documents)', steps(CHECK, 'text'))})")
 
 
@@ -119,7 +124,7 @@ def _scan():
     r AS (SELECT doc_id, max(risk_score) AS top, max(CASE action WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS act, count(*) AS n, sum(CASE WHEN action <> 'silent' THEN 1 ELSE 0 END) AS flagged FROM c GROUP BY doc_id),
     d AS (SELECT doc_id, coalesce({crit}, false) AS crit FROM documents)
     SELECT doc_id, CASE WHEN crit OR act = 2 THEN 'high' WHEN act = 1 THEN 'med' ELSE 'low' END AS overall_risk, (CASE WHEN crit THEN 100 ELSE coalesce(top, 0) END)::INTEGER AS risk_score, coalesce(n, 0)::BIGINT AS chunks_scored, coalesce(flagged, 0)::BIGINT AS flagged_chunks FROM d LEFT JOIN r USING (doc_id)"""
-    return Query(lambda t, spark: scan.scan(t("documents")).drop("triggers"), sql)
+    return Query(lambda t, spark: scan.scan(dealt(t("documents").select("doc_id", "text"))).drop("triggers"), sql)
 
 
 def _mail(d: Dialect) -> str:
@@ -157,7 +162,7 @@ QUERIES: dict[str, Query] = {
     "secret_match_counts": _pattern_sums(P.SECRETS),
     "detector_flags": _per_doc(n_strong=lambda d: _n(d, P.STRONG), n_medium=lambda d: _n(d, P.MEDIUM), n_secret=lambda d: _n(d, P.SECRETS)),
     "critical_secret_entropy": _entropy(),
-    "critical_secret": _per_doc(critical=lambda d: score.secret(d, "text")),
+    "critical_secret": _per_doc(critical=lambda d: score.secret(d, "text", low=score.SEEN)),
     "heuristic_score": _heuristic(),
     "risk_tier_counts": _tiers(),
     "rule_only_action": _rules(),
@@ -179,8 +184,8 @@ QUERIES: dict[str, Query] = {
     "text_keys": _per_doc(fingerprint_md5=lambda d: f"md5({X.fingerprint(d, 'text')})", audit_md5=lambda d: X.audit_key(d, "text"), words_md5=lambda d: f"md5({X.words_key(d, 'text')})", text_hash=lambda d: X.text_hash(d, "text"), squeezed_md5=lambda d: f"md5({X.squeeze(d, 'text')})"),
     "paste_preprocess": _per_doc(skipped=lambda d: f"(length(text) < 3 OR {d.strip('text')} = '')", truncated=lambda d: "length(text) > 50000", estimated_chunks=lambda d: f"cast(greatest(1, floor({X.n_words(d, 'left(text, 50000)')} / 70)) AS bigint)"),
     "html_strip": _html(),
-    "span_overlap_pairs": Query(lambda t, spark: spans.overlap_pairs(spans.find_all(t("documents").select("doc_id", "text")), "doc_id").groupBy(F.col("one.class").alias("class_a"), F.col("two.class").alias("class_b")).agg(F.count(F.lit(1)).alias("n"))),
-    "highlight_spans": Query(lambda t, spark: spans.find_all(t("documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({spans.highlight('text', 'spans')}) AS text_md5")),
-    "mask_spans_partial": Query(lambda t, spark: spans.find_all(t("documents").select("doc_id", "text")).selectExpr("doc_id", f"md5({spans.mask('text', 'spans', 'partial')}) AS text_md5")),
-    "span_layer_summary": Query(lambda t, spark: spans.find_all(t("documents").select("doc_id", "text")).select(F.explode("spans").alias("s")).groupBy("s.source", "s.class").agg(F.count(F.lit(1)).alias("n"))),
+    "span_overlap_pairs": Query(lambda t, spark: spans.overlap_pairs(spans.find_all(dealt(t("documents").select("doc_id", "text"))), "doc_id").groupBy(F.col("one.class").alias("class_a"), F.col("two.class").alias("class_b")).agg(F.count(F.lit(1)).alias("n"))),
+    "highlight_spans": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).selectExpr("doc_id", f"md5({spans.highlight('text', 'spans')}) AS text_md5")),
+    "mask_spans_partial": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).selectExpr("doc_id", f"md5({spans.mask('text', 'spans', 'partial')}) AS text_md5")),
+    "span_layer_summary": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).select(F.explode("spans").alias("s")).groupBy("s.source", "s.class").agg(F.count(F.lit(1)).alias("n"))),
 }
