@@ -70,21 +70,29 @@ def near_duplicates(df: DataFrame, corpus: DataFrame, id_col: str, corpus_id: st
     return both.select(F.col("id").alias(id_col), F.col("other").alias(corpus_id), j.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = SEED) -> DataFrame:
-    """df with ``split``. If some class has one row only, the split ignores classes.
+def placed(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
+    """df with ``_at``: each row's place (from 1) in its class by digest, and ``_n``: the rows of the class.
 
-    Each row's place in its class comes from counts per (class, digest prefix) plus the order within the prefix, so no
-    window holds a whole class.
+    Places come from counts per (class, digest prefix) plus the order within the prefix, so no window holds a whole class. A
+    null label is a class of its own.
     """
-    keyed = df.withColumn("_h", draw(key, seed)).withColumn("_p", F.substring("_h", 1, 4))
-    small = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    keyed = keyed.join(F.broadcast(small)).withColumn("_c", F.when(F.col("least") >= 2, F.coalesce(F.col(label).cast("string"), F.lit("")))).drop("least")
-    keyed = keyed.withColumn("_c", F.coalesce("_c", F.lit("")))
-    bins = keyed.groupBy("_c", "_p").agg(F.count(F.lit(1)).alias("n"))  # at most 65536 rows for each class
+    keyed = df.withColumn("_h", draw(key, seed)).withColumn("_p", F.substring("_h", 1, 4)).withColumn("_c", F.col(label).cast("string"))
+    bins = keyed.groupBy("_c", "_p").agg(F.count(F.lit(1)).alias("_k"))  # at most 65536 rows for each class
     w = Window.partitionBy("_c").orderBy("_p")
-    before = bins.select("_c", "_p", (F.sum("n").over(w) - F.col("n")).alias("_before"), F.sum("n").over(Window.partitionBy("_c")).alias("_n"))
+    before = bins.select(F.col("_c").alias("_c2"), F.col("_p").alias("_p2"), (F.sum("_k").over(w) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy("_c")).alias("_n"))
     inner = F.row_number().over(Window.partitionBy("_c", "_p").orderBy("_h", key))
-    at = keyed.join(before, ["_c", "_p"]).withColumn("_at", F.col("_before") + inner)
+    at = keyed.withColumn("_r", inner).join(before, F.col("_c").eqNullSafe(F.col("_c2")) & (F.col("_p") == F.col("_p2")))
+    return at.withColumn("_at", F.col("_before") + F.col("_r")).drop("_h", "_p", "_c", "_c2", "_p2", "_before", "_r")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, shares: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = SEED) -> DataFrame:
+    """df with ``split``. If some class has one row only, the split ignores classes.
+
+    No window holds a whole class (:func:`placed`).
+    """
+    small = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("_least"))
+    keyed = df.join(F.broadcast(small)).withColumn("_class", F.when(F.col("_least") >= 2, F.coalesce(F.col(label).cast("string"), F.lit(""))).otherwise("")).drop("_least")
+    at = placed(keyed, key, "_class", seed)
     train, val = shares[0], shares[0] + shares[1]
     split = F.when(F.col("_at") <= F.round(F.col("_n") * train), "train").when(F.col("_at") <= F.round(F.col("_n") * val), "validation").otherwise("test")
     return at.withColumn("split", split).select(*[F.col(f"`{c}`") for c in df.columns], "split")
@@ -108,22 +116,24 @@ def leakage(train: DataFrame, val: DataFrame, text_col: str = "text", warn: floa
 
 
 def cap_per_class(df: DataFrame, key: str, label: str, caps: dict[str, int], seed: int = SEED) -> DataFrame:
-    """Up to the cap of each class, by digest; classes without a cap go. Only candidates below the cap's quantile are ranked."""
+    """Up to the cap of each class, by digest; classes without a cap go."""
     capped = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])
     d = df.withColumn("_cap", capped[F.col(label).cast("string")]).where("_cap IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))
-    return d.withColumn("_r", rank).where("_r <= _cap").drop("_r", "_cap")
+    return placed(d, key, label, seed).where("_at <= _cap").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def oversample(df: DataFrame, key: str, label: str, target: str = "max", seed: int = SEED) -> DataFrame:
     """Each class brought to the target count (max, min or median of the classes) by copies or by dropping, with ``copy`` from 0."""
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     want = {"max": F.max("_n"), "min": F.min("_n"), "median": F.expr("percentile(_n, 0.5)")}[target]
-    counts = n.join(F.broadcast(n.agg(want.cast("long").alias("_t"))))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key)) - 1
-    d = df.join(counts, label).withColumn("_r", rank)
-    copies = F.expr("cast(floor((_t - _r - 1) / _n) AS int)")
-    return d.where("_r < _t").withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_n", "_t", "_r")
+    d = placed(df.where(F.col(label).isNotNull()), key, label, seed).join(F.broadcast(n.where(F.col(label).isNotNull()).agg(want.cast("long").alias("_t"))))
+    return _copied(d, df.columns)
+
+
+def _copied(d: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with a place ``_at`` in a class of ``_n`` as often as it takes to get ``_t`` rows of the class; adds ``copy`` from 0."""
+    copies = F.expr("cast(floor((_t - _at) / _n) AS int)")
+    return d.where("_at <= _t").select(*[F.col(f"`{c}`") for c in columns if c != "copy"], F.explode(F.sequence(F.lit(0), copies)).alias("copy"))
 
 
 def class_weights(df: DataFrame, label: str, mean_one: bool = True, root: bool = False) -> DataFrame:
@@ -149,20 +159,18 @@ def audit(df: DataFrame, text_col: str = "text") -> DataFrame:
 def class_floors(df: DataFrame, key: str, label: str, floors: dict[str, int], most: float | None = None, seed: int = SEED) -> DataFrame:
     """Classes below their floor are raised to it by copies; with ``most``, none keeps more than that times the smallest floor. Adds ``copy``."""
     table = F.create_map(*[x for k, v in floors.items() for x in (F.lit(k), F.lit(v))])
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_floor", F.coalesce(table[F.col(label).cast("string")], F.lit(0)))
     cap = F.lit(int(most * min(floors.values()))) if most else F.col("_n")
-    n = n.withColumn("_t", F.greatest(F.col("_floor"), F.least(F.col("_n"), cap)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key)) - 1
-    d = df.join(F.broadcast(n), label).withColumn("_r", rank).where("_r < _t")
-    return d.withColumn("copy", F.explode(F.expr("sequence(0, cast(floor((_t - _r - 1) / _n) AS int))"))).drop("_n", "_floor", "_t", "_r")
+    d = placed(df.where(F.col(label).isNotNull()), key, label, seed)
+    target = F.greatest(F.coalesce(table[F.col(label).cast("string")], F.lit(0)), F.least(F.col("_n"), cap))
+    return _copied(d.withColumn("_t", target.cast("long")), df.columns)
 
 
 def holdout_coverage(holdout: DataFrame, pool: DataFrame, key: str, label: str, least: dict[str, int], seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(hold-out, pool): real rows moved from the pool until each class of the hold-out has its least count, as far as the pool goes."""
     have = holdout.groupBy(label).agg(F.count(F.lit(1)).alias("_have"))
     table = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(key, seed), key))
-    moved = pool.join(F.broadcast(have), label, "left").withColumn("_r", rank).where(F.col("_r") <= F.coalesce(table[F.col(label)], F.lit(0)) - F.coalesce("_have", F.lit(0))).select(*pool.columns)
+    ranked = placed(pool, key, label, seed).join(have, label, "left")
+    moved = ranked.where(F.col("_at") <= F.coalesce(table[F.col(label).cast("string")], F.lit(0)) - F.coalesce("_have", F.lit(0))).select(*[F.col(f"`{c}`") for c in pool.columns])
     return holdout.unionByName(moved), pool.join(moved.select(key), key, "left_anti")
 
 
@@ -179,6 +187,29 @@ def cap_copies(df: DataFrame, key: str, label: str, targets: dict[str, int], see
     return class_floors(cap_per_class(df, key, label, targets, seed), key, label, targets, seed=seed)
 
 
+def labelled_rows(df: DataFrame, label: str = "risk") -> DataFrame:
+    """Rows with a label that isn't blank."""
+    return df.where(F.trim(F.coalesce(F.col(label), F.lit(""))) != "")
+
+
+def manual_overlap(manual: DataFrame, train: DataFrame, val: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: how many different texts (trimmed, lower case) of the manual set are also in train, and in validation."""
+    key = F.expr(f"lower({SPARK.strip(text_col)})")
+    sets = [d.select(F.md5(key).alias("h"), F.lit(n).alias("n")) for n, d in (("m", manual), ("t", train), ("v", val))]
+    seen = reduce(lambda a, b: a.unionByName(b), sets).where("h IS NOT NULL").groupBy("h").agg(*[F.max(F.col("n") == x).alias(x) for x in "mtv"])
+    hit = lambda c: F.coalesce(F.sum(F.expr(f"cast(m AND {c} AS int)")), F.lit(0)).cast("long")
+    return seen.agg(hit("t").alias("in_train"), hit("v").alias("in_validation"))
+
+
+def span_splits(train: DataFrame, test: DataFrame, key: str, most_train: int = 20_000, most_val: int = 3_000, most_test: int = 5_000, share: float = 0.15, seed: int = SEED) -> DataFrame:
+    """Rows (with ``risk``) of a span corpus in three splits: a stratified share of the train rows is validation; each split is capped by digest."""
+    d = train.orderBy(draw(key, seed), key).limit(most_train)
+    d = stratified_split(d, key, "risk", (1 - share, 0.0, share), seed).withColumn("split", F.when(F.col("split") == "train", "train").otherwise("validation"))
+    val = d.where("split = 'validation'").orderBy(draw(key, seed + 1), key).limit(most_val)
+    held = test.orderBy(draw(key, seed), key).limit(most_test).withColumn("split", F.lit("test"))
+    return d.where("split = 'train'").unionByName(val).unionByName(held)
+
+
 def equal_thirds(df: DataFrame, key: str, label: str, seed: int = SEED) -> DataFrame:
     """low, med and high at the count of med (of the smallest class, if there is no med)."""
     n = {r[0]: r[1] for r in df.where(F.col(label).isin("low", "med", "high")).groupBy(label).count().collect()}
@@ -195,5 +226,6 @@ def small_corpus_guard(df: DataFrame, split: str, label: str, least: int = 20, p
 def candidates(texts: DataFrame, known: DataFrame, text_col: str, n: int, threshold: float = 0.62) -> DataFrame:
     """The first n different texts that aren't near any known text."""
     d = texts.select(F.expr(X.words_key(SPARK, text_col)).alias("_k"), text_col).where("_k <> ''").groupBy("_k").agg(F.min(text_col).alias(text_col))
-    near = near_duplicates(d, known.select(F.monotonically_increasing_id().alias("_o"), F.col(text_col)), "_k", "_o", text_col, threshold).select("_k").distinct()
+    one = known.select(F.md5(text_col).alias("_o"), F.col(text_col)).where("_o IS NOT NULL").dropDuplicates(["_o"])
+    near = near_duplicates(d, one, "_k", "_o", text_col, threshold).select("_k").distinct()
     return d.join(near, "_k", "left_anti").orderBy("_k").limit(n).select(text_col)

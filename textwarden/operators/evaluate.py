@@ -35,18 +35,42 @@ def confusion(df: DataFrame, label: str, predicted: Column) -> DataFrame:
 
 
 def two_sided(df: DataFrame, label: str, predicted: Column) -> DataFrame:
-    d = with_metrics(confusion(df, label, predicted))
+    return sided(with_metrics(confusion(df, label, predicted)))
+
+
+def sided(d: DataFrame) -> DataFrame:
+    """Metrics of the safe class and the macro F1 beside those of the risky class."""
     sp, sr = ratio("tn", F.col("tn") + F.col("fn")), ratio("tn", F.col("tn") + F.col("fp"))
     d = d.withColumns({"safe_precision": sp, "safe_recall": sr})
     d = d.withColumn("safe_f1", ratio(2 * F.col("safe_precision") * F.col("safe_recall"), F.col("safe_precision") + F.col("safe_recall")))
     return d.withColumn("macro_f1", (F.col("f1") + F.col("safe_f1")) / 2)
 
 
+#: Even bins of the range of an ordering column; running sums go bin by bin, and over the bins' totals.
+BINS = 4096
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """df with running sums (new column: column summed) in order of a number, rows of equal numbers together.
+
+    The rows are split into up to BINS even bins, so no task orders the whole table; only the bins' totals (BINS rows) meet in one.
+    """
+    edge = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    place = F.coalesce(F.least(F.lit(BINS - 1), F.floor((F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BINS)), F.lit(0))
+    binned = df.join(F.broadcast(edge)).withColumn("_bin", place.cast("int")).drop("_lo", "_hi")
+    by = F.desc if descending else F.asc
+    before = Window.orderBy(by("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = totals.select("_bin", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = Window.partitionBy("_bin").orderBy(by(order))
+    out = binned.join(F.broadcast(totals), "_bin").withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop("_bin", *[f"_b_{n}" for n in sums])
+
+
 def histogram(df: DataFrame, label: str, score: str) -> DataFrame:
     """(p, pos, neg) per distinct score, and the counts at or above it."""
     h = df.groupBy(F.col(score).alias("p")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
-    w = Window.orderBy(F.desc("p"))
-    return h.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    return running(h, "p", {"tp": "pos", "fp": "neg"}, descending=True)
 
 
 def grid(spark: SparkSession, first: int, last: int, step: int, scale: int = 100) -> DataFrame:
@@ -116,9 +140,13 @@ def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def areas(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: ROC AUC and AUPRC by trapezes, and average precision. The rows are distinct scores, in order."""
-    w = Window.orderBy(F.desc("p"))
-    c = pr_curve(df, label, score).withColumns({k: F.coalesce(F.lag(v).over(w), F.lit(d)) for k, v, d in (("fpr0", "fpr", 0.0), ("rec0", "recall", 0.0), ("prec0", "precision", 1.0))})
+    """One row: ROC AUC and AUPRC by trapezes, and average precision, over the distinct scores. The point before is a row's sums without its own counts."""
+    h = histogram(df, label, score)
+    n = h.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    c = h.join(F.broadcast(n)).select(
+        ratio("tp", F.col("tp") + F.col("fp")).alias("precision"), ratio("tp", "n_pos").alias("recall"), ratio("fp", "n_neg").alias("fpr"),
+        F.when(tp0 + fp0 == 0, F.lit(1.0)).otherwise(ratio(tp0, tp0 + fp0)).alias("prec0"), ratio(tp0, "n_pos").alias("rec0"), ratio(fp0, "n_neg").alias("fpr0"))
     return c.agg(
         F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("recall") + F.col("rec0")) / 2).alias("roc_auc"),
         F.sum((F.col("recall") - F.col("rec0")) * (F.col("precision") + F.col("prec0")) / 2).alias("auprc"),
@@ -126,8 +154,13 @@ def areas(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def resample(curve: DataFrame, x: str, y: str, points: int = 101) -> DataFrame:
-    """y at ``points`` even places of x in [0, 1], interpolated between neighbours; the curve is a bounded table."""
+    """y at ``points`` even places of x in [0, 1], interpolated between neighbours.
+
+    Of the curve only the first and last point of each of 4 (points - 1) even cells can be a place's neighbours; that table is small.
+    """
     best = curve.groupBy(F.col(x).alias("x")).agg(F.max(y).alias("y"))
+    cells = best.groupBy(F.floor(F.col("x") * (4 * (points - 1))).alias("cell")).agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"))
+    best = cells.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("s")).select("s.x", "s.y")
     w = Window.orderBy("x")
     seg = best.withColumns({"x1": F.lead("x").over(w), "y1": F.lead("y").over(w), "first": F.row_number().over(w) == 1})
     g = curve.sparkSession.range(points).select((F.col("id") / (points - 1)).alias("gx"))
@@ -137,11 +170,10 @@ def resample(curve: DataFrame, x: str, y: str, points: int = 101) -> DataFrame:
 
 
 def downsample(curve: DataFrame, order: str, points: int = 96) -> DataFrame:
-    """Up to ``points`` rows at rounded even places, first and last included."""
-    w = Window.orderBy(order)
-    d = curve.withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    """Up to ``points`` rows at rounded even places, first and last included; the rows differ in ``order``."""
+    d = running(curve.withColumn("_one", F.lit(1)), order, {"_i": "_one"}).withColumn("_i", F.col("_i") - 1).join(F.broadcast(curve.agg(F.count(F.lit(1)).alias("_n"))))
     picks = F.expr(f"transform(sequence(0, {points - 1}), i -> cast(rint(i * (_n - 1) / {float(points - 1)}D) AS int))")
-    return d.where((F.col("_n") <= points) | F.array_contains(picks, F.col("_i"))).drop("_i", "_n")
+    return d.where((F.col("_n") <= points) | F.array_contains(picks, F.col("_i").cast("int"))).drop("_i", "_n", "_one")
 
 
 def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -169,6 +201,62 @@ def safety_profile(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return d.withColumns({"miss_rate": ratio(F.col("high_to_low") + F.col("high_to_med"), "n_high"), "false_alarm_rate": ratio("other_to_high", "n_other")})
 
 
+def candidate_hits(candidates: DataFrame, predictions: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """candidates with ``hit``: whether a predicted span (key, start, end) of the same text overlaps them (half-open)."""
+    spans = predictions.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_spans"))
+    hit = F.exists("_spans", lambda s: (F.col(end) > s["a"]) & (F.col(start) < s["b"]))
+    return candidates.join(spans, F.col(key) == F.col("_key"), "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_key", "_spans")
+
+
+def errors(df: DataFrame, truth: str, predicted: str, score: str) -> DataFrame:
+    """The misclassified rows with ``missed_high``; missed high ones first, then by score from the top."""
+    wrong = df.where(~F.col(truth).eqNullSafe(F.col(predicted))).withColumn("missed_high", F.col(truth) == "high")
+    return wrong.orderBy(F.desc("missed_high"), F.desc(score))
+
+
+def miss_patterns(df: DataFrame, text: str, start: str) -> DataFrame:
+    """One row of counts over missed candidates: under three words, capitals only, numbers only, at the start of the text."""
+    t = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    words = F.regexp_count(t, F.lit(r"\S+"))
+    return df.agg(n(words < 3).alias("short"), n((F.upper(t) == t) & t.rlike("[A-Z]")).alias("capitals"), n(t.rlike("^[0-9./ -]+$")).alias("numbers_only"), n(F.col(start) == 0).alias("at_start"))
+
+
+# Thresholds of the final check.
+CHECKED = (0.35, 0.40, 0.45, 0.50)
+
+
+def threshold_check(df: DataFrame, spark: SparkSession, label: str, score: str, thresholds: tuple[float, ...] = CHECKED) -> DataFrame:
+    """Metrics of both classes at each threshold and ``place``: by macro F1, safe recall, risky precision, then the lower FPR."""
+    c = at_thresholds(df, spark.createDataFrame([(t,) for t in thresholds], "threshold double"), label, score)
+    d = sided(with_metrics(c))
+    w = Window.orderBy(F.desc("macro_f1"), F.desc("safe_recall"), F.desc("precision"), "fpr", "threshold")  # a row per threshold
+    return d.withColumn("place", F.row_number().over(w))
+
+
+def class_limits(curve: DataFrame, least: float = 0.85) -> DataFrame:
+    """One row of (warn, block) from a curve: the lowest score with that precision blocks, 0.15 below it (0.30 at least) warns; no row if none has."""
+    t = curve.where(F.col("precision") >= least).agg(F.min("p").alias("t")).where("t IS NOT NULL")
+    return t.select(F.round("t", 3).alias("block")).select(F.round(F.greatest(F.lit(0.30), F.col("block") - 0.15), 3).alias("warn"), "block")
+
+
+def macro_auprc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: the mean of the areas under the precision-recall curves of both classes (the safe class by 1 - score)."""
+    safe = df.select((1 - F.col(label)).alias(label), (1 - F.col(score)).alias(score))
+    return areas(df, label, score).select("auprc").union(areas(safe, label, score).select("auprc")).agg(F.avg("auprc").alias("macro_auprc"))
+
+
+def best_and_last(log: DataFrame, order: str, metric: str, loss: str = "eval_loss", greater: bool = True) -> DataFrame:
+    """(which, the columns of log): the evaluation row of best metric (of least loss where no row has the metric), and the last by ``order``."""
+    e = log.where(F.col(loss).isNotNull())
+    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
+    m = F.col(metric) if greater else -F.col(metric)
+    first = -F.col(order)  # of equal rows the first
+    top = e.agg(F.max_by(row, F.when(F.col(metric).isNotNull(), F.struct(m.alias("m"), first.alias("o")))).alias("by_metric"), F.max_by(row, F.struct((-F.col(loss)).alias("m"), first.alias("o"))).alias("by_loss"), F.max_by(row, order).alias("last"))
+    named = F.array(F.struct(F.lit("best").alias("which"), F.coalesce("by_metric", "by_loss").alias("r")), F.struct(F.lit("last").alias("which"), F.col("last").alias("r")))
+    return top.where("last IS NOT NULL").select(F.explode(named).alias("x")).select("x.which", "x.r.*")
+
+
 def mcnemar(df: DataFrame, label: str, a: Column, b: Column) -> DataFrame:
     ra, rb = a == (F.col(label) == 1), b == (F.col(label) == 1)
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")

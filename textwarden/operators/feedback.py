@@ -57,5 +57,30 @@ def uncertainty_queue(df: DataFrame, probs: str, key: str, k: int = 200) -> Data
     return df.select(key, (1 - ranked[0]).alias("uncertainty"), ranked[1].alias("second")).orderBy(F.desc("uncertainty"), key).limit(k)
 
 
+#: Characters of a text that the index of hashes keeps.
+PREVIEW = 500
+
+
+def record(df: DataFrame, text: str = "text", predicted: str = "predicted", correct: str = "correct", at: str = "at", source: str = "user", keep_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Three tables to append: the feedback rows, (text_hash, text_preview), and (text_hash, text) unless texts aren't to be kept.
+
+    The hash is of the text as it is, not stripped. ``risk_score`` and ``feedback_type`` go along where df has them.
+    """
+    d = df.where(F.col(text).isNotNull()).withColumn("text_hash", F.sha2(F.col(text), 256))
+    more = [F.col(c) for c in ("risk_score", "feedback_type") if c in df.columns]
+    rows = d.select(F.col(at).alias("timestamp"), "text_hash", F.col(predicted).alias("predicted"), F.col(correct).alias("correct"), F.lit(source).alias("source"), F.lit(False).alias("used_for_training"), *more)
+    return rows, d.select("text_hash", F.substring(text, 1, PREVIEW).alias("text_preview")), d.select("text_hash", F.col(text).alias("text")) if keep_text else None
+
+
+def export_rows(bubble: DataFrame, corrections: DataFrame) -> DataFrame:
+    """(text, risk, merge_source) of both exports; rows without text or a known risk go."""
+    def usable(df: DataFrame, name: str) -> DataFrame:
+        pick = lambda *names: F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in names if c in df.columns])
+        d = df.select(F.trim(pick("text", "content")).alias("text"), pick("risk", "label").alias("_r"))
+        return d.select("text", F.expr(X.risk_name(SPARK, "_r")).alias("risk"), F.lit(name).alias("merge_source")).where("text IS NOT NULL AND risk IS NOT NULL")
+
+    return usable(bubble, "bubble_export").unionByName(usable(corrections, "span_export"))
+
+
 def review(rows: DataFrame, line: str, approved: list[int]) -> DataFrame:
     return rows.withColumn("review_status", F.when(F.col(line).isin(*approved), "approved").otherwise(F.col("review_status"))) if approved else rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textwarden.functions.dialect import Dialect
+from textwarden.operators.spans import offsets
 
 # Phrases, seeds, stop words and name tables.
 CONTEXT = {"full_name": r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", "date": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", "age_phrase": r"(?i)\b(?:age[d]?\s+\d{1,3}|\d{1,3}\s+years?\s+old)\b"}
@@ -31,6 +32,17 @@ PHI_TYPES = {
 BENCHMARK_TYPES = ((("ssn", "insurance number", "aadhaar"), "SSN"), (("email", "phone"), "CONTACT"), (("passport",), "ID"), (("routing", "iban", "card"), "FINANCIAL"), (("ip",), "CONTACT"))
 
 
+#: A sentence goes up to its end mark or line end.
+SENTENCE = r"[^.!?\n]+[.!?\n]?"
+
+
+def sentence_spans(d: Dialect, x: str) -> str:
+    """List of (start, end, match) of the sentences that aren't blank."""
+    found = offsets(d, x, SENTENCE)
+    test = f"{d.strip('s.match')} <> ''"
+    return f"filter({found}, s -> {test})" if d.spark else f"list_filter({found}, lambda s: {test})"
+
+
 def first_match(d: Dialect, x: str, pattern: str) -> str:
     return f"nullif(regexp_extract({x}, {d.q(pattern)}, 0), '')"
 

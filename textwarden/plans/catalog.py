@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textwarden.plans import data_queries, event_queries, model_queries, text_queries
+from textwarden.plans import data_queries, event_queries, layer_queries, loader_queries, model_queries, text_queries
 from textwarden.plans.common import Query, reader
 
-ALL: dict[str, Query] = text_queries.QUERIES | data_queries.QUERIES | model_queries.QUERIES | event_queries.QUERIES
+ALL: dict[str, Query] = text_queries.QUERIES | data_queries.QUERIES | model_queries.QUERIES | event_queries.QUERIES | layer_queries.QUERIES | loader_queries.QUERIES
 
 
 def _bind(q: Query) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: q.sql for n, q in ALL.items() if q.sql}
+    return {n: q.sql for n, q in ALL.items() if q.sql} | loader_queries.MORE_SQL
