@@ -4,12 +4,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
 
+from textwarden.llm import blocks as B
 from textwarden.llm import jaccard_join, lm_scoring, mixing, quality, substring_dedup, suffix_dedup
-from textwarden.llm.hashing import Rolling, sliding_min
+from textwarden.llm.hashing import Rolling, mix, sliding_min
 
 
 def key(x):
@@ -229,6 +231,75 @@ def test_quality_em(spark):
     assert m.prior == pytest.approx(prior) and [(c.a, c.b) for c in m.acc] == [(pytest.approx(a), pytest.approx(b)) for a, b in acc]
 
 
+@pytest.mark.parametrize("blocks,buckets", [(40, 2049), (5000, 9000), (3, 70_000)])
+def test_two_step_counts(spark, blocks, buckets):
+    """Counts are the same in one step and two, and no task makes more slices than the square roots allow."""
+    rng = np.random.default_rng(blocks)
+    rows = [(int(i), rng.choice(400, 60).astype(np.int64).tolist()) for i in rng.choice(blocks, 12)]
+    df = spark.createDataFrame(rows, "block int, tokens array<long>")
+
+    def grams(table):
+        flat = [x for v in table["tokens"].to_pylist() for x in v]
+        return mix(np.array(flat, np.uint64))
+
+    lay = B.Layout(blocks, buckets)
+    supers, coarse, fine = lay.steps
+    assert supers and coarse * fine >= buckets and max(coarse, fine, supers) <= 2 + 1.01 * max(buckets, blocks) ** 0.5
+    back = B.corpus_counts(df, lay, grams).toArrow()
+    total = {}
+    for _, ts in rows:
+        for x in ts:
+            total[x] = total.get(x, 0) + 1
+    for block in {b for b, _ in rows}:
+        own = np.array(sorted({x for b, ts in rows for x in ts if b == block}), np.uint64)
+        order = np.argsort(mix(own))
+        mine = back.filter(pc.equal(back["block"], block))
+        assert len(mine) <= coarse
+        assert B.block_counts(mix(own)[order], mine).tolist() == [total[x] for x in own[order].tolist()]
+
+
+def test_two_step_signatures(spark, monkeypatch):
+    """Components are the same when signatures go by coarse ranges."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(60):
+        ws = [f"w{rng.randrange(500)}" for _ in range(50)] if i % 3 == 0 else ws[:-1] + [f"x{i}"]
+        docs.append((i, " ".join(ws)))
+    monkeypatch.setattr(B, "FAN", 8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute.components(docs, 4, 85), strict=True)}
+
+
+def test_very_long_text(spark):
+    """Texts of more than a million characters are taken whole."""
+    rng = random.Random(13)
+    vocab = [f"wörd{i}" for i in range(3000)]
+    drawn = rng.choices(vocab, k=130_000)
+    long, half = " ".join(drawn), " ".join(drawn[:60_000])
+    assert len(long) > 1_000_000
+    rows = [(1, long, "a"), (2, "first " + half, "a"), (3, long + " last", "b"), (4, "short text", None), (5, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {1: "", 2: "first", 3: "last", 4: "short text", 5: ""}
+    for r in substring_dedup.remove_repeats(docs).collect():
+        assert r.kept == kept[r.doc_id] and r.n_removed == r.n_words - len(r.kept.split())
+    for r in suffix_dedup.remove_repeats(docs).collect():
+        assert r.kept.decode().strip() == kept[r.doc_id] and r.n_spans == (r.doc_id < 4) and r.n_removed + len(r.kept) == r.n_bytes
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(docs).collect()}
+    ws = {i: (t or "").split() for i, t, _ in rows}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set()) for i, w in ws.items()}
+    assert got == {i: (len(sets[i]), 1 if i == 3 else i) for i in sets}
+    size = {r.doc_id: r["size"] for r in mixing.plan(docs).collect()}
+    assert size == {i: len(w) for i, w in ws.items()}
+    assert {r.doc_id: r.n_words for r in lm_scoring.score(docs).collect()} == size
+    base = {r.doc_id: r for r in quality.score(docs).collect()}
+    assert {i: r.n_words for i, r in base.items()} == size and base[1].word_chars == len(long.replace(" ", ""))
+    three = [tuple(ws[1][k : k + 3]) for k in range(len(ws[1]) - 2)]
+    times = {}
+    for t in three:
+        times[t] = times.get(t, 0) + 1
+    assert base[1].n_repeat_words == len({k + j for k, t in enumerate(three) if times[t] > 1 for j in range(3)})
+
+
 def test_empty_tables(nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
     assert suffix_dedup.remove_repeats(nothing).count() == 0

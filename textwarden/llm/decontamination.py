@@ -5,7 +5,7 @@ an item (a document's end is padded, so shorter copies are met too). A window is
 by an item if their word edit distance is at most (1 - ``similarity``) of the item's length.
 
 1. A window within that distance has at least ``similarity`` of its words in common
-   with the item, so windows with fewer words from the items of that length (and, where these are
+   with the item, so windows with fewer words from the items of that length (by running sums, and, where these are
    few, from each of them) are left out; so are windows whose neighbouring words differ in fewer places
    than the items' less two for each edit. Both tests lose nothing.
 2. The CGK random walk maps the rest and the items to strings in which edit distance shows
@@ -15,17 +15,20 @@ by an item if their word edit distance is at most (1 - ``similarity``) of the it
    probability 1 - (1 - p^bits)^tables; :func:`tables_for` gives the number for a target recall.
 4. Candidates are verified by exact edit distance.
 
-Items are searched in chunks of bounded size, so what each task holds doesn't grow with the
-benchmark; one pass over the documents serves each chunk.
+Items are searched in chunks of bounded size. One pass over the documents serves a chunk; where there are several, each pass
+is run and its few hits are written to the shared folder before the next chunk is read, so neither the driver nor a task holds
+more than one chunk, whatever the size of the benchmark.
 
-Results for odd input: null or blank text has no words and isn't contaminated; items without words
-match nothing; equal items are all reported; repeated rows are judged alike; ties for the best similarity
-don't affect the ids reported; extra columns are kept by :func:`find`,
-which replaces one named ``matches``.
+Results for odd input: null or blank text has no words and isn't contaminated; items without words or
+without an id match nothing; ids are of any type that sorts; equal items are all reported; repeated rows are judged alike; ties for the best similarity
+don't affect the ids reported; a very long text is searched piece by piece, with overlaps; extra columns are kept by :func:`find`,
+which replaces one named ``matches``; an empty table of documents or items gives no match.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,9 +36,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textwarden.llm.hashing import mix
-from textwarden.llm.storage import loosened
+from textwarden.llm.storage import loosened, stored
 
 SIMILARITY = 0.8
 BITS, AGREE, RECALL = 2, 0.5, 0.97
@@ -107,7 +112,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 class Index:
     """A chunk of items, prepared on the driver and sent with the task."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, tables: int, bits: int):
+    def __init__(self, items: list[tuple[object, list[str]]], similarity: float, tables: int, bits: int):
         vocab = sorted({w for _, ws in items for w in ws})
         self.vocab = {w: i + 1 for i, w in enumerate(vocab)}
         self.similarity, self.tables, self.bits = similarity, tables, bits
@@ -120,7 +125,7 @@ class Index:
             member = np.zeros(len(vocab) + 1, np.int8)
             member[x.ravel()] = 1
             changes = int((x[:, 1:] != x[:, :-1]).sum(axis=1).min()) - 2 * self.most(length)
-            self.by_length.append((length, np.array([i for i, _ in group], np.int64), x, member, changes))
+            self.by_length.append((length, [i for i, _ in group], x, member, changes))
         self.longest = max(by, default=0)
         self.keys = None
 
@@ -136,7 +141,7 @@ class Index:
         for length, _, x, member, _ in self.by_length:
             each = np.zeros((len(x) if len(x) <= EACH else 0, len(member)), np.int8)
             each[np.arange(len(each))[:, None], x[: len(each)]] = 1
-            self.bags[length] = [member[None], each] if len(each) else [member[None]]
+            self.bags[length] = each
             per = []
             for t in range(self.tables):
                 places = sampled_places(t, length, self.bits)
@@ -146,29 +151,39 @@ class Index:
                 per.append((places, bits if len(symbols) * len(bits) < 1 << 16 else None, key[order], order))
             self.keys[length] = per
 
-    def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(place, length, item, distance) of all verified windows of a sequence of word numbers (0: in no item)."""
+    def search(self, ids: np.ndarray, seen: dict[str, int] | None = None) -> list[tuple[int, int, object, int]]:
+        """(place, length, item, distance) of all verified windows of a sequence of word numbers (0: in no item).
+
+        ``seen`` adds up windows, those left by the tests for common words, and the pairs that walks leave.
+        """
         self.prepare()
-        out = []
+        out, seen = [], {} if seen is None else seen
         symbols = np.arange(-1, len(self.vocab) + 1)
         known = np.concatenate(([0], np.cumsum(ids > 0, dtype=np.int32)))
         changed = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1], dtype=np.int32)))
-        for length, items, x, _, least in self.by_length:
+        for length, items, x, member, least in self.by_length:
             n = len(ids) - length + 1
             if n <= 0:
                 continue
             need = length - self.most(length)
             start = np.flatnonzero(known[length:] - known[:n] >= need)
+            seen["windows"] = seen.get("windows", 0) + n
+            if not len(start):
+                continue
+            of_length = np.concatenate(([0], np.cumsum(member[ids], dtype=np.int32)))
+            start = start[of_length[start + length] - of_length[start] >= need]
             start = start[changed[start + length - 1] - changed[start] >= least]
             if not len(start):
                 continue
             for part in np.array_split(start, -(-len(start) // WINDOWS)):
                 rows = ids[part[:, None] + np.arange(length)]
-                for per_item in self.bags[length]:
+                if len(self.bags[length]):
                     ok = np.zeros(len(part), bool)
-                    for m in per_item:
-                        ok |= m[rows].sum(axis=1, dtype=np.int32) >= need
+                    for m in self.bags[length]:
+                        left = np.flatnonzero(~ok)
+                        ok[left] = m[rows[left]].sum(axis=1, dtype=np.int32) >= need
                     part, rows = part[ok], rows[ok]
+                seen["alike"] = seen.get("alike", 0) + len(part)
                 if not len(part):
                     continue
                 found = []
@@ -183,11 +198,12 @@ class Index:
                     pick = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
                     found.append(w * len(items) + order[pick])
                 pairs = np.unique(np.concatenate(found))
+                seen["pairs"] = seen.get("pairs", 0) + len(pairs)
                 for some in np.array_split(pairs, max(1, -(-len(pairs) // WINDOWS))):
                     w, i = some // len(items), some % len(items)
                     d = edit_distances(rows[w], x[i], self.most(length))
                     hit = d <= self.most(length)
-                    out += [(int(part[a]), length, int(items[b]), int(c)) for a, b, c in zip(w[hit], i[hit], d[hit], strict=True)]
+                    out += [(int(part[a]), length, items[b], int(c)) for a, b, c in zip(w[hit], i[hit], d[hit], strict=True)]
         return out
 
 
@@ -207,8 +223,9 @@ def _chunks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield chunk
 
 
-def _scan(docs: DataFrame, index: Index) -> DataFrame:
+def _scan(docs: DataFrame, index: Index, id_type: T.DataType) -> DataFrame:
     names = docs.columns
+    id_kind = to_arrow_type(id_type)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
@@ -245,20 +262,36 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 seq.extend([0] * gap)
                 flush()
             out = [[{"start": s, "end": s + n, "item": item, "similarity": 1 - d / n} for s, n, item, d in sorted(set(h))] for h in hits]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())]))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", id_kind), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*names, "_hits"])
 
     kinds = ", ".join(f"`{k}` {v}" for k, v in docs.dtypes)
-    return docs.mapInArrow(work, f"{kinds}, _hits array<struct<start:long,end:long,item:long,similarity:double>>")
+    return docs.mapInArrow(work, f"{kinds}, _hits {_matches(id_type)}")
+
+
+def _matches(id_type: T.DataType) -> str:
+    return f"array<struct<start:bigint,end:bigint,item:{id_type.simpleString()},similarity:double>>"
 
 
 def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bits: int = BITS, agree: float = AGREE, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns of docs and ``matches``: (start, end, item, similarity) of all windows of words that match an item."""
-    out = loosened(docs.drop("_hits")).withColumn("matches", F.expr("cast(array() AS array<struct<start:bigint,end:bigint,item:bigint,similarity:double>>)"))
-    for chunk in _chunks(items, item_id, item_text):
-        found = _scan(loosened(out), Index(chunk, similarity, tables_for(recall, agree, bits), bits))
-        out = found.withColumn("matches", F.concat("matches", "_hits")).drop("_hits")
-    return out
+    docs, id_type = loosened(docs.drop("_hits", "matches")), items.schema[item_id].dataType
+    tables = tables_for(recall, agree, bits)
+    chunks = _chunks(items, item_id, item_text)
+    first, second = next(chunks, None), next(chunks, None)
+    if first is None:
+        return docs.withColumn("matches", F.expr(f"cast(array() AS {_matches(id_type)})"))
+    if second is None:
+        return _scan(docs, Index(first, similarity, tables, bits), id_type).withColumnRenamed("_hits", "matches")
+    # several chunks: a pass for each, which leaves its hits by the text's digest
+    texts, parts = docs.select("text"), []
+    for chunk in itertools.chain((first, second), chunks):
+        first = second = None
+        hits = _scan(texts, Index(chunk, similarity, tables, bits), id_type).where("size(_hits) > 0").select(F.sha2("text", 256).alias("_digest"), "_hits").dropDuplicates(["_digest"])
+        parts.append(stored(hits, "hits"))
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy("_digest").agg(F.sort_array(F.flatten(F.collect_list("_hits"))).alias("matches"))
+    joined = docs.join(found, F.sha2("text", 256) == F.col("_digest"), "left").drop("_digest")
+    return joined.withColumn("matches", F.coalesce("matches", F.expr(f"cast(array() AS {_matches(id_type)})")))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -163,11 +163,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
         yield B.Block(pa.Table.from_batches(held))
 
 
-def _slices(sig: np.ndarray, of: np.ndarray, buckets: int, columns: list[np.ndarray]) -> list[tuple]:
+def _slices(sig: np.ndarray, of: np.ndarray, buckets: int, columns: list[np.ndarray], low: int = 0, high: int = 1 << 64) -> list[tuple]:
     """(bucket, signatures, members, a packed array for each of the columns of members) of each hash range met."""
     order = np.argsort(sig, kind="stable")
     sig, of = sig[order], of[order]
-    cut = B.slices(sig, buckets)
+    cut = B.slices(sig, buckets, low, high)
     rows = []
     for i in np.flatnonzero(np.diff(cut)):
         part = slice(cut[i], cut[i + 1])
@@ -206,13 +206,15 @@ def _met(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, list[np.ndarr
     return size, [v[pick] for v in values]
 
 
-def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
+def _groups(docs: DataFrame, lay: B.Layout, n: int, percent: int) -> DataFrame:
     """(node, root, leader, sigs): nodes that share signatures with others.
 
     root is the smallest node that groups of one hash range lead to, leader the smallest node of the groups
     that the node is in most often there. One row per node and root. Of the nodes of a chunk that share a signature only the
     smallest is sent for it, and is root and leader of the others; so a signature of a third of all rows is one entry a chunk.
+    Beyond :data:`blocks.FAN` hash ranges signatures go to coarse ranges of some chunks first, and from there to the ranges.
     """
+    supers, buckets, fine = lay.steps
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
@@ -254,8 +256,28 @@ def _groups(docs: DataFrame, buckets: int, n: int, percent: int) -> DataFrame:
         first = order[np.append(True, (n2[order][1:] != n2[order][:-1]) | (r2[order][1:] != r2[order][:-1]))] if len(order) else order
         return pa.table({"node": n2[first], "root": r2[first], "leader": l2[first], "sigs": times[first]})
 
-    sent = docs.mapInArrow(send, "bucket int, sigs binary, of binary, names binary, pairs binary")
-    met = sent.groupBy("bucket").applyInArrow(meet, "node long, root long, leader long, sigs long")
+    kind = "bucket int, sigs binary, of binary, names binary, pairs binary"
+
+    def relay(table: pa.Table) -> pa.Table:
+        """The signatures that some chunks sent to a coarse range, cut into its ranges; pairs go on as they are."""
+        i = table["bucket"][0].as_py()
+        pairs = table["pairs"].drop_null().to_pylist()
+        table = table.filter(pc.is_valid(table["sigs"]))
+        sig = [B.unpack_sorted(x) for x in table["sigs"].to_pylist()]
+        names = [np.frombuffer(x, np.int64)[B.unpack(of, np.uint32)] for of, x in zip(table["of"].to_pylist(), table["names"].to_pylist(), strict=True)]
+        rows = []
+        if sig:
+            one, of = np.unique(np.concatenate(names), return_inverse=True)
+            rows = [(i * fine + r[0], *r[1:], None) for r in _slices(np.concatenate(sig), of, fine, [one], *B.coarse_range(i, buckets))]
+        rows += [(i * fine + k % fine, None, None, None, x) for k, x in enumerate(pairs)]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sigs", "of", "names", "pairs"])
+
+    sent = docs.mapInArrow(send, kind)
+    if supers:
+        some = sent.withColumn("super", F.pmod(F.xxhash64("sigs", "pairs"), F.lit(supers)))
+        sent = B.dealt(some, lay, "super", "bucket").groupBy("super", "bucket").applyInArrow(relay, kind)
+    met = B.dealt(sent, lay, "bucket").groupBy("bucket").applyInArrow(meet, "node long, root long, leader long, sigs long")
     best = F.struct(F.col("leader") != F.col("node"), "sigs", -F.col("leader"))
     return met.groupBy("node", "root").agg(F.max_by("leader", best).alias("leader"), F.max("sigs").alias("sigs"))
 
@@ -510,7 +532,7 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
             yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(names.view(np.int64), mask=count == 0)], ["doc_id", "n_shingles", "node"])
 
     rows = stored(d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles long, node long"), "rows")
-    groups = stored(_groups(d, B.layout(d).buckets, n, percent), "groups")
+    groups = stored(_groups(d, B.layout(d), n, percent), "groups")
     nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
     families = _contract(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
     comps = sets = None

@@ -6,12 +6,14 @@ per language, the losses of all bits against its codeword, each weighted by that
 accuracy on the language's training texts, and takes the language of least loss. A text is
 ambiguous where the runner-up is within ``margin``.
 
-The fit uses at most ``per_lang`` texts of a language, chosen by a hash of the id, of at most
-``max_bytes`` bytes each; both are parameters of :func:`fit`. Every text is scored whole.
+The fit uses at most ``per_lang`` texts of a language, and of all languages about ``most`` (with many languages fewer of
+each, never fewer languages), chosen by a hash of the id, of at most ``max_bytes`` bytes each; these are
+parameters of :func:`fit`. Every text is scored whole, a very long one in pieces.
 
 Results for odd input: null text or text without a letter gives ``und`` and score 0.0;
 ties between languages go to the first in code-point order; without any
-labelled row everything is ``und``; extra columns are ignored.
+labelled row everything is ``und``; repeated rows are judged alike; extra columns are ignored, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,17 +83,17 @@ def codewords(k: int) -> np.ndarray:
     return best
 
 
-def fit(labelled: DataFrame, per_lang: int = 500, max_bytes: int = 16384, max_langs: int = 64, ridge: float = 1.0) -> Model | None:
+def fit(labelled: DataFrame, per_lang: int = 500, max_bytes: int = 16384, most: int = 32_000, ridge: float = 1.0) -> Model | None:
     """A model from (doc_id, text, lang) rows."""
     usable = labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").where(F.octet_length("text") <= max_bytes)
-    sizes = sorted((r.lang, r.n) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
-    if not sizes:
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+    k = sizes.count()
+    if not k:
         return None
+    per = max(8, min(per_lang, most // k))
     draw = (F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    keep = F.lit(False)
-    for lang, n in sizes:
-        keep = F.when(F.col("lang") == lang, draw < per_lang / n).otherwise(keep)
-    rows = usable.where(keep).select("doc_id", "text", "lang").limit(2 * per_lang * len(sizes)).collect()
+    chosen = usable.select("doc_id", "text", "lang", draw.alias("_draw")).join(sizes, "lang").where(F.col("_draw") < F.lit(float(per)) / F.col("_n"))
+    rows = chosen.orderBy("_draw", "doc_id", "text").select("doc_id", "text", "lang").limit(2 * per * k).collect()
     rows.sort(key=lambda r: (r.lang, str(r.doc_id), r.text))
     langs = tuple(sorted({r.lang for r in rows}))
     if not langs:

@@ -11,7 +11,8 @@ document itself has once counts as unseen.
 
 Results for odd input: null or blank text has no words and the score 0.0; a document's first
 words use the history there is; words are case-folded for A-Z only; repeated rows all count
-and all get scores; extra columns are ignored; an empty table gives an empty result.
+and all get scores; a count of exactly ``least`` is seen; a very long text is a block of its own and scored whole; extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ uniform number, hashed from seed and id, is below the fraction.
 Results for odd input: null text has size 0; a null source is a source of its own, last in
 order; a source without words has target 0; a null id draws by its text's digest; repeated
 rows share their draw; columns beside id, text and source are kept by :func:`emit` and
-ignored by :func:`plan`. An empty table gives an empty result.
+ignored by :func:`plan`, whatever their names; sources of equal cap over weight take their order by name; a very long text is
+counted whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

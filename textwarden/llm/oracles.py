@@ -37,3 +37,14 @@ t AS (SELECT rid AS x, rid AS y FROM d UNION SELECT t.x, e.y FROM t JOIN e ON t.
 SELECT d.doc_id, coalesce(n.k, 0)::BIGINT AS n_shingles, m.least AS component_id
 FROM d LEFT JOIN n USING (rid) JOIN (SELECT t.x AS rid, min(o.doc_id) AS least FROM t JOIN d o ON o.rid = t.y GROUP BY t.x) m USING (rid)
 """
+
+QUALITY_BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT rid, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM e WHERE len(ws) >= 3)),
+r AS (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM w) WHERE c > 1),
+n AS (SELECT rid, count(DISTINCT j) AS k FROM r GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(k, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(k, 0) > 50 * len(ws) AS base_failed
+FROM e LEFT JOIN n USING (rid)
+"""

@@ -10,8 +10,8 @@ Everything about one document is computed from arrays in its row; nothing but th
 counts of patterns is shuffled.
 
 Results for odd input: null or blank text has no words, fails the base rule and isn't kept;
-ties of the posterior at exactly 0.5 are kept; repeated rows count as often as they come;
-extra columns are ignored; an empty table gives an empty result.
+ties of the posterior at exactly 0.5 are kept; repeated rows count as often as they come; a very long text is counted whole, in its row;
+extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -63,6 +63,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of op8, which SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.summary(decontamination.find(docs, _read(spark, sf_dir, "benchmark")))
@@ -78,7 +83,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_quality_rules, op9_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_quality_rules, op9_decontamination, op10_token_counts, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -88,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE,
         "op6_ngram_jaccard_join": oracles.JACCARD,
         "op7_suffix_array_dedup": oracles.SUFFIX,
+        "quality_base_counts": oracles.QUALITY_BASE,
     }

@@ -183,7 +183,7 @@ def repeated_starts(blocks: DataFrame, lay: B.Layout, plan: Plan, stream: Callab
         return pa.table({"block": pa.array(per_block["block"], pa.int32()), "ranges": pa.array(per_block["ranges"], pa.binary())})
 
     sent = blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(send, "bucket int, block int, data array<binary>")
-    return sent.groupBy("bucket").applyInArrow(find, "block int, ranges binary")
+    return B.dealt(sent, lay, "bucket").groupBy("bucket").applyInArrow(find, "block int, ranges binary")
 
 
 def coverage(n: int, back: pa.Table, width: int) -> np.ndarray:

@@ -10,8 +10,8 @@ too. Words in a factor of ``width`` words or more are duplicates.
 
 Results for odd input: null or blank text has no words and nothing is removed; repeated rows
 (even with the same id) count as other occurrences; ties between sources go to the first
-in bucket order, which affects no output; extra columns are ignored, as only the
-id and text columns are read; an empty table gives an empty result.
+in bucket order, which affects no output; a very long text is judged whole, in a block of its own; extra columns are ignored, as only the
+id and text columns are read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ neighbours in suffix order is computed: ``width`` bytes or more make both starts
 Results for odd input: null text is empty and yields zero bytes; documents shorter than ``width``
 keep everything; repeated rows count as other occurrences; ties in the order (equal
 ``width``-byte prefixes) stay neighbours, whichever comes first; a cut inside a multi-byte
-character is allowed, so what is kept is bytes. Extra columns are ignored.
+character is allowed, so what is kept is bytes; a very long text is judged whole, in a block of its own. Extra columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ worker; what falls out is counted again). Scores are added in double precision.
 
 Results for odd input: null and empty text have 0 tokens; repeated rows are counted alike; texts of any
 length are counted whole in linear time; extra columns are kept, but for one named
-``n_tokens``, which is replaced.
+``n_tokens``, which is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,14 +6,14 @@ capitals lowered); the document's is the noisy-or of its sentences', 1 - prod(1
 are trained through the noisy-or by Adagrad, so a toxic label moves the sentences that
 explain it, and the sentence scores locate the offending ones.
 
-The fit uses at most ``per_class`` labelled documents of each class, chosen by a hash of
+The fit uses at most about ``per_class`` labelled documents of each class, those of smallest hash of
 the id, of at most ``max_bytes`` bytes each, weighted back to the shares of the classes.
-Every text is scored whole.
+Every text is scored whole, however long.
 
 Results for odd input: null or empty text has no sentence and score 0.0; a document with several
 labels takes the largest; labels without a document or with a null class are ignored; repeated rows
 are scored alike; ties for the worst sentence go to the first; extra columns are kept by
-:func:`score`, which replaces those with the names of its own.
+:func:`score`, which replaces those with the names of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12000, max_bytes: i
         return None
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = {c: min(1.0, per_class / n) for c, n in size.items()}
-    chosen = each.where((F.col("toxic").isin(0, 1)) & (draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).limit(2 * per_class + 1000)
+    chosen = each.where((F.col("toxic").isin(0, 1)) & (draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).orderBy(draw, "doc_id").limit(2 * per_class + 1000)
     # chosen has at most 2 * per_class + 1000 rows
     rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen), "doc_id").limit(2 * per_class + 1000).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
