@@ -43,13 +43,13 @@ from textwarden.llm.hashing import mix
 from textwarden.llm.storage import loosened, stored
 
 SIMILARITY = 0.8
-BITS, AGREE, RECALL = 2, 0.5, 0.97
+BITS, AGREE, RECALL = 3, 0.5, 0.97
 #: Up to so many items of one length, windows are tested for common words with each.
 EACH = 64
 #: Words of all items that one pass holds.
 CHUNK_WORDS = 2_000_000
 #: Words of text worked on at once, and windows embedded at once.
-PIECE, WINDOWS = 1 << 18, 1 << 14
+PIECE, WINDOWS = 1 << 20, 1 << 13
 
 _WORD = re.compile(r"\w+")
 
@@ -62,33 +62,30 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def walk_bits(table: int, steps: int, symbols: np.ndarray) -> np.ndarray:
-    """steps x symbols: whether the cursor moves on."""
-    j = np.arange(steps, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(table * 0x1000003)
-    return (mix((mix(j) ^ symbols[None, :].astype(np.uint64)).ravel()) & np.uint64(1)).reshape(steps, -1).astype(np.uint8)
-
-
 def sampled_places(table: int, length: int, bits: int) -> np.ndarray:
     """Places of the walk over a window of ``length`` words that a table looks at, in order."""
     rng = np.random.default_rng([table, length])
     return np.sort(rng.choice(2 * length, size=min(bits, 2 * length), replace=False))
 
 
-def embed(x: np.ndarray, table: int, places: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Keys of the rows of x (word numbers): the CGK symbols at the places, hashed together."""
+def embed(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys (tables x rows) of the rows of x (word numbers): the CGK symbols at each table's places, hashed together.
+
+    All tables walk at once; whether a cursor moves on is one hashed bit of table, step and symbol.
+    """
     n, length = x.shape
+    tables = len(places)
     padded = np.concatenate((x, np.full((n, 1), -1, x.dtype)), axis=1).ravel()
     row = np.arange(n) * (length + 1)
-    at = np.zeros(n, np.int64)
-    key = np.full(n, table, np.uint64)
-    steps = int(places[-1]) + 1
-    want = np.zeros(steps, bool)
-    want[places] = True
-    for j in range(steps):
+    at = np.zeros((tables, n), np.int64)
+    key = np.repeat(np.arange(tables, dtype=np.uint64)[:, None], n, axis=1)
+    own = np.arange(tables, dtype=np.uint64) * np.uint64(0x1000003)
+    for j in range(int(places.max()) + 1):
         s = padded[row + at]
-        if want[j]:
-            key = mix(key * np.uint64(31) + (s + 2).astype(np.uint64))
-        at = np.minimum(at + bits[j, s + 1], length)
+        for t in np.flatnonzero((places == j).any(axis=1)):
+            key[t] = mix(key[t] * np.uint64(31) + (s[t] + 2).astype(np.uint64))
+        salt = mix(own + np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1))[:, None]
+        at = np.minimum(at + (mix(salt ^ s.astype(np.uint64)) & np.uint64(1)).astype(np.int64), length)
     return key
 
 
@@ -133,23 +130,18 @@ class Index:
         return int(np.floor((1 - self.similarity) * length + 1e-9))
 
     def prepare(self) -> None:
-        """Per length: the walks' bits and the items' sorted keys; made once in each worker."""
+        """Per length: the tables' places and the items' sorted keys; made once in each worker."""
         if self.keys is not None:
             return
-        symbols = np.arange(-1, len(self.vocab) + 1)
         self.keys, self.bags = {}, {}
         for length, _, x, member, _ in self.by_length:
             each = np.zeros((len(x) if len(x) <= EACH else 0, len(member)), np.int8)
             each[np.arange(len(each))[:, None], x[: len(each)]] = 1
             self.bags[length] = each
-            per = []
-            for t in range(self.tables):
-                places = sampled_places(t, length, self.bits)
-                bits = walk_bits(t, int(places[-1]) + 1, symbols)
-                key = embed(x, t, places, bits)
-                order = np.argsort(key, kind="stable")
-                per.append((places, bits if len(symbols) * len(bits) < 1 << 16 else None, key[order], order))
-            self.keys[length] = per
+            places = np.stack([sampled_places(t, length, self.bits) for t in range(self.tables)])
+            keys = embed(x, places)
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.keys[length] = places, np.take_along_axis(keys, order, axis=1), order
 
     def search(self, ids: np.ndarray, seen: dict[str, int] | None = None) -> list[tuple[int, int, object, int]]:
         """(place, length, item, distance) of all verified windows of a sequence of word numbers (0: in no item).
@@ -158,7 +150,6 @@ class Index:
         """
         self.prepare()
         out, seen = [], {} if seen is None else seen
-        symbols = np.arange(-1, len(self.vocab) + 1)
         known = np.concatenate(([0], np.cumsum(ids > 0, dtype=np.int32)))
         changed = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1], dtype=np.int32)))
         for length, items, x, member, least in self.by_length:
@@ -187,11 +178,8 @@ class Index:
                 if not len(part):
                     continue
                 found = []
-                for t in range(self.tables):
-                    places, bits, keys, order = self.keys[length][t]
-                    if bits is None:
-                        bits = walk_bits(t, int(places[-1]) + 1, symbols)
-                    key = embed(rows, t, places, bits)
+                places, all_keys, orders = self.keys[length]
+                for key, keys, order in zip(embed(rows, places), all_keys, orders, strict=True):
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     times = hi - lo
                     w = np.repeat(np.arange(len(part)), times)
