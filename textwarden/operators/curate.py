@@ -49,18 +49,23 @@ def exact_dedupe(df: DataFrame, *order: str, text_col: str = "text") -> DataFram
 def near_duplicates(df: DataFrame, corpus: DataFrame, id_col: str, corpus_id: str, text_col: str = "text", threshold: float = 0.62) -> DataFrame:
     """(id, corpus id, jaccard) at or above the threshold, exact.
 
-    Pairs meet on rare tokens only: a match must share a token among the first
-    size - ceil(threshold * size) + 1 of each side in order of corpus frequency.
+    Sets too small or too large for any of the corpus go first. Pairs meet on rare tokens only: a match must share a token among
+    the first size - ceil(threshold * size) + 1 of each side in order of corpus frequency, where tokens that the corpus lacks come first;
+    so only tokens that the corpus has are moved.
     """
     def tokens(d: DataFrame, k: str) -> DataFrame:
         return d.select(F.col(k).alias("id"), F.expr(X.token_set(SPARK, text_col)).alias("set")).where(F.size("set") > 0)
 
     a, b = tokens(df, id_col), tokens(corpus, corpus_id)
+    sizes = b.agg(F.min(F.size("set")).alias("_lo"), F.max(F.size("set")).alias("_hi"))
+    a = a.join(F.broadcast(sizes)).where((F.size("set") >= threshold * F.col("_lo") - 1e-9) & (F.size("set") * threshold <= F.col("_hi") + 1e-9)).drop("_lo", "_hi")
     freq = b.select(F.explode("set").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(d: DataFrame) -> DataFrame:
-        ex = d.select("id", F.size("set").alias("k"), F.explode("set").alias("w")).join(freq, "w", "left").fillna(0, ["n"])
-        rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "w"))
+        ex = d.select("id", F.size("set").alias("k"), F.explode("set").alias("w")).join(freq, "w")
+        by_id = Window.partitionBy("id")
+        lacking = F.col("k") - F.count(F.lit(1)).over(by_id)
+        rank = lacking + F.row_number().over(by_id.orderBy("n", "w"))
         return ex.withColumn("r", rank).where(F.col("r") <= F.col("k") - F.ceil(F.col("k") * threshold - 1e-9) + 1).select("id", "k", "w")
 
     pa, pb = prefix(a), prefix(b).select(F.col("id").alias("other"), F.col("k").alias("ko"), "w")

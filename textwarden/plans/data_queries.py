@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textwarden.functions import text as X
 from textwarden.functions.dialect import CHECK, SPARK
 from textwarden.operators import curate, evaluate
-from textwarden.plans.common import SCORED, Query, scored_labels
+from textwarden.plans.common import SCORED, Query, dealt, scored_labels
 
 DRAW = "md5('42|' || CAST(doc_id AS VARCHAR))"
 #: The deterministic split that overlap queries use: by the last digit of the id.
@@ -37,9 +37,13 @@ def _sql_rounded(sql: str, *cols: str) -> str:
     return f"SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in cols)}) FROM ({sql})"
 
 
-def _near_dup_sql() -> str:
-    a = f"SELECT doc_id, {X.token_set(CHECK, 'text')} AS s FROM documents"
-    b = f"SELECT item_id, {X.token_set(CHECK, 'text')} AS s FROM benchmark"
+#: Documents that stand for a corpus of their own, with near copies among the others.
+PART = "doc_id % 40 = 0"
+
+
+def _near_dup_sql(corpus: str = "benchmark", rows: str = "true") -> str:
+    a = f"SELECT doc_id, {X.token_set(CHECK, 'text')} AS s FROM documents WHERE {rows}"
+    b = f"SELECT item_id, {X.token_set(CHECK, 'text')} AS s FROM {corpus}"
     return f"SELECT doc_id, item_id, round(j, 9) AS jaccard FROM (SELECT doc_id, item_id, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS j FROM ({a}) a CROSS JOIN ({b}) b WHERE len(a.s) > 0 AND len(b.s) > 0) WHERE j >= 0.62"
 
 
@@ -98,7 +102,8 @@ QUERIES: dict[str, Query] = {
     "split_overlap_matrix": Query(lambda t, spark: _rounded(curate.overlap_matrix(_with_split(t)), "share_left", "share_right"), f"""WITH h AS (SELECT DISTINCT {X.audit_key(CHECK, 'text')} AS h, {SPLIT} AS s FROM documents), p AS (SELECT * FROM (VALUES ('train', 'validation'), ('train', 'test'), ('validation', 'test')) v(left_split, right_split))
         SELECT left_split, right_split, n_both, round(n_both / nl, 9) AS share_left, round(n_both / nr, 9) AS share_right FROM (SELECT left_split, right_split, (SELECT count(*) FROM h a JOIN h b USING (h) WHERE a.s = left_split AND b.s = right_split) AS n_both, (SELECT count(*) FROM h WHERE s = left_split) AS nl, (SELECT count(*) FROM h WHERE s = right_split) AS nr FROM p)"""),
     "leakage_rate": Query(lambda t, spark: _rounded(curate.leakage(_with_split(t).where("split = 'train'"), _with_split(t).where("split = 'validation'")), "share"), f"WITH d AS (SELECT md5(text) AS h, {SPLIT} AS s FROM documents), v AS (SELECT h IN (SELECT h FROM d WHERE s = 'train') AS hit FROM d WHERE s = 'validation') SELECT sum(hit::INT)::BIGINT AS leaked, count(*) AS rows, round(avg(hit::INT), 9) AS share, avg(hit::INT) > 0.05 AS too_large FROM v"),
-    "near_dup_vs_benchmark": Query(lambda t, spark: _rounded(curate.near_duplicates(t("documents"), t("benchmark"), "doc_id", "item_id"), "jaccard"), _near_dup_sql()),
+    "near_dup_vs_benchmark": Query(lambda t, spark: _rounded(curate.near_duplicates(dealt(t("documents").select("doc_id", "text")), t("benchmark"), "doc_id", "item_id"), "jaccard"), _near_dup_sql()),
+    "near_dup_vs_documents": Query(lambda t, spark: _rounded(curate.near_duplicates(dealt(t("documents").select("doc_id", "text")).where(f"NOT {PART}"), t("documents").where(PART).selectExpr("doc_id AS item_id", "text"), "doc_id", "item_id"), "jaccard"), _near_dup_sql(f"(SELECT doc_id AS item_id, text FROM documents WHERE {PART})", f"NOT {PART}")),
     "stratified_split": Query(lambda t, spark: curate.stratified_split(t("documents"), "doc_id", "lang").select("doc_id", "split"), _split_sql()),
     "cap_per_class": Query(lambda t, spark: curate.cap_per_class(t("documents"), "doc_id", "lang", CAPS).select("doc_id", "lang"), f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DRAW}, doc_id) AS r FROM documents) WHERE r <= CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items())} ELSE 0 END"),
     "oversample_to_max": Query(lambda t, spark: curate.oversample(t("documents").select("doc_id", "lang"), "doc_id", "lang").groupBy("lang", "copy").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum")), f"""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DRAW}, doc_id) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL), m AS (SELECT max(n) AS t FROM d)
