@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from textwarden.llm.hashing import mix
-from textwarden.llm.storage import loosened, stored
+from textwarden.llm.storage import give_back, loosened, stored
 
 SIMILARITY = 0.8
 BITS, AGREE, RECALL = 3, 0.5, 0.97
@@ -49,7 +49,7 @@ EACH = 64
 #: Words of all items that one pass holds.
 CHUNK_WORDS = 2_000_000
 #: Words of text worked on at once, and windows embedded at once.
-PIECE, WINDOWS = 1 << 20, 1 << 13
+PIECE, WINDOWS = 1 << 18, 1 << 13
 
 _WORD = re.compile(r"\w+")
 
@@ -218,6 +218,7 @@ def _scan(docs: DataFrame, index: Index, id_type: T.DataType) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
         gap = index.most(index.longest) + 1
+        give_back()
         for batch in batches:
             texts = batch.column(names.index("text"))
             hits: list[list] = [[] for _ in range(len(batch))]

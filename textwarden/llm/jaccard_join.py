@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from textwarden.llm import blocks as B
 from textwarden.llm.hashing import U64, Rolling, expand, mix
-from textwarden.llm.storage import removed, stored
+from textwarden.llm.storage import give_back, removed, stored
 
 #: Load of a family that is compared in one task: a member counts 1, and 1 more for each WEIGHT n-grams.
 UNIT, WEIGHT = 4096, 1024
@@ -159,6 +159,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
             if size >= B.BLOCK_BYTES:
                 yield B.Block(pa.Table.from_batches(held))
                 held, size = [], 0
+                give_back()
     if held:
         yield B.Block(pa.Table.from_batches(held))
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from textwarden.llm import blocks as B
 from textwarden.llm.hashing import U64, Rolling, covered, expand, mix, sliding_min, true_runs
+from textwarden.llm.storage import give_back
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,7 @@ def repeated_starts(blocks: DataFrame, lay: B.Layout, plan: Plan, stream: Callab
     def send(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({k: pa.array([], v) for k, v in (("bucket", pa.int32()), ("block", pa.int32()), ("data", pa.list_(pa.binary())))})
+        give_back()
         s = stream(docs)
         rows = []
         for bucket, places, copies, lengths in segments(s, plan, back, buckets):
@@ -136,6 +138,7 @@ def repeated_starts(blocks: DataFrame, lay: B.Layout, plan: Plan, stream: Callab
         })
 
     def find(table: pa.Table) -> pa.Table:
+        give_back()
         per_block = {"block": [], "ranges": []}
         places, copies, lengths, bodies, owner = [], [], [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
@@ -195,6 +198,10 @@ def coverage(n: int, back: pa.Table, width: int) -> np.ndarray:
 
 
 def finish(blocks: DataFrame, ranges: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(work, schema)
+    def one(docs: pa.Table, back: pa.Table) -> pa.Table:
+        give_back()
+        return work(docs, back)
+
+    return blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(one, schema)
 
 
