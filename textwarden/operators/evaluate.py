@@ -296,3 +296,27 @@ def fused(prob: str, regex: Column, ner: Column, threshold: float) -> tuple[Colu
     """Decision and ranking score of rules, names and model together."""
     hit = regex | ner
     return hit | (F.col(prob) >= threshold), 0.7 * F.col(prob) + 0.3 * hit.cast("double")
+
+
+def metric_pack(df: DataFrame, label: str, prob: str, regex: Column, ner: Column, calibrated: float, recommended: float) -> DataFrame:
+    """Five rows: rules and names alone, and the model alone or with them at each of two limits; metrics, and the accuracy gained on the first. One scan."""
+    hit, p = regex | ner, F.col(prob)
+    configs = {"regex_ner": hit, "ml_val_calib": p >= calibrated, "ml_test_rec": p >= recommended, "full_val_calib": fused(prob, regex, ner, calibrated)[0], "full_test_rec": fused(prob, regex, ner, recommended)[0]}
+    y = F.col(label) == 1
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    sums = [F.struct(F.lit(name).alias("config"), n(y & z).alias("tp"), n(~y & ~z).alias("tn"), n(~y & z).alias("fp"), n(y & ~z).alias("fn")).alias(name) for name, z in configs.items()]
+    one = df.agg(*sums)
+    base = ratio(F.col("regex_ner.tp") + F.col("regex_ner.tn"), F.col("regex_ner.tp") + F.col("regex_ner.tn") + F.col("regex_ner.fp") + F.col("regex_ner.fn"))
+    rows = one.select(base.alias("_base"), F.explode(F.array(*configs)).alias("r")).select("_base", "r.*")
+    return with_metrics(rows).withColumn("accuracy_gain", F.col("accuracy") - F.col("_base")).drop("_base")
+
+
+def category_f1(rows: DataFrame, category: str, f1: str) -> DataFrame:
+    """(category, f1) for the records: rows with an F1, without the report's totals, to three places."""
+    return rows.where(F.col(f1).isNotNull() & ~F.col(category).isin("accuracy", "macro avg", "weighted avg")).select(F.col(category).alias("category"), F.round(f1, 3).alias("f1"))
+
+
+def with_category_f1(records: dict, rows: DataFrame) -> dict:
+    """The records with metrics.per_category replaced by the rows of :func:`category_f1`, a few for each class."""
+    found = {r["category"]: {"f1": r["f1"]} for r in rows.collect()}
+    return records | {"metrics": (records.get("metrics") or {}) | {"per_category": found}}

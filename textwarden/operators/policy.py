@@ -81,3 +81,10 @@ def with_sensitivity(policy: Policy, overrides: dict[str, str]) -> Policy:
     """Class thresholds of a knowledge base; unknown names change nothing."""
     known = {k.upper(): SENSITIVITY[v] for k, v in overrides.items() if v in SENSITIVITY}
     return replace(policy, per_class=policy.per_class | known)
+
+
+def paste_outcome(in_scope: str, blank: str, action: str, confirmed: str) -> dict[str, str]:
+    """outcome, permitted and logged of a paste: outside the assistants' windows and without text all goes; a warning goes through;
+    a block never does, and an unconfirmed one is noted as denied."""
+    outcome = f"CASE WHEN NOT {in_scope} THEN 'out_of_scope' WHEN {blank} THEN 'empty' WHEN {action} IN ('silent', 'warn') THEN {action} WHEN {confirmed} THEN 'block' ELSE 'auth_denied' END"
+    return {"outcome": outcome, "permitted": f"(NOT {in_scope} OR {blank} OR {action} IN ('silent', 'warn'))", "logged": f"({in_scope} AND NOT {blank})"}

@@ -71,10 +71,10 @@ _ENT = ("event_id", "shown", "counted", "act", "back", "mock")
 
 def _sentences():
     def run(t, spark):
-        d = dealt(t("documents").select("doc_id", "text")).where("length(text) < 4000")
+        d = dealt(t("documents").select("doc_id", "text"))
         return d.selectExpr("doc_id", f"explode({mining.sentence_spans(SPARK, 'text')}) AS s").selectExpr("doc_id", "cast(s.start AS bigint) AS start_at", "md5(s.match) AS match_md5")
 
-    return Query(run, f"SELECT doc_id, s.start::BIGINT AS start_at, md5(s.match) AS match_md5 FROM (SELECT doc_id, unnest({mining.sentence_spans(CHECK, 'text')}) AS s FROM documents WHERE length(text) < 4000)")
+    return Query(run, f"SELECT doc_id, s.start::BIGINT AS start_at, md5(s.match) AS match_md5 FROM (SELECT doc_id, unnest({mining.sentence_spans(CHECK, 'text')}) AS s FROM documents)")
 
 
 #: Two made-up spans of each text: one whose offsets are off by one, one that fits; and the second once more.

@@ -8,7 +8,6 @@ from textwarden.functions.dialect import CHECK, SPARK, Dialect, apply, nest
 from textwarden.operators import curate, mining
 from textwarden.operators import model_scores as M
 from textwarden.plans.common import Query
-from textwarden.sources import generators
 
 _PARTS = "doc_id, text, cast(doc_id * 7 % 97 + 1 AS double) AS a, cast(doc_id * 5 % 31 + 1 AS double) AS b, cast(doc_id * 3 % 41 + 1 AS double) AS c"
 _PROBS = "doc_id, text, a / (a + b + c) AS p_low, b / (a + b + c) AS p_med, c / (a + b + c) AS p_high"
@@ -110,6 +109,4 @@ QUERIES: dict[str, Query] = {
     "long_text_penalty": Query(_long, _LONG),
     "class_floors": Query(lambda t, spark: curate.class_floors(t("documents").where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id", "lang", FLOORS).groupBy("lang").agg(F.count(F.lit(1)).alias("n")), f"SELECT lang, greatest(count(*), CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in FLOORS.items())} ELSE 0 END)::BIGINT AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang"),
     "holdout_coverage": Query(_coverage, _COVERAGE),
-    "synthetic_mixture": Query(lambda t, spark: generators.mixture(spark, {"low": 30, "med": 40, "high": 30, "safe_business": 20, "adversarial": 20}).groupBy("source", "risk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"))),
-    "demo_events": Query(lambda t, spark: generators.demo_events(spark).groupBy("action").agg(F.count(F.lit(1)).alias("n"))),
 }

@@ -1,54 +1,124 @@
-"""Made-up rows by class, from templates over a range of numbers: the same rows for the same seed at any parallelism."""
+"""Made-up rows by kind: templates, filled by the MD5 of seed, kind, row and field. The same rows for the same seed, on any engine and at any parallelism.
+
+A template holds ``{name}``, ``{city}``, ``{company}``, ``{team}``, ``{service}``, ``{day}``, ``{paper}``, ``{verb}`` (a word of that list), ``{d4}`` (so many
+digits) and ``{h8}`` or ``{H8}`` (so many hexadecimal digits). Row i of a kind has the kind's template i modulo their number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = ("Ada Quill", "Ben Marsh", "Cleo Vance", "Dov Ferris", "Edie Loom")
-TEMPLATES = {
-    "low": ("The team meets on floor {n} at noon.", "Release {n} is planned for spring.", "Please water the plants in room {n}."),
-    "med": ("{name} joined the budget review in group {n}.", "Forecast {n} was shared by {name}.", "Sick leave of {name}: {n} days."),
-    "high": ("Card 4111 1111 1111 {n:04} belongs to {name}.", "SSN of {name}: 219-09-{n:04}", "Wire to DE89 3704 0044 0532 {n:04} 00 for {name}."),
-    "safe_business": ("Invoice template {n} was updated.", "Quarter {n} planning notes are online.", "Warehouse {n} opens on Monday."),
-    "adversarial": ("s s n 2 1 9 - 0 9 - {n:04}", "pass word = hunter{n:04}", "card four one one one {n:04}"),
+from textwarden.functions.dialect import CHECK, SPARK, Dialect
+
+WORDS = {
+    "name": ("Ada Quill", "Ben Marsh", "Cleo Vance", "Dov Ferris", "Edie Loom", "Finn Ortega", "Gwen Sato"),
+    "city": ("Lund", "Porto", "Graz", "Leeds", "Tampa", "Osaka"),
+    "company": ("Norfield Ltd", "Blue Kiln", "Harrow and Pike", "Osprey Foods", "Tallis Freight"),
+    "team": ("platform", "support", "research", "purchasing", "field sales"),
+    "service": ("ledger-sync", "mail-relay", "search-index", "report-builder", "stock-feed"),
+    "day": ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"),
+    "paper": ("roadmap", "handbook", "style guide", "risk register", "test plan", "minutes"),
+    "verb": ("read", "sign off", "shorten", "file", "forward"),
+}
+#: kind -> (risk, template)
+KINDS: dict[str, tuple[tuple[str, str], ...]] = {
+    "low": tuple(("low", t) for t in (
+        "The team meets on floor {d2} at noon on {day}.", "Release {d3} is planned for spring.", "Please water the plants in room {d3}.", "{company} had a good quarter.",
+        "The {paper} is due on {day}.", "A reminder from {team}: the lift is out of order until {day}.", "Lunch on {day} is in {city} this time.",
+        "The survey covers parking and room {d3}.", "News from {team}: the new chairs are here.", "Page {d2} of the {paper} has a typing error.")),
+    "finance_low": tuple(("low", t) for t in ("Cost centre {d4} closes its books on {day}.", "The budget template {d3} has a new colour.", "Quarter notes of {team} are online.")),
+    "finance_med": tuple(("med", t) for t in ("{name} joined the budget review of group {d3}.", "Forecast {d3} was shared by {name} with {company}.", "Expense claim {d4} of {name}, {city}: hotel and train.")),
+    "finance_high": tuple(("high", t) for t in ("Card 4111 1111 1111 {d4} belongs to {name}.", "Wire to DE89 3704 0044 0532 {d4} 00 for {name}.", "Salary of {name}: account {d6}{d4}, SSN 219-09-{d4}.")),
+    "safe_business": tuple(("low", t) for t in (
+        "Project note: {company} asks {team} to {verb} the {paper} before {day}.", "Run log: {service} was rolled out in {d2} minutes; no records were touched.",
+        "Planning: item {H4}-{d3} moves to next year, as the supplier changes.", "Recap: mend the slow tests first; share no details of people.",
+        "Checklist: renew the test keys and look at what the dashboards of {service} leave out.", "Handover: the fault shows in staging with made-up set {H4}-{d4}.",
+        "Writing task: explain {service} to {team} with invented examples only.")),
+    "adversarial": tuple(("high", t) for t in (
+        "Payroll row: SSN 219 09 {d4} to be checked before the sync.", "Card test: 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 declined, slip {d4}.", "Header to copy: Authorization Bearer {h36}",
+        "Shell paste: AWS_ACCESS_KEY_ID=AKIA{H16} AWS_SECRET_ACCESS_KEY={h32}{h8}", "Back-up route: IBAN DE89 3704 0044 0532 0130 00, slip {d4}.",
+        "Found in a ticket: sk - live - {h28}, split to pass the filter", "Ward export: patient {name}, MRN {d6}{d1}, with the diagnosis attached.", "Connection: mongodb://root:{h12}@cluster{d2}.example.net/live")),
+    "hard_med": tuple(("med", t) for t in (
+        "Onboarding {d4}: write to user{d3}@example.org or ring 555-{d4}; account ends in {d3}.", "Case {h8}: {name} from {city}, street left out.", "Refund to {company} is approved; account ends in {d4}.",
+        "Before pasting, put [mail], [phone] and [ticket:{h6}] for the real values.", "Call {d6}: month of birth and town were asked, the rest is masked.", "Follow-up: token ending {h6}, contact user{d3}@example.org, kept for audit.")),
+    "hard_high": tuple(("high", t) for t in (
+        "Leak: key sk_live_{h24} of {name} and reset token {h32}.", "Transfer: account DE89 3704 0044 0532 {d4} 00, routing 0210{d5}, to {name}.", "Report with bearer {h36} and key AKIA{H16}.",
+        "Staff file: {name}, SSN 219-09-{d4}, salary {d5}.", "Record of {name}, {city}: insurance {h12}, with the diagnosis.", "Config: postgres://root:{h16}@db{d2}.example.net:5432/live JWT={h32}.{h20}.{h24}")),
+    "weak_category": (
+        ("med", "Ask for {name} at desk {d2}, the one from {city}."), ("high", "The permit is {H2}{d6}, valid until the end of the year."), ("high", "Since the operation {name} takes two tablets a day."),
+        ("med", "They live by the old mill in {city}, house {d2}."), ("high", "The door code of the server room is {d6}."), ("low", "The mill in {city} opens on {day}.")),
+    "contextual": (
+        ("med", "As agreed on the phone, {name} will take over from {city} while the colleague is on sick leave."), ("high", "Our client, born 1979-04-{d2} in {city}, disputes the charge on the card ending in {d4}."),
+        ("med", "In the matter of {name} against {company} the hearing is on {day}."), ("low", "The contract with {company} follows the usual form; see the {paper}.")),
+    "finance_balanced": (("low", "Markets were calm on {day}; {company} rose by {d1} points."), ("med", "Invoice {d6} of {company}, attention {name}."), ("high", "Pay {name}: IBAN DE89 3704 0044 0532 {d4} 00, PIN {d4}.")),
 }
+#: Kinds that fill up a class.
+TOP_UP = {"low": "low", "med": "hard_med", "high": "hard_high"}
+_FIELD = re.compile(r"\{(\w+)\}")
+
+
+def _number(d: Dialect, h: str, below: int) -> str:
+    return f"(cast(conv(substring({h}, 1, 8), 16, 10) AS bigint) % {below})" if d.spark else f"(('0x' || substring({h}, 1, 8))::UBIGINT % {below})::BIGINT"
+
+
+def _filled(d: Dialect, kind: str, template: str, seed: int) -> str:
+    parts = []
+    for i, piece in enumerate(_FIELD.split(template)):
+        if i % 2 == 0:
+            parts += [d.q(piece)] if piece else []
+            continue
+        h = f"md5(concat('{seed}|{kind}|', cast(id AS {'string' if d.spark else 'VARCHAR'}), '|{i}'))"
+        if piece in WORDS:
+            parts.append(f"{'element_at' if d.spark else 'list_extract'}({d.list(*map(d.q, WORDS[piece]))}, cast({_number(d, h, len(WORDS[piece]))} + 1 AS int))")
+        elif piece[0] == "d":
+            n = int(piece[1:])
+            parts.append(f"lpad(cast({_number(d, h, 10**n)} AS {'string' if d.spark else 'VARCHAR'}), {n}, '0')")
+        else:  # a digest has 32 digits; longer ones repeat it
+            x = f"substring(concat({h}, {h}), 1, {int(piece[1:])})"
+            parts.append(f"upper({x})" if piece[0] == "H" else x)
+    return f"concat({', '.join(parts)})"
 
 
-def _fill(template: str, n: Column, name: Column) -> Column:
-    parts: list[Column] = []
-    while template:
-        at, field = min(((template.find(f), f) for f in ("{n}", "{n:04}", "{name}") if f in template), default=(len(template), ""))
-        parts.append(F.lit(template[:at]))
-        if field:
-            parts.append({"{n}": n.cast("string"), "{n:04}": F.lpad(n.cast("string"), 4, "0"), "{name}": name}[field])
-        template = template[at + len(field) :]
-    return F.concat(*parts)
+def _columns(d: Dialect, kind: str, seed: int) -> list[str]:
+    made = KINDS[kind]
+    case = lambda xs: f"CASE id % {len(made)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    return ["id", f"{case(_filled(d, kind, t, seed) for _, t in made)} AS text", f"{case(d.q(r) for r, _ in made)} AS risk", f"'synthetic_{kind}' AS source"]
 
 
 def rows(spark: SparkSession, kind: str, count: int, seed: int = 42) -> DataFrame:
     """(id, text, risk, source): ``count`` rows of a kind."""
-    d = spark.range(count)
-    h = F.xxhash64("id", F.lit(seed))
-    n, name = F.pmod(h, F.lit(10_000)), F.element_at(F.array(*map(F.lit, NAMES)), (F.pmod(F.shiftright(h, 16), F.lit(len(NAMES))) + 1).cast("int"))
-    pick = F.pmod(F.shiftright(h, 32), F.lit(len(TEMPLATES[kind])))
-    text = F.coalesce(*[F.when(pick == i, _fill(t, n, name)) for i, t in enumerate(TEMPLATES[kind])])
-    risk = {"low": "low", "med": "med", "high": "high", "safe_business": "low", "adversarial": "high"}[kind]
-    return d.select("id", text.alias("text"), F.lit(risk).alias("risk"), F.lit(f"synthetic_{kind}").alias("source"))
+    return spark.range(max(0, count)).selectExpr(*_columns(SPARK, kind, seed))
+
+
+def check_sql(kind: str, count: str | int, seed: int = 42) -> str:
+    """The same rows as a SELECT of the checking engine."""
+    return f"SELECT {', '.join(_columns(CHECK, kind, seed))} FROM (SELECT range AS id FROM range({count}))"
 
 
 def mixture(spark: SparkSession, counts: dict[str, int], seed: int = 42) -> DataFrame:
-    """Rows of several kinds; e.g. 30/40/30 of low, med and high."""
-    out = None
-    for kind, n in counts.items():
-        part = rows(spark, kind, n, seed)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Rows of several kinds."""
+    return reduce(DataFrame.unionByName, [rows(spark, kind, n, seed) for kind, n in counts.items()])
+
+
+def finance_counts(n: int) -> dict[str, int]:
+    """30 % low, 40 % medium, the rest high."""
+    low, med = int(n * 0.30), int(n * 0.40)
+    return {"finance_low": low, "finance_med": med, "finance_high": n - low - med}
 
 
 def demo_events(spark: SparkSession, count: int = 1200, days: int = 14, seed: int = 42) -> DataFrame:
     """Events over the days before a fixed date, with actions by the demo's limits (70 and 40)."""
-    h = F.xxhash64("id", F.lit(seed))
-    score = F.pmod(h, F.lit(101)).cast("int")
-    ts = F.timestamp_seconds(F.lit(1_735_689_600) - F.pmod(F.shiftright(h, 16), F.lit(days * 86_400)))
-    return spark.range(count).select(F.col("id").alias("event_id"), ts.alias("ts"), score.alias("risk_score"), F.when(score >= 70, "block").when(score >= 40, "warn").otherwise("silent").alias("action"))
+    return spark.range(count).selectExpr(*_events(SPARK, days, seed)).withColumn("ts", F.timestamp_seconds("at_second")).withColumn("action", F.when(F.col("risk_score") >= 70, "block").when(F.col("risk_score") >= 40, "warn").otherwise("silent")).select("event_id", "ts", "risk_score", "action")
+
+
+def _events(d: Dialect, days: int, seed: int) -> list[str]:
+    h = lambda field: f"md5(concat('{seed}|event|', cast(id AS {'string' if d.spark else 'VARCHAR'}), '|{field}'))"
+    return ["id AS event_id", f"cast({_number(d, h('score'), 101)} AS int) AS risk_score", f"1735689600 - {_number(d, h('at'), days * 86_400)} AS at_second"]
+
+
+def events_check_sql(count: int = 1200, days: int = 14, seed: int = 42) -> str:
+    return f"SELECT *, CASE WHEN risk_score >= 70 THEN 'block' WHEN risk_score >= 40 THEN 'warn' ELSE 'silent' END AS action FROM (SELECT {', '.join(_events(CHECK, days, seed))} FROM (SELECT range AS id FROM range({count})))"

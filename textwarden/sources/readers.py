@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,6 +31,19 @@ SENSITIVITY = {
     "restricted": "high", "sensitive": "high", "high": "high",
 }
 EXPECTED = {"safe": "silent", "low": "silent", "med": "warn", "medium": "warn", "risky": "block", "high": "block", "critical": "block"}
+# Column names of the finance workbook, and its labels' risks, in the order they are tried.
+FINANCE_TEXT, FINANCE_LABEL = ("text", "sentence", "content", "document"), ("label", "category", "pii_type", "class")
+FINANCE_RISK = {
+    "ssn": "high", "social_security": "high", "credit_card": "high", "card": "high", "passport": "high", "account": "high", "iban": "high", "auth": "high",
+    "password": "high", "api_key": "high", "name": "med", "person": "med", "phone": "med", "email": "med", "address": "med", "location": "med", "dob": "med",
+    "date_of_birth": "med", "o": "low", "none": "low", "non-pii": "low", "safe": "low",
+}
+# Files of the curated pools, their risk (per line where there is none) and source; rows of a file.
+EXTRA_POOLS = (
+    ("high_extra.jsonl", "high", "extra_pool_high"), ("hard_negative_low.jsonl", "low", "extra_pool_hard_low"), ("hard_negative_med.jsonl", "med", "extra_pool_hard_med"),
+    ("weak_category_examples.jsonl", None, "extra_pool_weak_cat"), ("contextual_embedded_pii.jsonl", None, "extra_pool_contextual_pii"),
+)
+EXTRA_POOL_ROWS = 8000
 # Classes from the lowest to the highest priority.
 ENGLISH = ("en", "en-US", "en-GB", "en_US", "en_GB")
 PII_PRIORITY = ("O", "NAME", "LOCATION", "CONTACT", "ID", "OTHER_PII", "FINANCIAL", "HEALTH", "AUTH")
@@ -96,6 +110,45 @@ def balanced_rows(df: DataFrame, most: int | None = 12_000) -> DataFrame:
     return d if most is None else d.orderBy(F.md5("text"), "text", "risk").limit(most)
 
 
+def finance_rows(df: DataFrame) -> DataFrame:
+    """(text, risk) of a finance workbook's sheet: columns by name (else the first and the second), the label's risk by its whole name, else by the first
+    name that begins it or (with three letters or more) lies in it; rows without a risk or with up to ten characters go."""
+    find = lambda names, i: next((c for c in df.columns if c.lower() in names), df.columns[i])
+    d = df.select(*[F.expr(SPARK.strip(f"cast(`{find(names, i)}` AS string)")).alias(n) for i, (n, names) in enumerate((("text", FINANCE_TEXT), ("label", FINANCE_LABEL)))])
+    d = d.withColumn("label", F.lower("label"))
+    whole = F.create_map(*[F.lit(x) for kv in FINANCE_RISK.items() for x in kv])[F.col("label")]
+    keys = ", ".join(f"struct('{k}' AS k, '{r}' AS r)" for k, r in FINANCE_RISK.items())
+    part = F.expr(f"get(filter(array({keys}), e -> startswith(label, e.k) OR (length(e.k) >= 3 AND contains(label, e.k))), 0).r")
+    return d.select("text", F.coalesce(whole, part).alias("risk")).where("risk IS NOT NULL AND length(text) > 10")
+
+
+def finance_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """:func:`finance_rows` of Excel files (needs pandas' Excel reader, which opens them on the driver)."""
+    import pandas as pd
+
+    return finance_rows(spark.createDataFrame(pd.concat([pd.read_excel(p, dtype=str) for p in paths], ignore_index=True)))
+
+
+def extra_pool_rows(files: dict[str, DataFrame], known: DataFrame, most: int | None = EXTRA_POOL_ROWS) -> DataFrame:
+    """(line, text, risk, source) of the curated pools, given as tables with ``line`` by file name: texts of 20 to 1000 characters whose fingerprint is
+    neither known nor in an earlier file or line; of each file the first ``most`` that are left (all with None)."""
+    parts = []
+    for i, (name, fixed, source) in enumerate(EXTRA_POOLS):
+        if (df := files.get(name)) is None:
+            continue
+        given = F.lower(F.trim(first_present(df, ("risk",))))
+        risk = F.lit(fixed) if fixed else F.when(given == "high", "high").when(given.isin("med", "medium"), "med").otherwise("low")
+        text = first_present(df, ("text", "content")).alias("text")
+        parts.append(df.select("line", text, risk.alias("risk"), F.lit(source).alias("source"), F.lit(i).alias("_rank")))
+    every = reduce(DataFrame.unionByName, parts).withColumn("text", F.expr(SPARK.strip("text"))).where(F.length("text").between(20, 1000))
+    every = every.withColumn("_print", F.expr(X.fingerprint(SPARK, "text"))).where("_print <> ''")
+    first = every.groupBy("_print").agg(F.min_by(F.struct("line", "text", "risk", "source"), F.struct("_rank", "line")).alias("row"))
+    left = first.join(known.select(F.expr(X.fingerprint(SPARK, "text")).alias("_print")).distinct(), "_print", "left_anti").select("row.*")
+    if most is None:
+        return left
+    return reduce(DataFrame.unionByName, [left.where(F.col("source") == s).orderBy("line").limit(most) for n, _, s in EXTRA_POOLS if n in files])
+
+
 def _truth(df: DataFrame, name: str, false: tuple[str, ...] = ("",)) -> Column:
     """Whether a column is true: booleans as they are, numbers other than 0, strings other than those named."""
     kind = dict(df.dtypes)[name]

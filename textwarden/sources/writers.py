@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,21 @@ from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a new folder below spark.checkpoint.dir and read again, for plans that read it several times; in local mode a folder is made if none is named."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="settled-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_events(df: DataFrame, path: str, text_col: str = "text") -> None:
     """Scoring events: the text's hash instead of the text, the rest of the row as JSON context."""
     rest = [c for c in df.columns if c not in (text_col, "pii_class", "confidence", "action")]
