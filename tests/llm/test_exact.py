@@ -309,6 +309,19 @@ def test_empty_tables(nothing):
     assert quality.score(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_looked_up(spark, monkeypatch, hot):
+    """Frequent keys, rare keys, keys that the table lacks and null keys keep all their rows."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    keys = [1] * 50 + [2] * 5 + list(range(3, 30)) + [None] * 20
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k long")
+    table = spark.createDataFrame([(k, f"v{k}", keys.count(k)) for k in set(keys) - {None, 7}], "k long, v string, n long")
+    got = {(r.id, r.k, r.v) for r in jaccard_join.looked_up(rows, table, "k", "n").collect()}
+    assert got == {(i, k, None if k in (None, 7) else f"v{k}") for i, k in enumerate(keys)}
+    none = table.limit(0)
+    assert jaccard_join.looked_up(rows, none, "k", "n").where("v IS NULL").count() == len(keys)
+
+
 def test_large_families(spark, monkeypatch):
     """The path of families that don't fit into a task, forced by a small unit."""
     monkeypatch.setattr(jaccard_join, "UNIT", 6)

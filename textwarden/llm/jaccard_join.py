@@ -47,6 +47,8 @@ from textwarden.llm.storage import give_back, removed, stored
 
 #: Load of a family that is compared in one task: a member counts 1, and 1 more for each WEIGHT n-grams.
 UNIT, WEIGHT = 4096, 1024
+#: Most keys whose rows are joined by broadcast: those with one row in HOT or more.
+HOT = 1000
 #: Subpartitions of a partition; a signature leaves one out.
 SUB = 3
 
@@ -522,6 +524,22 @@ def _large(sets: DataFrame, percent: int, nothing: DataFrame) -> DataFrame:
     return comps if found.isEmpty() else _contract(edges.union(found))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """All rows with the columns of table, which has a row for each key and in ``size`` how many rows have it.
+
+    Keys of a thousandth of these rows or more, so at most HOT, are broadcast; rows with a null key move nowhere; the
+    rest meet by the key. So no task gets all rows of a frequent one.
+    """
+    more = [c for c in table.columns if c not in (key, size)]
+    total = table.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) * HOT >= total
+    hot = F.broadcast(table.where(often).select(key, *more))
+    keyed = rows.where(F.col(key).isNotNull()).drop(size)
+    rest = keyed.join(F.broadcast(table.where(often).select(key)), key, "left_anti").join(table.where(~often).select(key, *more), key, "left")
+    without = rows.where(F.col(key).isNull()).drop(size).withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in more})
+    return keyed.join(hot, key).unionByName(rest).unionByName(without)
+
+
 def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -553,11 +571,12 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
         comps = _solved(small, percent)
         if not large.isEmpty():
             comps = comps.union(_large(large, percent, nothing))
-    # a row per node first: a document that occurs a million times is one row of each task, and the last joins have a unique side that can be split against
-    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = stored(least.join(nothing if comps is None else comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp")), "placed")
+    # a row per node first: a document that occurs a million times is one row of each task
+    least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    placed = stored(least.join(nothing if comps is None else comps, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp")), "placed")
     removed(groups, families, sets)
-    first = stored(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("comp", "component_id"), "first")
-    named = stored(placed.join(first, "comp", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
+    first = stored(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "first")
+    named = stored(looked_up(placed, first, "comp", "nodes").select("node", F.coalesce("component_id", "least").alias("component_id"), "copies"), "named")
     removed(placed, first)
-    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.expr("CASE WHEN node IS NULL THEN doc_id ELSE component_id END").alias("component_id"))
+    found = looked_up(rows, named, "node", "copies")
+    return found.select("doc_id", "n_shingles", F.expr("CASE WHEN node IS NULL THEN doc_id ELSE component_id END").alias("component_id"))
