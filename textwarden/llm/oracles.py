@@ -48,3 +48,26 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x0
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(k, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(k, 0) > 50 * len(ws) AS base_failed
 FROM e LEFT JOIN n USING (rid)
 """
+
+#: A table of one row, crc_table: the 256 remainders of CRC-32, each by eight steps from its number.
+CRC_TABLE = """(SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for i in range(256)] AS crc_table)"""
+
+
+def crc32(text: str) -> str:
+    """SQL: the unsigned CRC-32 of an ASCII string, where CRC_TABLE is joined."""
+    chars = f"list_concat([4294967295::BIGINT], [ascii(x)::BIGINT for x in string_split({text}, '')])"
+    return f"xor(list_reduce({chars}, lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+BAND = f"""
+WITH l AS (SELECT sale_id, line_no, item_id AS line_item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND amount IS NOT NULL),
+n AS (SELECT *, (2 * a + q) * sign(q) AS above, 2 * abs(q) AS below FROM l),
+c AS (SELECT sale_id, line_no::BIGINT AS line_no, line_item_id, ((above - ((above % below) + below) % below) // below)::BIGINT AS u, {crc32("concat(sale_id, ',', line_no, ',', line_item_id)")} AS crc FROM n, {CRC_TABLE}),
+i AS (SELECT row_number() OVER () AS rid, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+b AS (SELECT rid, item_id, p, p - greatest(10, 2 * p // 1000) AS lo, p + greatest(10, 2 * p // 1000) AS hi FROM i WHERE p IS NOT NULL AND item_id IS NOT NULL),
+j AS (SELECT rid, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc FROM b JOIN c ON u BETWEEN lo AND hi AND line_item_id <> item_id WHERE abs(u - p) <= 10 OR 1000 * abs(u - p) <= 2 * p),
+s AS (SELECT rid, count(*) AS n_pairs, sum(gap)::BIGINT AS gap_sum, sum(crc)::BIGINT AS lines_crc FROM j GROUP BY rid),
+f AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY gap, u, sale_id, line_no NULLS FIRST, line_item_id)::INT AS rank, gap, u, sale_id, line_no, line_item_id FROM j QUALIFY rank <= 5)
+SELECT item_id, coalesce(rank, 0)::INT AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(gap_sum, 0)::BIGINT AS gap_sum, coalesce(lines_crc, 0)::BIGINT AS lines_crc
+FROM i LEFT JOIN s USING (rid) LEFT JOIN f USING (rid)
+"""
