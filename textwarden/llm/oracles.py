@@ -71,3 +71,24 @@ f AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY gap, u, sale_id,
 SELECT item_id, coalesce(rank, 0)::INT AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0)::BIGINT AS n_pairs, coalesce(gap_sum, 0)::BIGINT AS gap_sum, coalesce(lines_crc, 0)::BIGINT AS lines_crc
 FROM i LEFT JOIN s USING (rid) LEFT JOIN f USING (rid)
 """
+
+RUNS = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, {crc32("doc_id::VARCHAR")} AS h FROM documents, {CRC_TABLE}),
+a AS (SELECT rid, doc_id, ws, h, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM t),
+b AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT rid, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) END) AS x FROM b),
+v AS (SELECT rid, i, hash(x) AS x FROM w),
+pp AS (SELECT rid, n, unnest(range(1, n // 4 + 1)) AS p FROM a WHERE n >= 6),
+g AS (SELECT rid, p, unnest(range(0, (n - 1) // p)) AS j FROM pp),
+e AS (SELECT g.rid, g.p, g.j FROM g JOIN v l ON l.rid = g.rid AND l.i = g.j * g.p JOIN v r ON r.rid = g.rid AND r.i = (g.j + 1) * g.p WHERE l.x = r.x),
+c AS (SELECT DISTINCT rid, p FROM (SELECT rid, p, j - row_number() OVER (PARTITION BY rid, p ORDER BY j) AS k FROM e) GROUP BY rid, p, k HAVING count(*) >= 3),
+q AS (SELECT c.rid, c.p, l.i FROM c JOIN v l ON l.rid = c.rid JOIN v r ON r.rid = c.rid AND r.i = l.i + c.p WHERE l.x = r.x),
+s AS (SELECT rid, p, min(i) AS s, count(*) + p AS len FROM (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS k FROM q) GROUP BY rid, p, k HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT rid, s, len, min(p) AS p FROM s GROUP BY rid, s, len),
+f AS (SELECT rid, count(*) AS n_runs, sha256(string_agg(concat(s, ',', len, ',', p, chr(10)), '' ORDER BY s, p)) AS runs_sha256, min(struct_pack(l := -len, s := s, p := p)) AS top FROM r GROUP BY rid),
+o AS (SELECT DISTINCT w.rid, w.i FROM w JOIN r ON r.rid = w.rid AND w.i >= r.s + r.p AND w.i < r.s + r.len),
+k AS (SELECT w.rid, sha256(string_agg(x, ' ' ORDER BY w.i)) AS collapsed_sha256 FROM w ANTI JOIN o ON o.rid = w.rid AND o.i = w.i GROUP BY w.rid)
+SELECT a.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, -top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * -top.l // top.p)::BIGINT AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM a LEFT JOIN f USING (rid) LEFT JOIN k USING (rid)
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textwarden.llm import band_join, decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, oracles, quality, substring_dedup, suffix_dedup, token_counts, toxicity
+from textwarden.llm import band_join, decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, mixing, oracles, periodic_runs, quality, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocab).select("doc_id", "n_tokens")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(_read(spark, sf_dir, "documents"))
+    return periodic_runs.summary(periodic_runs.find(docs)).drop("n_words")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"))
 
@@ -91,7 +96,7 @@ def op13_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_quality_rules, op9_decontamination, op10_token_counts, op12_exact_dedup, op13_band_join, quality_base_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_mixing, op6_ngram_jaccard_join, op7_suffix_array_dedup, op8_quality_rules, op9_decontamination, op10_token_counts, op11_periodic_runs, op12_exact_dedup, op13_band_join, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -101,6 +106,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE,
         "op6_ngram_jaccard_join": oracles.JACCARD,
         "op7_suffix_array_dedup": oracles.SUFFIX,
+        "op11_periodic_runs": oracles.RUNS,
         "op12_exact_dedup": exact_dedup.ORACLE,
         "op13_band_join": oracles.BAND,
         "quality_base_counts": oracles.QUALITY_BASE,
