@@ -203,6 +203,13 @@ def test_quality_odd(odd, odd_rows):
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
 
 
+@pytest.mark.parametrize("word", ["7" * 1_200_000, "!#?" * 400_000, "é" * 1_000_000])
+def test_quality_of_one_long_word(spark, word):
+    """Time is linear in a word's length, whatever it holds."""
+    r = quality.features(spark.createDataFrame([(1, f"a {word} b")], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_letter_words, r.word_chars) == (3, 2 + word[0].isalpha(), len(word) + 2)
+
+
 def test_quality_em(spark):
     """The expectation-maximisation against the same steps in plain Python."""
     import math

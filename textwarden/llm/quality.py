@@ -24,6 +24,8 @@ from textwarden.llm.storage import checkpointed
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rounds of expectation-maximisation; starting beliefs: share of good documents, a rule's accuracy on good and on bad ones (a rule seldom errs on good documents and catches one kind of bad ones).
 ROUNDS, PRIOR, ON_GOOD, ON_BAD = 60, 0.8, 0.995, 0.25
+#: A document that fails this is never kept.
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 RULES = ("length", "word_length", "symbols", "lines", "repeats", "letters", "shouting", "marks")
 _VOTES = {
     "length": "CASE WHEN n_words < 50 THEN -1 WHEN n_words >= 80 THEN 1 ELSE 0 END",
@@ -46,12 +48,12 @@ def features(docs: DataFrame) -> DataFrame:
         r"filter(split(text, '\n'), x -> x RLIKE r'[^\x20\x09-\x0D]') AS lines",
         r"cast(length(regexp_replace(text, r'[\x20\x09-\x0D]+', '')) AS bigint) AS word_chars",
         r"cast(regexp_count(text, r'[#*$%&|<>]') AS bigint) AS n_symbols",
-        r"cast(regexp_count(text, r'[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*') AS bigint) AS n_letter_words",
         r"cast(regexp_count(text, r'\p{Lu}') AS bigint) AS n_upper",
         r"cast(regexp_count(text, r'[!?#*$%&|<>]{2,}') AS bigint) AS n_marks",
     )
     d = d.selectExpr(
-        "doc_id", "word_chars", "n_symbols", "n_letter_words", "n_upper", "n_marks",
+        "doc_id", "word_chars", "n_symbols", "n_upper", "n_marks",
+        r"cast(size(filter(words, x -> x RLIKE r'\p{L}')) AS bigint) AS n_letter_words",
         "cast(size(words) AS bigint) AS n_words",
         "cast(size(lines) AS bigint) AS n_lines",
         "cast(size(lines) - size(array_distinct(lines)) AS bigint) AS n_dup_lines",
@@ -107,6 +109,6 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     total = " + ".join(evidence(f"votes[{k}]", f"named_struct('a', {c.a!r}D, 'b', {c.b!r}D)") for k, c in enumerate(m.acc))
     return (
         voted.withColumn("posterior", F.expr(f"1 / (1 + exp(-(ln({m.prior!r}D / (1 - {m.prior!r}D)) + {total})))"))
-        .withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+        .withColumn("base_failed", F.expr(BASE_FAILED))
         .withColumn("kept", F.expr("NOT base_failed AND posterior >= 0.5"))
     )

@@ -65,7 +65,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the base rule of op8, which SQL can express."""
-    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    counted = quality.features(_read(spark, sf_dir, "documents"))
+    return counted.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"{quality.BASE_FAILED} AS base_failed")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
