@@ -56,6 +56,23 @@ def test_one_language(tongues):
     assert {r.lang_pred for r in language_id.predict(tongues.limit(20), m).collect()} == {"aa"}
 
 
+def test_language_of_long_texts_only(spark, tongues):
+    """A language whose texts are all above the bound, or all repeats of one row, is learnt too."""
+    rng = random.Random(8)
+    long = spark.createDataFrame([(1000 + i, "1234 " * 5000 + speech(rng, "cc", 3000), "cc") for i in range(6)], "doc_id long, text string, lang string")
+    same = spark.createDataFrame([(2000, speech(random.Random(1), "bb", 60), "bb")] * 400, "doc_id long, text string, lang string")
+    model = language_id.fit(tongues.where("lang = 'aa'").union(long).union(same), per_lang=8)
+    assert model.langs == ("aa", "bb", "cc")
+    got = language_id.predict(long, model).collect()
+    assert {r.lang_pred for r in got} == {"cc"}
+
+
+def test_primal_equals_dual(tongues):
+    """The solver for many rows gives the weights of the one for few."""
+    a, b = language_id.fit(tongues, per_lang=40), language_id.fit(tongues, per_lang=40, dual=0)
+    assert np.abs(a.weights - b.weights).max() < 1e-3 * np.abs(a.weights).max() and np.allclose(a.trust, b.trust)
+
+
 def test_pieces_of_long_texts():
     t = ("köln und é " * 60_000).encode()
     assert len(t) > 2 * language_id.PIECE

@@ -1,14 +1,14 @@
 """Language identification with error-correcting output codes.
 
 Each language gets a codeword; one binary classifier per code bit (ridge regression on hashed
-byte n-grams, fitted in its dual form) says on which side of the bit a text lies. Decoding adds up,
+byte n-grams, fitted in its dual form or, for many rows, its primal one) says on which side of the bit a text lies. Decoding adds up,
 per language, the losses of all bits against its codeword, each weighted by that bit's
 accuracy on the language's training texts, and takes the language of least loss. A text is
 ambiguous where the runner-up is within ``margin``.
 
 The fit uses at most ``per_lang`` texts of a language, and of all languages about ``most`` (with many languages fewer of
-each, never fewer languages), chosen by a hash of the id, of at most ``max_bytes`` bytes each; these are
-parameters of :func:`fit`. Every text is scored whole, a very long one in pieces.
+each, never fewer languages), chosen by a hash of id and text; of a text above ``max_bytes`` bytes it learns a stretch
+from a hashed place. These are parameters of :func:`fit`. Every text is scored whole, a very long one in pieces.
 
 Results for odd input: null text or text without a letter gives ``und`` and score 0.0;
 ties between languages go to the first in code-point order; without any
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.blocks import _SPACE
+from textwarden.llm.storage import removed, stored
 
 BITS = 13
 ORDERS = (2, 3, 4)
@@ -67,7 +68,7 @@ def vector(text: bytes) -> np.ndarray:
 
 
 def codewords(k: int) -> np.ndarray:
-    """Exhaustive codes up to 7 languages, else random ones of 10 log2 k bits, no two rows or columns alike."""
+    """Exhaustive codes up to 7 languages, else random ones of 10 log2 k bits, the farthest apart of 64 draws without a constant column."""
     if k <= 7:
         rows = [[1] * max(1, (1 << (k - 1)) - 1)]
         for i in range(1, k):
@@ -83,32 +84,100 @@ def codewords(k: int) -> np.ndarray:
     return best
 
 
-def fit(labelled: DataFrame, per_lang: int = 500, max_bytes: int = 16384, most: int = 32_000, ridge: float = 1.0) -> Model | None:
-    """A model from (doc_id, text, lang) rows."""
-    usable = labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").where(F.octet_length("text") <= max_bytes)
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row for each language
+#: Rows up to which ridge regression is solved in its dual form; passes of the primal solver.
+DUAL, PASSES = 4096, 200
+
+
+def _sample(labelled: DataFrame, per_lang: int, max_bytes: int, most: int) -> DataFrame | None:
+    """lang and text of the texts to learn from: of each language the first by a hash of id and text; of a longer text a stretch at a hashed place."""
+    hashed = lambda tag: F.pmod(F.xxhash64(F.lit(tag), F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    usable = labelled.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id", "text", "lang", hashed("language").alias("_draw"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_draw").alias("_least"))  # a row for each language
     k = sizes.count()
     if not k:
         return None
     per = max(8, min(per_lang, most // k))
-    draw = (F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    chosen = usable.select("doc_id", "text", "lang", draw.alias("_draw")).join(sizes, "lang").where(F.col("_draw") < F.lit(float(per)) / F.col("_n"))
-    rows = chosen.orderBy("_draw", "doc_id", "text").select("doc_id", "text", "lang").limit(2 * per * k).collect()
-    rows.sort(key=lambda r: (r.lang, str(r.doc_id), r.text))
-    langs = tuple(sorted({r.lang for r in rows}))
-    if not langs:
+    # far more than per are drawn of a language with more, so that what is sorted stays small
+    drawn = usable.join(sizes, "lang").where(f"_draw * _n < {4 * per + 64} OR _draw = _least")
+    ranked = drawn.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY _draw, doc_id, text) AS _place").where(f"_place <= {per}")
+    wide = max_bytes // 4
+    at = F.floor(hashed("place") * F.greatest(F.length("text") - wide, F.lit(0))).cast("int")
+    cut = ranked.withColumn("_piece", F.when(F.octet_length("text") > max_bytes, F.substring("text", at + 1, F.lit(wide))).otherwise(F.col("text")))
+    lettered = F.when(F.col("_piece").rlike(r"\p{L}"), F.col("_piece")).otherwise(F.substring("text", F.regexp_instr("text", F.lit(r"(\p{L})")), F.lit(wide)))
+    return cut.select("lang", lettered.alias("text"))
+
+
+def _batches(chosen: DataFrame, langs: tuple[str, ...], codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Vectors, labels and code bits of some hundred rows at a time."""
+    index, held = {lang: i for i, lang in enumerate(langs)}, []
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        label = np.array([index[r.lang] for r in held])
+        return np.stack([vector(r.text.encode()) for r in held]), label, codes[label]
+
+    for r in chosen.toLocalIterator():
+        held.append(r)
+        if len(held) == 256:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
+
+
+def ridge_dual(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Weights that minimise the squares over cost plus 0.05 times the squared weights, by a matrix of rows x rows."""
+    inner = x @ x.T
+    inner[np.diag_indices(len(x))] += (0.05 * cost).astype(np.float32)
+    return x.T @ np.linalg.solve(inner, y)
+
+
+def ridge_primal(gram: np.ndarray, right: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """The same weights from the features' products, by conjugate gradients in place of a copy of the matrix."""
+    w = np.zeros_like(right)
+    rest = right.copy()
+    step, size = rest.copy(), (rest * rest).sum(0)
+    for _ in range(passes):
+        if (size < 1e-10).all():
+            break
+        along = gram @ step + np.float32(0.05) * step
+        far = size / np.maximum((step * along).sum(0), 1e-30)
+        w += far * step
+        rest -= far * along
+        new = (rest * rest).sum(0)
+        step, size = rest + new / np.maximum(size, 1e-30) * step, new
+    return w
+
+
+def fit(labelled: DataFrame, per_lang: int = 500, max_bytes: int = 16384, most: int = 32_000, ridge: float = 1.0, dual: int = DUAL) -> Model | None:
+    """A model from (doc_id, text, lang) rows. The driver reads the chosen texts a few at a time, and holds one matrix of features or of rows."""
+    chosen = _sample(labelled, per_lang, max_bytes, most)
+    if chosen is None:
         return None
-    x = np.stack([vector(r.text.encode()) for r in rows])
-    label = np.array([langs.index(r.lang) for r in rows])
+    chosen = stored(chosen.repartition(8, "lang", "text").sortWithinPartitions("lang", "text"), "languages")
+    counts = {r.lang: r.n for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs, rows = tuple(sorted(counts)), sum(counts.values())
     codes = codewords(len(langs))
-    y = codes[label]
-    inner = x @ x.T
-    size = np.bincount(label, minlength=len(langs))
-    cost = ridge * len(rows) / (len(langs) * size[label])  # each language counts alike
-    dual = np.linalg.solve(inner + np.diag(0.05 * cost).astype(np.float32), y)
-    weights = x.T @ dual
-    right = (x @ weights * y > 0).astype(np.float64)
-    trust = np.stack([right[label == i].mean(0) for i in range(len(langs))]) + 1e-6
+    cost = np.array([ridge * rows / (len(langs) * counts[lang]) for lang in langs])  # each language counts alike
+    if rows <= dual:
+        parts = list(_batches(chosen, langs, codes))
+        x, label, y = (np.concatenate(c) for c in zip(*parts, strict=True))
+        weights = ridge_dual(x, y, cost[label])
+        parts = [(x, label, y)]
+    else:
+        gram, right = np.zeros((1 << BITS, 1 << BITS), np.float32), np.zeros((1 << BITS, codes.shape[1]), np.float32)
+        for x, label, y in _batches(chosen, langs, codes):
+            scaled = x / cost[label].astype(np.float32)[:, None]
+            right += scaled.T @ y
+            for a in range(0, 1 << BITS, 1024):
+                gram[a : a + 1024] += scaled[:, a : a + 1024].T @ x
+        weights = ridge_primal(gram, right)
+        del gram
+        parts = _batches(chosen, langs, codes)
+    hits = np.zeros(codes.shape)
+    for x, label, y in parts:
+        np.add.at(hits, label, x @ weights * y > 0)
+    removed(chosen)
+    trust = hits / np.array([counts[lang] for lang in langs])[:, None] + 1e-6
     return Model(langs, codes, weights.astype(np.float32), (trust / trust.sum(1, keepdims=True)).astype(np.float32))
 
 
