@@ -159,11 +159,19 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Block]:
             held.append(part)
             size += part.column("text").nbytes
             if size >= B.BLOCK_BYTES:
-                yield B.Block(pa.Table.from_batches(held))
+                yield _block(held)
                 held, size = [], 0
                 give_back()
     if held:
-        yield B.Block(pa.Table.from_batches(held))
+        yield _block(held)
+
+
+def _block(held: list[pa.RecordBatch]) -> B.Block:
+    """The documents as a block, which holds any other columns in its order too."""
+    table = pa.Table.from_batches(held)
+    b = B.Block(table)
+    b.carried = {c: table[c].take(b.order) for c in table.column_names if c not in ("doc_id", "text")}
+    return b
 
 
 def _slices(sig: np.ndarray, of: np.ndarray, buckets: int, columns: list[np.ndarray], low: int = 0, high: int = 1 << 64) -> list[tuple]:
@@ -542,15 +550,22 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFra
 
 def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return memberships(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def memberships(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component_id, and component, which names a component even where ids are not
+    unique; it is null for a document with an empty set."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             _, count, names = block_sets(b, n)
-            ids = b.doc_id.combine_chunks() if isinstance(b.doc_id, pa.ChunkedArray) else b.doc_id
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(names.view(np.int64), mask=count == 0)], ["doc_id", "n_shingles", "node"])
+            ids, keys = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (b.doc_id, b.carried["text_key"]))
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(count, pa.int64()), pa.array(names.view(np.int64), mask=count == 0)], ["doc_id", "text_key", "n_shingles", "node"])
 
-    rows = stored(d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, n_shingles long, node long"), "rows")
+    rows = stored(d.mapInArrow(name, f"doc_id {dict(d.dtypes)['doc_id']}, text_key long, n_shingles long, node long"), "rows")
+    d = d.drop("text_key")
     groups = stored(_groups(d, B.layout(d), n, percent), "groups")
     nothing = docs.sparkSession.createDataFrame([], "node long, comp long")
     families = _contract(groups.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -576,7 +591,8 @@ def components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "do
     placed = stored(least.join(nothing if comps is None else comps, "node", "left").select("node", "least", "copies", F.coalesce("comp", "node").alias("comp")), "placed")
     removed(groups, families, sets)
     first = stored(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "first")
-    named = stored(looked_up(placed, first, "comp", "nodes").select("node", F.coalesce("component_id", "least").alias("component_id"), "copies"), "named")
+    named = stored(looked_up(placed, first, "comp", "nodes").select("node", "comp", F.coalesce("component_id", "least").alias("component_id"), "copies"), "named")
     removed(placed, first)
     found = looked_up(rows, named, "node", "copies")
-    return found.select("doc_id", "n_shingles", F.expr("CASE WHEN node IS NULL THEN doc_id ELSE component_id END").alias("component_id"))
+    name = F.expr("CASE WHEN node IS NULL THEN doc_id ELSE component_id END").alias("component_id")
+    return found.select("doc_id", "text_key", "n_shingles", name, F.col("comp").alias("component"))
