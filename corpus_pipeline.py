@@ -29,12 +29,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates (five words, similarity 0.8) the document with the smallest id; of
-    repeated rows one. Rows with a null id stay."""
-    groups = jaccard_join.components(docs.select("doc_id", "text"), n=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    """Of each component of near-duplicates (five words, similarity 0.8) the row with the smallest id; of repeated
+    rows one, where other columns differ always the same. Rows with a null id stay. Rows that share an id with a row of another
+    text are told apart by their texts."""
+    groups = jaccard_join.memberships(docs.select("doc_id", "text"), n=5, percent=80).where("doc_id IS NOT NULL")
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    alone = groups.where("component IS NULL").select("doc_id", "text_key").distinct()
     keyed = _packed(docs, "doc_id", F.xxhash64("text").alias("text_key"))
-    kept = keyed.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    kept = keyed.where("doc_id IS NOT NULL").join(first.unionByName(alone), ["doc_id", "text_key"], "left_semi")
+    kept = kept.groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64(F.col("row").cast("string"))).alias("row"))
     return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
