@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,13 +34,45 @@ def test_find_all_agrees_with_native(spark):
 
 def test_highlight_and_masks(spark):
     kind = f"text string, spans array<{spans.SPAN}>"
-    rows = [("call 415-555-0100 now", [(0, 21, "window", "", "model_window", "med"), (5, 17, "phone number", "415-555-0100", "regex", "high")])]
+    rows = [("call 415-555-0100 now", [(0, 21, "window", "", "model_window", "med"), (5, 17, "phone number", "415-555-0100", "regex", "high")]), (None, None)]
     df = spark.createDataFrame(rows, kind)
-    r = df.select(F.expr(spans.highlight("text", "spans")).alias("h"), F.expr(spans.mask("text", "filter(spans, s -> s.source = 'regex')", "partial")).alias("m"), F.expr(spans.repair("'x 415-555-0100'", "filter(spans, s -> s.source = 'regex')")).alias("fixed"), F.expr(spans.layer_summary("spans")).alias("n")).first()
-    assert r.h == "call [phone number] now" and r.m == "call 4**********0 now"
+    own = df.withColumn("spans", F.expr("filter(spans, s -> s.source = 'regex')"))
+    assert [r.edited for r in spans.edit(df, "highlight").collect()] == ["call [phone number] now", None]
+    assert {m: spans.edit(own, m).first().edited[5:-4] for m in ("full", "type_only", "stars", "partial")} == {"full": "[phone number]", "type_only": "[PHONE NUMBER]", "stars": "*" * 12, "partial": "4**********0"}
+    r = df.select(F.expr(spans.repair("'x 415-555-0100'", "filter(spans, s -> s.source = 'regex')")).alias("fixed"), F.expr(spans.layer_summary("spans")).alias("n")).first()
     assert [(s.start, s["end"]) for s in r.fixed] == [(2, 14)] and r.n == {"model_window": 1, "regex": 1}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_disjoint_spans(seed):
+    """The greedy choices against their definition: a span stays if it meets none that stayed before."""
+    rng = random.Random(seed)
+    made = [{"start": a, "end": a + rng.randint(1, 9), "class": "c", "source": rng.choice(["regex", "kb_rule", "model_window", "other"])} for a in rng.choices(range(60), k=30)]
+    for chosen, key in ((spans.for_highlight, lambda s: (-spans.PRIORITY.get(s["source"], 1), s["end"] - s["start"], s["start"])), (spans.for_mask, lambda s: -s["start"])):
+        kept = []
+        for s in sorted(made, key=key):
+            if all(s["end"] <= k["start"] or k["end"] <= s["start"] for k in kept):
+                kept.append(s)
+        assert chosen(made) == sorted(kept, key=lambda s: s["start"])
+
+
+def test_distinct_spans(spark):
+    one, two = (5, 9, "a", "x", "regex", "high"), (5, 9, "a", "x", "kb_rule", "med")
+    rows = [([two, one, (0, 2, None, "", "", ""), one, (0, 2, None, "y", "", ""), (5, 9, "b", "", "", "")],), ([],)]
+    got = spark.createDataFrame(rows, f"spans array<{spans.SPAN}>").selectExpr(f"{spans.distinct('spans')} AS d").collect()
+    assert [[tuple(s) for s in r.d] for r in got] == [[two, (0, 2, None, "", "", ""), (5, 9, "b", "", "", "")], []]
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches in a text: found, told apart and replaced in time near linear."""
+    n = 100_000
+    df = spark.createDataFrame([("é a@b.org," * n,)], "text string")
+    start = time.monotonic()
+    found = spans.find(df, MAIL).selectExpr("text", f"{spans.distinct('spans')} AS spans")
+    r = spans.edit(found, "stars").selectExpr("size(spans) AS n", "element_at(spans, -1).start AS last", "length(edited) AS size", "regexp_count(edited, '[*]{7},') AS masked").first()
+    assert tuple(r) == (n, 10 * n - 8, 10 * n, n) and time.monotonic() - start < 60
+
+
 def test_overlap_pairs(spark):
     rows = [(1, [(0, 4, "a", "", "regex", ""), (3, 6, "b", "", "regex", ""), (6, 8, "c", "", "regex", "")])]
     df = spark.createDataFrame(rows, f"id int, spans array<{spans.SPAN}>")

@@ -1,14 +1,16 @@
 """Spans of detector matches and the interval operations on them.
 
 A span is a struct (start, end, class, match, source, risk); offsets count code points and are
-half-open. Offsets come from splitting the text at the matches and adding up lengths, which stays in
-the JVM; :func:`find_all` is the Arrow form for a whole pattern table in one pass.
+half-open. Offsets of one detector come from splitting the text at the matches and adding up lengths, which stays in
+the JVM; :func:`find_all` is the Arrow form for a whole pattern table in one pass, and :func:`edit` rewrites texts at their spans.
+All take time near linear in a text and its spans.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,13 +25,27 @@ RISK = {"strong": "high", "medium": "med", "critical": "critical", "secret": "hi
 PRIORITY = {"regex": 4, "kb_rule": 3, "model_window": 0}
 
 
+#: Matches whose places are added up one by one; sums of whole parts are carried from part to part.
+PART = 128
+
+
+def _bound(x: str, name: str, body: str) -> str:
+    """Spark SQL: body, in which ``name`` is x, evaluated once."""
+    return f"transform(array({x}), {name} -> {body})[0]"
+
+
 def offsets(d: Dialect, x: str, pattern: str) -> str:
-    """List of (start, end, match) of one pattern."""
+    """List of (start, end, match) of one pattern. For Spark the matches and the text between them are found once each, and lengths added up in parts."""
     ms = d.all_matches(x, pattern)
     if d.spark:
-        between = f"split({x}, {d.q(pattern)}, -1)"
-        start = f"aggregate(slice({between}, 1, i + 1), 0, (s, p) -> s + length(p)) + aggregate(slice({ms}, 1, i), 0, (s, p) -> s + length(p))"
-        return f"transform({ms}, (m, i) -> named_struct('start', {start}, 'end', {start} + length(m), 'match', m))"
+        both = f"zip_with({ms}, split({x}, {d.q(pattern)}, -1), (m, b) -> named_struct('m', m, 'gap', length(b), 'own', coalesce(length(m), 0)))"
+        parts = f"transform(sequence(1, size(e), {PART}), k -> slice(e, k, {PART}))"
+        total = lambda of: f"aggregate({of}, 0, (s, y) -> s + y.gap + y.own)"
+        start = f"aggregate(slice(sums, 1, i), 0, (s, y) -> s + y) + {total('slice(p, 1, j)')} + x.gap"
+        each = f"transform(p, (x, j) -> named_struct('start', {start}, 'end', 0, 'match', x.m))"
+        placed = f"flatten(transform(parts, (p, i) -> {each}))"
+        placed = _bound(both, "e", _bound(parts, "parts", _bound(f"transform(parts, p -> {total('p')})", "sums", placed)))
+        return f"transform(filter({placed}, x -> x.match IS NOT NULL), x -> named_struct('start', x.start, 'end', x.start + length(x.match), 'match', x.match))"
     between = f"string_split_regex({x}, {d.q(pattern)})"
     start = f"coalesce(list_sum(list_transform({between}[1:i], lambda p: length(p))), 0) + coalesce(list_sum(list_transform({ms}[1:i - 1], lambda p: length(p))), 0)"
     return f"list_transform({ms}, lambda m, i: {{'start': {start}, 'end': {start} + length(m), 'match': m}})"
@@ -75,8 +91,11 @@ def shift(spans: str, by: str) -> str:
 
 
 def distinct(spans: str) -> str:
-    """The first span of each (start, end, class)."""
-    return f"aggregate({spans}, cast(array() AS array<{SPAN}>), (kept, x) -> CASE WHEN exists(kept, k -> k.start = x.start AND k.end = x.end AND k.class = x.class) THEN kept ELSE concat(kept, array(x)) END)"
+    """The first span of each (start, end, class), in order: sorted by these and place, compared with the neighbour, and put back."""
+    keyed = f"array_sort(transform({spans}, (s, i) -> struct(s.start AS a, s.end AS b, s.class AS c, i AS i, s AS s)))"
+    new = "i = 0 OR NOT (x.a <=> get(r, i - 1).a AND x.b <=> get(r, i - 1).b AND x.c <=> get(r, i - 1).c)"
+    first = _bound(keyed, "r", f"filter(r, (x, i) -> {new})")
+    return f"transform(array_sort(transform({first}, x -> struct(x.i AS i, x.s AS s))), x -> x.s)"
 
 
 def repair(text: str, spans: str) -> str:
@@ -87,40 +106,63 @@ def repair(text: str, spans: str) -> str:
     return f"filter({moved}, s -> s.start IS NOT NULL)"
 
 
-def _disjoint(ordered: str) -> str:
-    """Greedy fold: a span stays if it meets none that stayed before."""
-    return f"aggregate({ordered}, cast(array() AS array<{SPAN}>), (kept, x) -> CASE WHEN exists(kept, k -> x.start < k.end AND k.start < x.end) THEN kept ELSE concat(kept, array(x)) END)"
-
-
 def _sorted(spans: str, *keys: str) -> str:
     """Ascending by the keys (expressions over s)."""
     return f"transform(array_sort(transform({spans}, s -> struct({', '.join(keys)}, s AS s))), e -> e.s)"
 
 
-def for_highlight(spans: str) -> str:
-    """Disjoint spans: by source priority, then shorter, then earlier."""
-    rank = "CASE s.source " + " ".join(f"WHEN '{k}' THEN {-v}" for k, v in PRIORITY.items()) + " ELSE -1 END"
-    return _disjoint(_sorted(spans, f"{rank} AS k1", "s.end - s.start AS k2", "s.start AS k3"))
+def for_highlight(spans: list[dict]) -> list[dict]:
+    """Disjoint spans, by start: by source priority, then shorter, then earlier, a span stays if it meets none that stayed before."""
+    starts, kept = [], []
+    for s in sorted(spans, key=lambda s: (-PRIORITY.get(s["source"], 1), s["end"] - s["start"], s["start"])):
+        i = bisect_right(starts, s["start"])
+        if (i == 0 or kept[i - 1]["end"] <= s["start"]) and (i == len(kept) or s["end"] <= kept[i]["start"]):
+            starts.insert(i, s["start"])
+            kept.insert(i, s)
+    return kept
+
+
+def for_mask(spans: list[dict]) -> list[dict]:
+    """Disjoint spans, by start, chosen from the last one back: after the sort the last that stayed is all there is to meet."""
+    kept: list[dict] = []
+    for s in sorted(spans, key=lambda s: -s["start"]):
+        if not kept or s["end"] <= kept[-1]["start"]:
+            kept.append(s)
+    return kept[::-1]
 
 
-def for_mask(spans: str) -> str:
-    """Disjoint spans by start, last first."""
-    return _disjoint(_sorted(spans, "-s.start AS k1"))
+def _partial(match: str) -> str:
+    return "*" * len(match) if len(match) <= 2 else match[0] + "*" * (len(match) - 2) + match[-1]
 
 
-def replace_spans(text: str, disjoint: str, with_: str) -> str:
-    """text with each span s replaced by the expression ``with_``, from right to left."""
-    return f"aggregate({_sorted(disjoint, '-s.start AS k1')}, {text}, (t, s) -> concat(substring(t, 1, s.start), {with_}, substring(t, s.end + 1)))"
+#: What stands for a span (its class, the text it covers).
+SHOWN: dict[str, Callable[[str, str], str]] = {
+    "highlight": lambda c, _: f"[{c.replace('[', '').replace(']', '')[:64]}]", "full": lambda c, _: f"[{c}]", "type_only": lambda c, _: f"[{c.upper()}]", "stars": lambda _, m: "*" * len(m), "partial": lambda _, m: _partial(m),
+}
 
 
-def highlight(text: str, spans: str) -> str:
-    return replace_spans(text, for_highlight(spans), "concat('[', substring(replace(replace(s.class, '[', ''), ']', ''), 1, 64), ']')")
+def edited(text: str, spans: list[dict], mode: str) -> str:
+    """text with its spans replaced, in one pass: ``highlight``, or a mode of masking."""
+    parts, at = [], 0
+    for s in (for_highlight if mode == "highlight" else for_mask)(spans):
+        parts += [text[at : s["start"]], SHOWN[mode](s["class"], text[s["start"] : s["end"]])]
+        at = s["end"]
+    return "".join([*parts, text[at:]])
 
 
-def mask(text: str, spans: str, mode: str = "full") -> str:
-    form = {"full": "concat('[', s.class, ']')", "type_only": "concat('[', upper(s.class), ']')", "stars": "repeat('*', s.end - s.start)",
-            "partial": "CASE WHEN s.end - s.start <= 2 THEN repeat('*', s.end - s.start) ELSE concat(substring(t, s.start + 1, 1), repeat('*', s.end - s.start - 2), substring(t, s.end, 1)) END"}[mode]
-    return replace_spans(text, for_mask(spans), form)
+def edit(df: DataFrame, mode: str, text_col: str = "text", spans_col: str = "spans", out: str = "edited") -> DataFrame:
+    """df with the text in which spans are highlighted or masked; null texts stay null."""
+    df = df.drop(out)
+    names = df.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = (batch.column(names.index(c)).to_pylist() for c in (text_col, spans_col))
+            made = [None if t is None else edited(t, s or [], mode) for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, out])
+
+    kinds = ", ".join(f"`{k}` {v}" for k, v in df.dtypes)
+    return df.mapInArrow(work, f"{kinds}, `{out}` string")
 
 
 def corroborated(model: str, rules: str) -> str:

@@ -185,7 +185,7 @@ QUERIES: dict[str, Query] = {
     "paste_preprocess": _per_doc(skipped=lambda d: f"(length(text) < 3 OR {d.strip('text')} = '')", truncated=lambda d: "length(text) > 50000", estimated_chunks=lambda d: f"cast(greatest(1, floor({X.n_words(d, 'left(text, 50000)')} / 70)) AS bigint)"),
     "html_strip": _html(),
     "span_overlap_pairs": Query(lambda t, spark: spans.overlap_pairs(spans.find_all(dealt(t("documents").select("doc_id", "text"))), "doc_id").groupBy(F.col("one.class").alias("class_a"), F.col("two.class").alias("class_b")).agg(F.count(F.lit(1)).alias("n"))),
-    "highlight_spans": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).selectExpr("doc_id", f"md5({spans.highlight('text', 'spans')}) AS text_md5")),
-    "mask_spans_partial": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).selectExpr("doc_id", f"md5({spans.mask('text', 'spans', 'partial')}) AS text_md5")),
+    "highlight_spans": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).transform(spans.edit, "highlight").selectExpr("doc_id", "md5(edited) AS text_md5")),
+    "mask_spans_partial": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).transform(spans.edit, "partial").selectExpr("doc_id", "md5(edited) AS text_md5")),
     "span_layer_summary": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).select(F.explode("spans").alias("s")).groupBy("s.source", "s.class").agg(F.count(F.lit(1)).alias("n"))),
 }

@@ -26,28 +26,31 @@ WORDS = {
 }
 #: kind -> (risk, template)
 KINDS: dict[str, tuple[tuple[str, str], ...]] = {
+    # notices without anything to protect
     "low": tuple(("low", t) for t in (
-        "The team meets on floor {d2} at noon on {day}.", "Release {d3} is planned for spring.", "Please water the plants in room {d3}.", "{company} had a good quarter.",
-        "The {paper} is due on {day}.", "A reminder from {team}: the lift is out of order until {day}.", "Lunch on {day} is in {city} this time.",
-        "The survey covers parking and room {d3}.", "News from {team}: the new chairs are here.", "Page {d2} of the {paper} has a typing error.")),
+        "Rehearsals for the spring concert go on after the break on {day}.", "Deck {d2} of the car park is dark while its lamps are replaced.", "Whoever has the long ladder: {team} would like it back.",
+        "The canteen of {city} tries soups for a week.", "Trains to {city} leave across the bridge from {day} on.", "Chapter {d2} of the {paper} got shorter.", "Fire drill on {day}: coats stay where they hang.",
+        "Printer {d3} takes thick sheets only.")),
     "finance_low": tuple(("low", t) for t in ("Cost centre {d4} closes its books on {day}.", "The budget template {d3} has a new colour.", "Quarter notes of {team} are online.")),
     "finance_med": tuple(("med", t) for t in ("{name} joined the budget review of group {d3}.", "Forecast {d3} was shared by {name} with {company}.", "Expense claim {d4} of {name}, {city}: hotel and train.")),
     "finance_high": tuple(("high", t) for t in ("Card 4111 1111 1111 {d4} belongs to {name}.", "Wire to DE89 3704 0044 0532 {d4} 00 for {name}.", "Salary of {name}: account {d6}{d4}, SSN 219-09-{d4}.")),
+    # words of the trade without a value: what a rule on words alone would flag
     "safe_business": tuple(("low", t) for t in (
-        "Project note: {company} asks {team} to {verb} the {paper} before {day}.", "Run log: {service} was rolled out in {d2} minutes; no records were touched.",
-        "Planning: item {H4}-{d3} moves to next year, as the supplier changes.", "Recap: mend the slow tests first; share no details of people.",
-        "Checklist: renew the test keys and look at what the dashboards of {service} leave out.", "Handover: the fault shows in staging with made-up set {H4}-{d4}.",
-        "Writing task: explain {service} to {team} with invented examples only.")),
+        "Glossary: a routing number tells a bank where money goes; this page gives none.", "The poster in the lobby of {city} says that nobody will ever ask for a password.", "Pub quiz of {team}: how many digits has a card? Answers on {day}.",
+        "Museum label: the ledger of {company} lists ships and barrels.", "Box nine of form {H4} is for the tax office; the sample leaves it empty.", "Talk on rotating keys, hall {d3}, tea afterwards.",
+        "Buses of {city} were counted for the {paper}, passengers were not.", "{service} has been quiet since {day}, says the pager.")),
+    # a value in a shape that a plain rule may miss: other separators, quoting, spelling, wrapping
     "adversarial": tuple(("high", t) for t in (
-        "Payroll row: SSN 219 09 {d4} to be checked before the sync.", "Card test: 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 declined, slip {d4}.", "Header to copy: Authorization Bearer {h36}",
-        "Shell paste: AWS_ACCESS_KEY_ID=AKIA{H16} AWS_SECRET_ACCESS_KEY={h32}{h8}", "Back-up route: IBAN DE89 3704 0044 0532 0130 00, slip {d4}.",
-        "Found in a ticket: sk - live - {h28}, split to pass the filter", "Ward export: patient {name}, MRN {d6}{d1}, with the diagnosis attached.", "Connection: mongodb://root:{h12}@cluster{d2}.example.net/live")),
+        "kind=ssn&number=219.09.{d4}&keep=1", "the form wants underscores, so 4111_1111_1111_{d4} it is, till 04/29", "<!-- todo {name}: drop AKIA{H16} before the fair -->", "D E 8 9 - 3 7 0 4 - 0044 0532 {d4} 00, spelled for the clerk",
+        "curl -u root:{h12} https://{service}.example.net/dump", "vault phrase of {name}: tulip-{h6}-anchor-{h6}-gravel", "{name} / insulin twice a day / chart {d6} / do not forward", "{h20}\\{h20} (one token, the margin broke it)", "two one nine, oh nine, then {d4}: that is the social of {name}")),
+    # a person beside something harmless
     "hard_med": tuple(("med", t) for t in (
-        "Onboarding {d4}: write to user{d3}@example.org or ring 555-{d4}; account ends in {d3}.", "Case {h8}: {name} from {city}, street left out.", "Refund to {company} is approved; account ends in {d4}.",
-        "Before pasting, put [mail], [phone] and [ticket:{h6}] for the real values.", "Call {d6}: month of birth and town were asked, the rest is masked.", "Follow-up: token ending {h6}, contact user{d3}@example.org, kept for audit.")),
+        "The courier asks for {name} at the back gate in {city}.", "Bus trip: {name} has seat {d2} and keeps one for a guest.", "A scarf of {name} lies in room {d3}; {team} has it.", "On {day} the chess club meets at the house of {name}.",
+        "Library card {d4} is in the name of {name}.", "Number plate {H2}-{d4} blocks the ramp, and {name} has the keys.", "Letters for {name} keep coming to user{d3}@example.org.")),
+    # a value with its owner, in the middle of other things
     "hard_high": tuple(("high", t) for t in (
-        "Leak: key sk_live_{h24} of {name} and reset token {h32}.", "Transfer: account DE89 3704 0044 0532 {d4} 00, routing 0210{d5}, to {name}.", "Report with bearer {h36} and key AKIA{H16}.",
-        "Staff file: {name}, SSN 219-09-{d4}, salary {d5}.", "Record of {name}, {city}: insurance {h12}, with the diagnosis.", "Config: postgres://root:{h16}@db{d2}.example.net:5432/live JWT={h32}.{h20}.{h24}")),
+        "scan of passport {H2}{d6}, {name}, made in {city} on {day}", "Dear bank, the rent goes out of DE89 3704 0044 0532 {d4} 00 from now on, regards {name}", "STRIPE=sk_live_{h24} ./{service} --once --quiet", "{name} tested positive, says lab sheet {d6}{d2}.",
+        "line {d3} of the dump reads ('{name}', '219-09-{d4}', '{h16}')", "-----BEGIN PRIVATE KEY----- {h32}{h20}", "flat in {city}: network word {h12}, alarm {d6}, neighbour {name}")),
     "weak_category": (
         ("med", "Ask for {name} at desk {d2}, the one from {city}."), ("high", "The permit is {H2}{d6}, valid until the end of the year."), ("high", "Since the operation {name} takes two tablets a day."),
         ("med", "They live by the old mill in {city}, house {d2}."), ("high", "The door code of the server room is {d6}."), ("low", "The mill in {city} opens on {day}.")),
