@@ -1,7 +1,6 @@
 """Rules, names and a model side by side: the three-layer decision, the plain score, named entities, and small maps of actions.
 
-Expressions are SQL text in a dialect. Named entities come from a plug-in (:func:`tag`), as there is no tagger among
-the libraries that this package needs.
+Expressions are SQL text in a dialect. Named entities come from a tagger that :func:`tag` is given: :mod:`textwarden.operators.tagger`'s or any other.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ ENTITY_TYPES = {
     "CARDINAL": "Number", "FAC": "Facility",
 }
 ENTITY_CLASSES = {"PERSON": "NAME", "DATE": "ID", "GPE": "LOCATION", "LOC": "LOCATION", "FAC": "LOCATION", "ORG": "OTHER_PII", "MONEY": "FINANCIAL"}
-ENTITY_CONFIDENCE, ENTITY_CHARS = 0.85, 10_000
+ENTITY_CONFIDENCE, DEMO_CHARS = 0.85, 10_000
 MEDICAL = ("patient", "diagnosis", "medication", "prescription", "treatment", "hospital")
 RISKY = ("risky", "high", "med")
 MOCK_ID, MOCK_TEXT = "999001234", "SYNTH-DATA-MASKED"
@@ -32,10 +31,11 @@ CLASS_COUNT_PROB = 0.1
 Tagger = Callable[[list[str]], list[list[tuple[int, int, str]]]]
 
 
-def tag(df: DataFrame, load: Callable[[], Tagger], text_col: str = "text", out: str = "entities") -> DataFrame:
-    """df with (start, end, label, type, confidence, match) of the named entities of the first ENTITY_CHARS characters.
+def tag(df: DataFrame, load: Callable[[], Tagger], text_col: str = "text", out: str = "entities", types: dict[str, str] = ENTITY_TYPES, most_chars: int | None = None) -> DataFrame:
+    """df with (start, end, label, type, confidence, match) of the named entities of whole texts, or of their first ``most_chars`` characters
+    (DEMO_CHARS is what the demo reads).
 
-    ``load`` makes the tagger once in each task; labels without a type are left out.
+    ``load`` makes the tagger once in each task, say ``lambda: tagger.load(model)``; labels without a type are left out.
     """
     df = df.drop(out)
     names = df.columns
@@ -44,9 +44,9 @@ def tag(df: DataFrame, load: Callable[[], Tagger], text_col: str = "text", out:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = load()
         for batch in batches:
-            texts = [(t or "")[:ENTITY_CHARS] for t in batch.column(names.index(text_col)).to_pylist()]
+            texts = [(t or "")[:most_chars] for t in batch.column(names.index(text_col)).to_pylist()]
             rows = [
-                [{"start": a, "end": b, "label": k, "type": ENTITY_TYPES[k], "confidence": ENTITY_CONFIDENCE, "match": t[a:b]} for a, b, k in found if k in ENTITY_TYPES]
+                [{"start": a, "end": b, "label": k, "type": types[k], "confidence": ENTITY_CONFIDENCE, "match": t[a:b]} for a, b, k in found if k in types]
                 for t, found in zip(texts, tagger(texts), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.struct(fields)))], [*names, out])

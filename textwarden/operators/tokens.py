@@ -102,18 +102,18 @@ def spans_of_tokens(parts: DataFrame, key: str, hits_col: str = "hits") -> DataF
 
 
 def vocabulary_table(df: DataFrame, pieces: list[str]) -> DataFrame:
-    """(id, hex): what each id but the marks stands for, in bytes."""
+    """(_id, _hex): what each id but the marks stands for, in bytes."""
     spark = df.sparkSession
-    made = spark.createDataFrame([(FIRST + i, p) for i, p in enumerate(pieces)], "id int, piece string").selectExpr("id", "hex(encode(piece, 'UTF-8')) AS hex")
-    return spark.range(256).selectExpr(f"cast(id + {BYTE} AS int) AS id", "lpad(hex(id), 2, '0') AS hex").union(made)
+    made = spark.createDataFrame([(FIRST + i, p) for i, p in enumerate(pieces)], "id int, piece string").selectExpr("id AS _id", "hex(encode(piece, 'UTF-8')) AS _hex")
+    return spark.range(256).selectExpr(f"cast(id + {BYTE} AS int) AS _id", "lpad(hex(id), 2, '0') AS _hex").union(made)
 
 
 def decode(df: DataFrame, pieces: list[str], key: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """(key, text) of rows of ids with a unique key; marks and padding are skipped, rows without any other id have an empty text."""
-    each = df.select(key, F.posexplode_outer(ids_col).alias("_at", "id"))
-    said = each.join(F.broadcast(vocabulary_table(df, pieces)), "id", "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hex").isNotNull(), F.struct("_at", "hex")))), lambda x: x["hex"]), "")
-    return said.groupBy(key).agg(joined.alias("_hex")).select(key, F.decode(F.unhex("_hex"), "UTF-8").alias(out))
+    each = df.select(key, F.posexplode_outer(ids_col).alias("_at", "_id"))
+    said = each.join(F.broadcast(vocabulary_table(df, pieces)), "_id", "left")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_hex").isNotNull(), F.struct("_at", "_hex")))), lambda x: x["_hex"]), "")
+    return said.groupBy(key).agg(joined.alias("_said")).select(key, F.decode(F.unhex("_said"), "UTF-8").alias(out))
 
 
 def candidates(decoded: DataFrame, key: str, text_col: str = "text", risk: str = "risk", label: str = "label") -> DataFrame:
