@@ -86,6 +86,8 @@ def codewords(k: int) -> np.ndarray:
 
 #: Rows up to which ridge regression is solved in its dual form; passes of the primal solver.
 DUAL, PASSES = 4096, 200
+#: Rows of the table of languages that may be sent to every task.
+BROADCAST_LANGS = 10_000
 
 
 def _sample(labelled: DataFrame, per_lang: int, max_bytes: int, most: int) -> DataFrame | None:
@@ -97,8 +99,8 @@ def _sample(labelled: DataFrame, per_lang: int, max_bytes: int, most: int) -> Da
     if not k:
         return None
     per = max(8, min(per_lang, most // k))
-    # far more than per are drawn of a language with more, so that what is sorted stays small
-    drawn = usable.join(sizes, "lang").where(f"_draw * _n < {4 * per + 64} OR _draw = _least")
+    # far more than per are drawn of a language with more, so that what is moved and sorted stays small
+    drawn = usable.join(F.broadcast(sizes) if k <= BROADCAST_LANGS else sizes, "lang").where(f"_draw * _n < {4 * per + 64} OR _draw = _least")
     ranked = drawn.selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY _draw, doc_id, text) AS _place").where(f"_place <= {per}")
     wide = max_bytes // 4
     at = F.floor(hashed("place") * F.greatest(F.length("text") - wide, F.lit(0))).cast("int")
