@@ -105,7 +105,8 @@ def test_token_rows(spark):
 
 
 def test_learnt_from_detectors(spark):
-    """On documents held out from the fit, tagged addresses are the detectors' in most cases."""
+    """On documents held out from the fit, tagged mail and network addresses are the detectors' in most cases."""
+    kinds = ("email address", "IP address (IPv4)")
     from textwarden.plans import tagger_queries as Q
     from textwarden.plans.common import reader
 
@@ -113,6 +114,6 @@ def test_learnt_from_detectors(spark):
     m = Q.learnt(t)
     held = Q.silver(t).where("crc32(cast(doc_id AS string)) % 3 = 1")
     rows = layers.tag(held, lambda: tagger.load(m), types={n: n for n in Q.TEACHERS}).collect()
-    want = {(r.doc_id, s.start, s["end"]) for r in rows for s in r.spans if s["class"] == "email address"}
-    got = {(r.doc_id, e.start, e["end"]) for r in rows for e in r.entities if e.label == "email address"}
-    assert len(want) > 5 and len(want & got) >= 0.8 * len(want) and len(want & got) >= 0.8 * len(got)
+    want = {(r.doc_id, s.start, s["end"]) for r in rows for s in r.spans if s["class"] in kinds}
+    got = {(r.doc_id, e.start, e["end"]) for r in rows for e in r.entities if e.label in kinds}
+    assert len(want) > 5 and len(want & got) >= 0.7 * len(want) and len(want & got) >= 0.9 * len(got)

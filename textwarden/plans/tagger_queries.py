@@ -81,7 +81,7 @@ def silver(t):
 def learnt(t, most: int = MOST):
     """A tagger from at most ``most`` documents with spans, the first by a hash of their ids, of those whose hash mod 3 is not 1."""
     rows = silver(t).where("crc32(cast(doc_id AS string)) % 3 <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return tagger.fit(tagger.token_rows(rows, "doc_id"), rounds=3)
+    return tagger.fit(tagger.token_rows(rows, "doc_id"), rounds=8)
 
 
 def _learnt_entities(t, spark):
