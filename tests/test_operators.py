@@ -14,7 +14,7 @@ from textwarden.functions.dialect import SPARK, apply
 from textwarden.operators import curate, evaluate, feedback, remediate, scan, spans
 from textwarden.operators import events as E
 from textwarden.sources import readers, writers
-from textwarden.streaming import dedupe
+from textwarden.streaming import dedupe, ledger
 
 MAIL = next(p for p in P.STRONG if p.name == "email address")
 
@@ -192,10 +192,10 @@ def test_streams(spark, tmp_path):
     assert spark.table("ttl").count() == 2
     out = str(tmp_path / "out")
     for _ in range(2):
-        q = spark.readStream.schema(schema).parquet(str(src)).writeStream.foreachBatch(dedupe.sink_once(out)).start()
+        q = spark.readStream.schema(schema).parquet(str(src)).writeStream.foreachBatch(ledger.writer(out, "event_id")).start()
         q.processAllAvailable()
         q.stop()
-    assert spark.read.parquet(out).count() == 4  # a second run adds nothing
+    assert ledger.read(spark, out).count() == 4  # a second run adds nothing
 
 
 def test_last_three_batch(spark):

@@ -62,7 +62,6 @@ QUERIES: dict[str, Query] = {
     "latency_percentiles": Query(lambda t, spark: t("events").groupBy("event_type").agg(*[F.round(F.expr(f"percentile(value, {q})"), 9).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]), "SELECT event_type, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99 FROM events GROUP BY 1"),
     "ttl_dedupe": Query(lambda t, spark: dedupe.ttl_dedupe_batch(t("events").select("event_id", "ts", "user_id"), "ts", "user_id", 3600).select("event_id"), "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR epoch_us(ts) - epoch_us(b) > 3600000000"),
     "poll_changes": Query(lambda t, spark: dedupe.changed(t("conversations"), "conv_id", "turn").select("conv_id", "turn"), "SELECT conv_id, turn FROM (SELECT *, lag(md5(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b IS NULL OR b <> md5(text)"),
-    "dedupe_last3": Query(lambda t, spark: dedupe.last_three(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn").where("analysed").select("conv_id", "turn")),
     "sync_batch": Query(lambda t, spark: dedupe.sync_after(t("events"), 100).select("event_id"), "SELECT event_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 200"),
     "feedback_latest": Query(lambda t, spark: FB.latest(_feedback(t)).select("text_hash", "line", "correct"), f"SELECT text_hash, line, correct FROM ({_LATEST})"),
     "feedback_pending": Query(lambda t, spark: FB.pending(_feedback(t)).select("text_hash", "line"), f"SELECT text_hash, line FROM ({_FB}) WHERE NOT used_for_training AND (SELECT count(*) FROM ({_FB}) WHERE NOT used_for_training) >= 10"),

@@ -6,16 +6,15 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet to a new folder below spark.checkpoint.dir and read again, for plans that read it several times; in local mode a folder is made if none is named."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode one is made if none is named."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
@@ -23,9 +22,14 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="settled-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written as Parquet to a new folder in the shared one and read again, for plans that read it several times."""
+    path = f"{shared(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_events(df: DataFrame, path: str, text_col: str = "text") -> None:

@@ -1,18 +1,19 @@
-"""Stateful stream operators: time-to-live dedupe, last-three ring, gates and incremental sync.
+"""Stateful stream operators: time-to-live dedupe, last-three ring, gates and the rows of a sync.
 
-The reference points for time are event times, so results don't depend on when a batch runs.
+Reference points for time are event times, so results don't depend on when a batch runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
+from textwarden.streaming.coalesce import folded
 
 
 def ttl_dedupe(stream: DataFrame, ts: str = "ts", text_col: str = "text", ttl: str = "60 seconds") -> DataFrame:
@@ -41,33 +42,64 @@ def ring(texts: list[str], keep: list[bool] | None = None, size: int = 3) -> lis
 
 
 def last_three(df: DataFrame, key: str, order: str, text_col: str = "text", always: str | None = None) -> DataFrame:
-    """df with ``analysed``: per key in order, the ring over analysed rows only (it can't be a window: what counts depends on earlier answers)."""
-    d = df.withColumn("_always", F.coalesce(F.expr(always), F.lit(False)) if always else F.lit(False)).withColumn("analysed", F.lit(True))
+    """df with ``analysed``: per key in order, the ring over analysed rows only (it can't be a window: what counts depends on earlier answers).
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["analysed"] = ring(pdf[text_col].tolist(), pdf["_always"].tolist())
-        return pdf
+    Rows of a key pass by as a sorted stream, so that the largest key takes no more memory than its last three texts.
+    """
+    d = df.withColumn("_always", F.coalesce(F.expr(always), F.lit(False)) if always else F.lit(False))
 
-    return d.groupBy(key).applyInPandas(work, d.schema).drop("_always")
+    def step(last: list[str], row: tuple) -> tuple[list[str], bool]:
+        go = row[0] not in last or row[1]
+        return ([*last, row[0]][-3:] if go else last), go
 
+    return folded(d, [key], [order], [text_col, "_always"], list, step, "analysed", "boolean").drop("_always")
 
-def last_three_stream(stream: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
-    """The same for a stream; the state of a key is its last three analysed texts."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + ", analysed boolean"
 
-    def work(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(parts)).sort_values(order, kind="stable")
-        flags = []
-        for t in pdf[text_col]:
-            flags.append(t not in last)
-            if flags[-1]:
-                last = [*last, t][-3:]
-        state.update((last,))
-        yield pdf.assign(analysed=flags)
+class Ring(StatefulProcessor):
+    """The last three analysed texts of a key; with times, a timer forgets a key that has been idle."""
+
+    def __init__(self, order: str, text_col: str, ts: str | None, idle_ms: int) -> None:
+        self.order, self.text_col, self.ts, self.idle = order, text_col, ts, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "texts array<string>, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, until = self.last.get() if self.last.exists() else ([], 0)
+        last, before = list(last), until
+        for r in sorted(rows, key=lambda r: r[self.order]):
+            go = r[self.text_col] not in last
+            if go:
+                last = [*last, r[self.text_col]][-3:]
+            if self.ts:
+                until = max(until, int(r[self.ts].timestamp() * 1000) + self.idle)
+            yield Row(**r.asDict(), analysed=go)
+        self.last.update((last, until))
+        if until != before:
+            if before:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(until)
 
-    return stream.groupBy(key).applyInPandasWithState(work, schema, "last array<string>", "append", "NoTimeout")
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.last.exists() and self.last.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def last_three_stream(stream: DataFrame, key: str, order: str, text_col: str = "text", ts: str | None = None, idle: float = 3600) -> DataFrame:
+    """The same for a stream; the state of a key is its last three analysed texts.
+
+    With ``ts``, the time of a row, a key is forgotten ``idle`` seconds after its last row, so that state follows the keys in use. The session
+    needs :data:`coalesce.STORE` as ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + ", analysed boolean"
+    if ts:
+        stream = stream.withWatermark(ts, "0 seconds")
+    return stream.groupBy(key).transformWithState(Ring(order, text_col, ts, int(idle * 1000)), schema, "append", "EventTime" if ts else "None")
 
 
 def changed(df: DataFrame, key: str, order: str, text_col: str = "text") -> DataFrame:
@@ -88,19 +120,3 @@ def gate(df: DataFrame, paused: str = "false", in_scope: str = "true", snoozes:
 def sync_after(df: DataFrame, last_id: int, order: str = "event_id", limit: int = 200) -> DataFrame:
     """The next rows to send, in order of id."""
     return df.where(F.col(order) > last_id).orderBy(order).limit(limit)
-
-
-def sink_once(path: str, key: str = "event_id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that adds rows whose key isn't in the table yet; a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
-
-    return write
