@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textwarden.functions.patterns import STRONG
+
 
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b, 0 where undefined."""
@@ -320,3 +322,44 @@ def with_category_f1(records: dict, rows: DataFrame) -> dict:
     """The records with metrics.per_category replaced by the rows of :func:`category_f1`, a few for each class."""
     found = {r["category"]: {"f1": r["f1"]} for r in rows.collect()}
     return records | {"metrics": (records.get("metrics") or {}) | {"per_category": found}}
+
+
+def configuration_curves(df: DataFrame, label: str, prob: str, regex: Column, ner: Column, thresholds: tuple[float, ...] = tuple(i / 20 for i in range(1, 20))) -> DataFrame:
+    """config, threshold, the metrics at it, and the accuracy gained on rules and names alone: for rules and names, the model, and all together.
+
+    One scan: each row gives a bin of thresholds for every configuration, grouping sets count the labels of all bins in one partial aggregate
+    (at most a row for each bin), and running sums over a configuration's bins give its curve.
+    """
+    hit = regex | ner
+    scores = {"regex_ner": hit.cast("double"), "ml": F.col(prob), "full": fused(prob, regex, ner, 1.0)[1]}
+    reached = lambda s: sum((F.when(s >= t, 1).otherwise(0) for t in thresholds), F.lit(0))
+    binned = df.select((F.col(label) == 1).cast("long").alias("_y"), *[reached(s).alias(f"_{c}") for c, s in scores.items()])
+    sets = [[F.col(f"_{c}")] for c in scores]
+    counts = binned.groupingSets(sets, *[F.col(f"_{c}") for c in scores]).agg(F.grouping_id().alias("_set"), F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+    # in a grouping set's number the bits of the columns left out are 1
+    named = F.create_map(*[F.lit(x) for i, c in enumerate(scores) for x in ((1 << len(scores)) - 1 - (1 << len(scores) - 1 - i), c)])
+    bins = counts.select(named[F.col("_set").cast("int")].alias("config"), F.coalesce(*[f"_{c}" for c in scores]).alias("bin"), "pos", "neg")
+    every = bins.groupBy("config").agg(F.collect_list(F.struct("bin", "pos", "neg")).alias("bins"))  # a few rows, each of a bin for each threshold at most
+    upto = lambda c, above: F.aggregate(F.filter("bins", lambda b: (b["bin"] >= F.col("i")) == F.lit(above)), F.lit(0).cast("long"), lambda s, b: s + b[c])
+    at = every.select("config", "bins", F.posexplode(F.array(*map(F.lit, thresholds))).alias("i", "threshold")).withColumn("i", F.col("i") + 1)
+    rows = with_metrics(at.select("config", "threshold", upto("pos", True).alias("tp"), upto("neg", False).alias("tn"), upto("neg", True).alias("fp"), upto("pos", False).alias("fn")))
+    base = F.max(F.when(F.col("config") == "regex_ner", F.col("accuracy"))).over(Window.partitionBy("threshold"))
+    return rows.withColumn("accuracy_gain", F.col("accuracy") - base)
+
+
+def importance_probe(df: DataFrame, key: str, text_col: str, prob: str, thresholds: tuple[float, ...] = (0.10, 0.45, 0.65)) -> DataFrame:
+    """Per row: the matches of the strong detectors, their names, and the model's own decision at each threshold, so that what only the model sees can be told."""
+    counts = {p: F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(p.test)) for p in STRONG}
+    names = list(dict.fromkeys(p.name for p in STRONG))
+    seen = [F.when(sum((n for p, n in counts.items() if p.name == name), F.lit(0)) > 0, F.lit(name)) for name in names]
+    decided = [F.when(F.col(prob) >= t, "risky").otherwise("safe").alias(f"tau_{int(100 * t):02d}") for t in thresholds]
+    return df.select(key, sum(counts.values(), F.lit(0)).cast("long").alias("regex_matches"), F.filter(F.array(*seen), lambda x: x.isNotNull()).alias("regex_types"), F.col(prob), *decided)
+
+
+def probe_summary(probed: DataFrame, thresholds: tuple[float, ...] = (0.10, 0.45, 0.65)) -> DataFrame:
+    """(threshold, both, rules_only, model_only, neither): a row for each threshold."""
+    hit = F.col("regex_matches") > 0
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    risky = {t: F.col(f"tau_{int(100 * t):02d}") == "risky" for t in thresholds}
+    one = probed.agg(*[F.struct(F.lit(t).alias("threshold"), n(hit & z).alias("both"), n(hit & ~z).alias("rules_only"), n(~hit & z).alias("model_only"), n(~hit & ~z).alias("neither")).alias(f"t{i}") for i, (t, z) in enumerate(risky.items())])
+    return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
