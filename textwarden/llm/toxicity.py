@@ -7,7 +7,8 @@ are trained through the noisy-or by Adagrad, so a toxic label moves the sentence
 explain it, and the sentence scores locate the offending ones.
 
 The fit uses at most about ``per_class`` labelled documents of each class, those of smallest hash of
-the id, of at most ``max_bytes`` bytes each, weighted back to the shares of the classes.
+the id, of at most ``max_bytes`` bytes each and ``most_words`` words in all, weighted back to the shares of the classes.
+Texts are hashed in the tasks; the driver holds the hashed words only.
 Every text is scored whole, however long.
 
 Results for odd input: null or empty text has no sentence and score 0.0; a document with several
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textwarden.llm.hashing import Rolling
@@ -74,25 +75,59 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(slots)) if places else (none, none.astype(np.int32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12000, max_bytes: int = 65536, epochs: int = 10, least_gain: float = 14.0, seed: int = 5) -> tuple[np.ndarray, float] | None:
+def _bag(text: bytes) -> tuple[bytes, bytes] | None:
+    """Hashed words and the number of words of each sentence that has any; None without words."""
+    raw = np.frombuffer(text, np.uint8)
+    place, slot = words(raw)
+    if not len(place):
+        return None
+    _, size = np.unique(np.searchsorted(sentence_starts(raw), place, "right"), return_counts=True)
+    return slot.astype(np.int32).tobytes(), size.astype(np.int32).tobytes()
+
+
+def _bags(docs: DataFrame, chosen: DataFrame, max_bytes: int, most_words: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(sentence of each word, hashed words, label) of the chosen documents in order of draw, as far as ``most_words`` go.
+
+    Texts are hashed where they are; the driver reads a few documents at a time.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_bag(t) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+            keep = [i for i, m in enumerate(made) if m]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())), pa.array([made[i][0] for i in keep], pa.binary()), pa.array([made[i][1] for i in keep], pa.binary())],
+                ["doc_id", "toxic", "slots", "sizes"],
+            )
+
+    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    rows = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, slots binary, sizes binary")
+    # of rows that share an id one, whichever way they come
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "slots", "sizes")).alias("bag")).select(_draw(), "doc_id", "bag.*").orderBy("draw", "doc_id")
+    out, total = [], 0
+    for r in one.toLocalIterator():
+        slot, size = np.frombuffer(bytes(r.slots), np.int32), np.frombuffer(bytes(r.sizes), np.int32)
+        total += len(slot)
+        if total > most_words:
+            break
+        out.append((r.doc_id, np.repeat(np.arange(len(size), dtype=np.int32), size), slot, r.toxic))
+    return [x[1:] for x in sorted(out, key=lambda x: x[0])]
+
+
+def _draw() -> Column:
+    return (F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("draw")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12000, max_bytes: int = 65536, most_words: int = 1 << 24, epochs: int = 10, least_gain: float = 14.0, seed: int = 5) -> tuple[np.ndarray, float] | None:
     """Weights and bias from documents and (doc_id, toxic) rows."""
     each = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     size = {r.toxic: r.n for r in each.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic IN (0, 1)").collect()}
     if len(size) < 2:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = {c: min(1.0, per_class / n) for c, n in size.items()}
-    chosen = each.where((F.col("toxic").isin(0, 1)) & (draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).orderBy(draw, "doc_id").limit(2 * per_class + 1000)
+    chosen = each.select("doc_id", "toxic", _draw()).where(F.col("toxic").isin(0, 1) & (F.col("draw") < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))).orderBy("draw", "doc_id").limit(2 * per_class + 1000)
     # chosen has at most 2 * per_class + 1000 rows
-    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(chosen), "doc_id").limit(2 * per_class + 1000).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    bags = []
-    for r in rows:
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        place, slot = words(raw)
-        if len(place):
-            _, of = np.unique(np.searchsorted(sentence_starts(raw), place, "right"), return_inverse=True)
-            bags.append((of.astype(np.int32), slot, r.toxic))
+    bags = _bags(docs, chosen, max_bytes, most_words)
     if len({x[2] for x in bags}) < 2:
         return None
     y = np.array([x[2] for x in bags])
