@@ -203,6 +203,37 @@ def test_quality_odd(odd, odd_rows):
         assert r.kept == (not r.base_failed and r.posterior >= 0.5)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_greedy_factors(seed):
+    """Step by step: each factor is the longest stretch that also starts elsewhere and ends in its segment, the next begins at its end."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(0, 30, 6)
+    body = rng.integers(0, rng.integers(2, 9), lengths.sum()).astype(np.uint32)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    size, source = substring_dedup.longest_matches(body, lengths)
+
+    def longest(i):
+        def run(j):
+            k = 0
+            while i + k < ends[i] and j + k < ends[j] and body[i + k] == body[j + k]:
+                k += 1
+            return k
+
+        return max((run(j) for j in range(len(body)) if j != i), default=0)
+
+    assert size.tolist() == [longest(i) for i in range(len(body))]
+    for i, (n, j) in enumerate(zip(size, source, strict=True)):
+        assert (j == -1) if n == 0 else (j != i and (body[i : i + n] == body[j : j + n]).all() and j + n <= ends[j])
+    want, at = [], 0
+    for n in lengths:
+        end = at + n
+        while at < end:
+            want.append(at)
+            at += max(1, longest(at))
+        at = end
+    assert substring_dedup.factors(size, lengths).tolist() == want
+
+
 @pytest.mark.parametrize("word", ["7" * 1_200_000, "!#?" * 400_000, "é" * 1_000_000])
 def test_quality_of_one_long_word(spark, word):
     """Time is linear in a word's length, whatever it holds."""

@@ -1,16 +1,14 @@
 """Substring deduplication of word sequences by relative Lempel-Ziv factors.
 
 All documents are both text and reference. Each hash bucket holds reference blocks (the
-distinct segments that share a smallest gram) and an index of every ``width``-word phrase
-in them. A document's segments are factored greedily: at a phrase that occurs elsewhere, the
-factor goes on for as long as its source goes on with the same words; symbols without such
-an occurrence are literals and shorter factors can't matter. A phrase that crosses the end of a
-factor may still occur in another reference, so the phrases at each boundary are looked up
-too. Words in a factor of ``width`` words or more are duplicates.
+distinct segments that share a smallest gram) and an index of them: their sorted suffixes, with the common prefixes of neighbours, which give the
+longest match from any place to another. A document's segments are factored greedily: a factor goes as far as the longest match from its start, and
+the next begins where it ends. Words in a factor of ``width`` words or more are duplicates. A window over the seam of two
+factors may still occur as a whole in another reference, so the windows at each seam are looked up in the index too.
 
 Results for odd input: null or blank text has no words and nothing is removed; repeated rows
-(even with the same id) count as other occurrences; ties between sources go to the first
-in bucket order, which affects no output; a very long text is judged whole, in a block of its own; extra columns are ignored, as only the
+(even with the same id) count as other occurrences; ties between sources go to the smaller
+neighbour in suffix order, which affects no output; a very long text is judged whole, in a block of its own; extra columns are ignored, as only the
 id and text columns are read, whatever their names; an empty table gives an empty result.
 """
 
@@ -24,57 +22,61 @@ from pyspark.sql import DataFrame
 
 from textwarden.llm import blocks as B
 from textwarden.llm import repeats as R
-from textwarden.llm.hashing import Rolling, expand, true_runs
+from textwarden.llm.hashing import covered, expand, true_runs
 from textwarden.llm.storage import loosened
+from textwarden.llm.suffixes import sorted_suffixes
 
 #: Anchors are 8-word grams, one in 4.
 GRAM, EVERY = 8, 4
+#: Bytes of text for a bucket: sorting takes some 100 bytes for each word that is left of it.
+BUCKET_BYTES = 6 << 20
 
 
-def factors(body: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors (place, length, source) of concatenated segments against all of them.
+def longest_matches(body: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, source) of the longest match from each place of the segments to any other place: the nearer of the neighbours among the sorted suffixes.
 
-    The source of a phrase is its first other occurrence. Long factors come in order of
-    place; a factor that starts before the end of the one before it stems from a boundary check.
+    Matches don't cross the end of a segment; the source is -1 where nothing matches.
     """
-    n = len(body)
-    none = np.zeros(0, np.int64)
-    if n < width:
-        return none, none, none
-    ok = np.zeros(n, bool)
-    ok[expand(np.cumsum(lengths) - lengths, np.maximum(lengths - width + 1, 0))] = True
-    at = np.flatnonzero(ok)
-    phrase = Rolling(body).windows(width)[at]
-    order = np.argsort(phrase, kind="stable")
-    ranked = phrase[order]
-    new = np.ones(len(at), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    head = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    source = np.full(n, -1, np.int64)
-    first = at[order[head]][group]
-    own = at[order]
-    nxt = np.append(own[1:], -1)
-    nxt_same = np.append(~new[1:], False)
-    source[own] = np.where(own != first, first, np.where(nxt_same, nxt, -1))
-    # a factor ends where the source doesn't go on
-    live = source >= 0
-    step = np.zeros(n, bool)
-    step[1:] = live[1:] & live[:-1] & (source[1:] == source[:-1] + 1)
-    begin = np.flatnonzero(live & ~step)
-    stop = np.flatnonzero(live & ~np.append(step[1:], False))
-    size = stop - begin + width
-    # exact check of the words against the source's
-    here, there = expand(begin, size), expand(source[begin], size)
-    wrong = np.add.reduceat((body[here] != body[there]).astype(np.int64), np.cumsum(size) - size) if len(begin) else none
-    good = wrong == 0 if len(begin) else np.zeros(0, bool)
-    return begin[good], size[good], source[begin[good]]
+    first = np.cumsum(lengths) - lengths
+    _, symbol = np.unique(body, return_inverse=True)
+    gap = np.repeat(np.arange(len(lengths)), lengths)  # a separator of its own after each segment
+    place = np.arange(len(body)) + gap
+    text = np.arange(len(body) + len(lengths)) + len(body)
+    text[place] = symbol
+    order, rank, common = sorted_suffixes(text)
+    above, below = np.append(0, common)[rank[place]], np.append(common, 0)[rank[place]]
+    size = np.maximum(above, below)
+    near = order[np.where(above >= below, rank[place] - 1, np.minimum(rank[place] + 1, len(order) - 1))]
+    back = np.full(len(text), -1, np.int64)
+    back[place] = np.arange(len(body))
+    source = np.where(size > 0, back[near], -1)
+    return np.minimum(size, np.repeat(first + lengths, lengths) - np.arange(len(body))), source
+
+
+def factors(size: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Starts of the greedy factors: each goes as far as the longest match from its start, the next begins at its end; a symbol that matches nothing is a factor of its own."""
+    step = np.maximum(size, 1).tolist()
+    out, end = [], 0
+    for n in lengths.tolist():
+        at, end = end, end + n
+        while at < end:
+            out.append(at)
+            at += step[at]
+    return np.array(out, np.int64)
 
 
 def match(body: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Starts of windows that occur elsewhere: those inside a long factor, and those over a seam of factors that match as a whole."""
     hit = np.zeros(len(body), bool)
-    place, size, _ = factors(body, lengths, width)
-    hit[expand(place, size - width + 1)] = True
+    if not len(body):
+        return hit
+    size, _ = longest_matches(body, lengths)
+    start = factors(size, lengths)
+    long = start[size[start] >= width]
+    hit[expand(long, size[long] - width + 1)] = True
+    # a window that no factor holds crosses the start of one: it begins up to width - 1 symbols before
+    seam = covered(len(body), np.maximum(start - width + 1, 0), start)
+    hit[seam & (size >= width)] = True
     return hit
 
 
@@ -91,7 +93,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     A word goes if a window of ``width`` words that covers it also starts anywhere else.
     """
     docs = loosened(docs)
-    lay = B.layout(docs, text_col)
+    lay = B.layout(docs, text_col, bucket_bytes=BUCKET_BYTES)
     blocks = B.blocked(docs, lay, id_col, text_col, carry)
     plan = R.Plan(width=width, gram=min(GRAM, width), every=EVERY, symbols="uint32")
 
