@@ -185,13 +185,54 @@ def by_fragments(df: DataFrame, kind: str = "type", fragments: str = "fragments"
     return out if cap is None else out.orderBy(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).limit(cap)
 
 
-def by_spans(df: DataFrame, label: str = "label", spans: str = "spans") -> DataFrame:
-    """Span-annotated rows: secrets, identity numbers or four spans are high; two med; else low."""
-    s = F.from_json(F.col(spans), "array<struct<label:string,start:int,end:int>>") if dict(df.dtypes)[spans] == "string" else F.col(spans)
-    s = F.coalesce(s, F.array().cast("array<struct<label:string,start:int,end:int>>"))
-    sharp = F.exists(s, lambda x: F.lower(x["label"]).rlike("ssn|credit_card|api_key|password"))
-    risk = F.when(F.lower(F.coalesce(F.col(label), F.lit(""))).contains("critical_secret") | sharp | (F.size(s) >= 4), "high").when(F.size(s) >= 2, "med").otherwise("low")
-    return df.withColumn("risk", risk)
+def literal_to_json(x: str) -> str:
+    """Spark SQL: a Python literal (lists, tuples, dictionaries, strings, numbers, None, True, False) as JSON; JSON stays JSON.
+
+    The text is cut into quoted strings and what lies between them. Strings get double quotes and JSON's escapes; between them brackets, names of
+    constants and commas before a closing bracket are put right.
+    """
+    q = SPARK.q
+    pieces = f"regexp_extract_all({x}, {q(_LITERAL)}, 0)"
+    inner = "substring(p, 2, length(p) - 2)"
+    # \\' is a quote, \\xHH a character, and a bare double quote needs an escape of its own
+    inner = f"regexp_replace(regexp_replace({inner}, {q(_UNQUOTE)}, '$1\\''), {q(_HEX)}, {q('$1' + chr(92) * 2 + 'u00$2')})"
+    single = f"concat('\"', regexp_replace({inner}, {q(_BARE)}, {q('$1' + chr(92) * 2 + chr(34))}), '\"')"
+    double = f"regexp_replace(regexp_replace(p, {q(_UNQUOTE)}, '$1\\''), {q(_HEX)}, {q('$1' + chr(92) * 2 + 'u00$2')})"
+    between = "translate(p, '()', '[]')"
+    for word, to in (("None", "null"), ("True", "true"), ("False", "false")):
+        between = f"regexp_replace({between}, {q(chr(92) + 'b' + word + chr(92) + 'b')}, '{to}')"
+    between = f"regexp_replace({between}, {q(_COMMA)}, '$1')"
+    one = f"CASE left(p, 1) WHEN '\\'' THEN {single} WHEN '\"' THEN {double} ELSE {between} END"
+    return f"array_join(transform({pieces}, p -> {one}), '')"
+
+
+_LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+"""
+#: After an even number of backslashes: an escaped single quote, a character by two digits; and a double quote without a backslash.
+_UNQUOTE, _HEX, _BARE, _COMMA = r"((?<!\\)(?:\\\\)*)\\'", r"((?<!\\)(?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"((?<!\\)(?:\\\\)*)\"", r",\s*([\]}])"
+# The label that settles the risk, and parts of labels that are sharp.
+SETTLING, SHARP = "critical_secret", ("ssn", "credit_card", "api_key", "password")
+
+
+def span_labels(spans: str) -> str:
+    """Spark SQL: the lower-case labels of a list of spans in JSON or as a Python literal; '' for a span without one; null where nothing can be read."""
+    items = f"coalesce(from_json({spans}, 'array<string>', map('mode', 'PERMISSIVE')), from_json({literal_to_json(spans)}, 'array<string>'))"
+    return f"transform({items}, e -> lower(coalesce(get_json_object(e, '$.label'), '')))"
+
+
+def by_spans(df: DataFrame, label: str | None = None, spans: str = "spans") -> DataFrame:
+    """Span-annotated rows, spans as JSON, Python literals or arrays: a settling label is high; else sharp labels or four spans are high, two med, and the rest low.
+
+    Spans with the settling label aren't counted; a row whose spans can't be read is low. A column ``label`` is looked at for the settling label too.
+    """
+    labels = F.expr(span_labels(f"`{spans}`")) if dict(df.dtypes)[spans] == "string" else F.transform(spans, lambda s: F.lower(F.coalesce(s["label"], F.lit(""))))
+    d = df.withColumn("_labels", F.coalesce(labels, F.array().cast("array<string>")))
+    settled = F.exists("_labels", lambda x: x.contains(SETTLING))
+    if label:
+        settled = settled | F.lower(F.coalesce(F.col(label), F.lit(""))).contains(SETTLING)
+    counted = F.filter("_labels", lambda x: ~x.contains(SETTLING))
+    sharp = F.exists(counted, lambda x: x.rlike("|".join(SHARP)))
+    risk = F.when(settled | sharp | (F.size(counted) >= 4), "high").when(F.size(counted) >= 2, "med").otherwise("low")
+    return d.withColumn("risk", risk).drop("_labels")
 
 
 def dominant_class(classes: Column) -> Column:
