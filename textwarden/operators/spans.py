@@ -57,8 +57,8 @@ def find(df: DataFrame, pattern: Pattern, text_col: str = "text", out: str = "sp
     return df.withColumn(out, F.expr(f"transform({offsets(SPARK, text_col, pattern.regex)}, s -> named_struct('start', s.start, 'end', s.end, 'class', {SPARK.q(pattern.name)}, 'match', s.match, 'source', 'regex', 'risk', '{risk}'))"))
 
 
-def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *HIPAA, *SECRETS), text_col: str = "text", out: str = "spans") -> DataFrame:
-    """df with the spans of all detectors, in order of start and end; overlaps between detectors are kept.
+def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *HIPAA, *SECRETS), text_col: str = "text", out: str = "spans", most_chars: int | None = 500) -> DataFrame:
+    """df with the spans of all detectors, in order of start and end; overlaps between detectors are kept. ``match`` has the first ``most_chars`` characters.
 
     A detector is run on texts only that hold what its matches need; on texts beyond ASCII always, as letters may fold there.
     """
@@ -78,7 +78,7 @@ def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *
                     if plain and guard and not guard.holds(low, digits, re.search):
                         continue
                     for m in rx.finditer(text):
-                        seen.setdefault((m.start(), m.end(), name), {"start": m.start(), "end": m.end(), "class": name, "match": m.group()[:500], "source": source, "risk": risk})
+                        seen.setdefault((m.start(), m.end(), name), {"start": m.start(), "end": m.end(), "class": name, "match": m.group()[:most_chars], "source": source, "risk": risk})
                 rows.append([seen[k] for k in sorted(seen)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*names, out])
 

@@ -278,11 +278,17 @@ def unmarked(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def clinical_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Notes with PHI elements: (text, risk); high if the note has one."""
-    d = spark.read.option("wholetext", True).text(path)
-    phi = F.col("value").rlike(r"(?i)<PHI\b")
-    return d.select(F.substring(unmarked(F.col("value")), 1, 8000).alias("text"), F.when(phi, "high").otherwise("med").alias("risk")).dropDuplicates(["text"])
+def clinical_notes(df: DataFrame, text_col: str = "value", most_chars: int | None = 8000) -> DataFrame:
+    """(text, risk) of notes with markup: high if the note has a PHI element; the first ``most_chars`` characters (all with None); equal texts once, with the higher risk."""
+    text = unmarked(F.col(text_col))
+    text = text if most_chars is None else F.substring(text, 1, most_chars)
+    phi = F.col(text_col).rlike(r"(?i)<PHI\b")
+    return df.select(text.alias("text"), phi.alias("_phi")).groupBy("text").agg(F.max("_phi").alias("_phi")).select("text", F.when(F.col("_phi"), "high").otherwise("med").alias("risk"))
+
+
+def clinical_xml(spark: SparkSession, path: str, most_chars: int | None = 8000) -> DataFrame:
+    """:func:`clinical_notes` of files, one note each."""
+    return clinical_notes(spark.read.option("wholetext", True).text(path), "value", most_chars)
 
 
 def gate_rows(df: DataFrame) -> DataFrame:
