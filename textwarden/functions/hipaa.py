@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textwarden.functions.dialect import SPARK, Dialect
+from textwarden.functions.patterns import HIPAA, MEDIUM, STRONG
 
 # The identifiers by number, and their coverage.
 SAFE_HARBOR = (
@@ -29,3 +33,23 @@ SAFE_HARBOR = (
 
 def coverage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SAFE_HARBOR, "id int, identifier string, coverage string")
+
+
+#: Identifiers (by number) to the detectors that look for them.
+DETECTORS = {
+    2: ("street address", "Street address"), 3: ("Age over 89",), 4: ("phone number", "international phone"), 6: ("email address",), 7: ("SSN pattern",), 8: ("Medical Record Number (MRN)",), 9: ("Health Plan ID",),
+    10: ("credit card pattern", "IBAN", "bank routing number"), 11: ("DEA number", "NPI"), 15: ("IP address (IPv4)", "IP address (IPv6)"),
+}
+
+
+def found(d: Dialect, x: str, number: int) -> str:
+    """SQL: whether a detector of the identifier finds anything in x."""
+    table = [p for p in (*STRONG, *MEDIUM, *HIPAA) if p.name in DETECTORS.get(number, ())]
+    return "(" + " OR ".join(d.rx(d.ascii_bounds(x), p.test) for p in table) + ")" if table else "false"
+
+
+def coverage_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(id, coverage, n): the identifiers and the rows in which their detectors find something; one scan, one row of sums."""
+    sums = [F.expr(f"coalesce(sum(cast({found(SPARK, text_col, i)} AS int)), 0L)").alias(f"n{i}") for i, _, _ in SAFE_HARBOR]
+    rows = ", ".join(f"named_struct('id', {i}, 'coverage', '{c}', 'n', n{i})" for i, _, c in SAFE_HARBOR)
+    return df.agg(*sums).select(F.explode(F.expr(f"array({rows})")).alias("r")).select("r.*")

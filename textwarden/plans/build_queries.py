@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from textwarden.functions import text as X
@@ -19,7 +21,10 @@ _COLS = ("source", "id", "risk", "text_md5")
 
 
 def _mixture(t, spark):
-    return generators.mixture(spark, _MIX).withColumn("text_md5", F.md5("text")).select(*_COLS)
+    """A made-up row beside each document: of the kind that the document's number gives, kept apart by source."""
+    d, kinds = t("documents").select("doc_id"), list(_MIX)
+    made = [generators.beside(d.where(f"doc_id % {len(kinds)} = {i}"), "doc_id", k) for i, k in enumerate(kinds)]
+    return reduce(lambda a, b: a.unionByName(b), made).withColumn("text_md5", F.md5("text")).select(*_COLS)
 
 
 def _finance(t, spark):
@@ -163,8 +168,8 @@ def _tokens(t, spark):
 _TOKENS = """SELECT doc_id, 128::BIGINT AS n, least(128, length(t) + 2)::BIGINT AS used, (1 + coalesce(list_sum(list_transform(string_split(left(t, 127), ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END)), 0) + CASE WHEN length(t) <= 126 THEN 2 ELSE 0 END)::BIGINT AS id_sum FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
 
 QUERIES: dict[str, Query] = {
-    "synthetic_mixture": Query(_mixture, " UNION ALL ".join(f"SELECT source, id, risk, md5(text) AS text_md5 FROM ({generators.check_sql(k, n)})" for k, n in _MIX.items())),
-    "demo_events": Query(lambda t, spark: generators.demo_events(spark).selectExpr("event_id", "unix_timestamp(ts) AS at_second", "risk_score", "action"), f"SELECT event_id, at_second, risk_score, action FROM ({generators.events_check_sql()})"),
+    "synthetic_mixture": Query(_mixture, " UNION ALL ".join(f"SELECT source, id, risk, md5(text) AS text_md5 FROM ({generators.check_sql(k, 0, source=f'(SELECT doc_id AS id FROM documents WHERE doc_id % {len(_MIX)} = {i})')})" for i, k in enumerate(_MIX))),
+    "demo_events": Query(lambda t, spark: generators.events_beside(t("events"), "event_id").selectExpr("event_id", "unix_timestamp(ts) AS at_second", "risk_score", "action"), f"SELECT event_id, at_second, risk_score, action FROM ({generators.events_check_sql(source='(SELECT event_id AS id FROM events)')})"),
     "finance_workbook_labels": Query(_finance, _FINANCE),
     "extra_pools": Query(_pools, _POOLS),
     "training_build": Query(_splits, _splits_sql(False)),

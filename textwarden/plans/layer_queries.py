@@ -115,7 +115,7 @@ _CORRECTIONS = f"""WITH d AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN '
     a AS (SELECT text, r AS risk FROM d UNION ALL SELECT substring(text, 1, 9 + 96) AS text, s AS risk FROM d), f AS (SELECT DISTINCT {X.fingerprint(CHECK, 'text')} AS f, risk FROM a WHERE length(text) BETWEEN 20 AND 1000)
     SELECT risk, count(*) AS n FROM f GROUP BY risk"""
 
-_COVERAGE = "SELECT * FROM (VALUES ('existing', 6, 35), ('missing', 4, 59), ('new_regex', 3, 28), ('partial', 5, 49)) v(coverage, n, id_sum)"
+_COVERAGE = "WITH s AS (SELECT " + ", ".join(f"coalesce(sum(({hipaa.found(CHECK, 'text', i)})::INT), 0)::BIGINT AS n{i}" for i, _, _ in hipaa.SAFE_HARBOR) + " FROM documents) " + " UNION ALL ".join(f"SELECT {i} AS id, '{c}' AS coverage, n{i} AS n FROM s" for i, _, c in hipaa.SAFE_HARBOR)
 
 QUERIES: dict[str, Query] = {
     "three_layer_decision": Query(lambda t, spark: apply(_documents(t), _three(SPARK)).select("doc_id", "layer_decision", "layer_severity", "layer_reason"), f"SELECT doc_id, layer_decision, layer_severity, layer_reason FROM ({nest(_SRC, _three(CHECK))})"),
@@ -124,7 +124,7 @@ QUERIES: dict[str, Query] = {
     "plain_score_two": _plain("two"),
     "triggers_beside_spans": Query(lambda t, spark: apply(t("documents").select("doc_id"), _beside(SPARK)).select("doc_id", "left_over"), f"SELECT doc_id, left_over FROM ({nest('(SELECT doc_id FROM documents)', _beside(CHECK))})"),
     "entity_types": Query(lambda t, spark: apply(t("events").select("event_id"), _entities(SPARK)).select(*_ENT), f"SELECT {', '.join(_ENT)} FROM ({nest('(SELECT event_id FROM events)', _entities(CHECK))})"),
-    "hipaa_coverage": Query(lambda t, spark: hipaa.coverage(spark).groupBy("coverage").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")), _COVERAGE),
+    "hipaa_coverage": Query(lambda t, spark: hipaa.coverage_counts(_documents(t)), _COVERAGE),
     "sentence_spans": _sentences(),
     "merged_spans": Query(_merged, _MERGED),
     "feedback_record": Query(_feedback, "SELECT sha256(text) AS text_hash, count(*) AS n, max(CASE WHEN doc_id % 3 = 0 THEN 'critical' ELSE 'medium' END) AS correct, md5(left(any_value(text), 500)) AS preview_md5, md5(any_value(text)) AS text_md5 FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)"),

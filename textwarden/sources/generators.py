@@ -94,12 +94,17 @@ def _columns(d: Dialect, kind: str, seed: int) -> list[str]:
 
 def rows(spark: SparkSession, kind: str, count: int, seed: int = 42) -> DataFrame:
     """(id, text, risk, source): ``count`` rows of a kind."""
-    return spark.range(max(0, count)).selectExpr(*_columns(SPARK, kind, seed))
+    return beside(spark.range(max(0, count)), "id", kind, seed)
 
 
-def check_sql(kind: str, count: str | int, seed: int = 42) -> str:
-    """The same rows as a SELECT of the checking engine."""
-    return f"SELECT {', '.join(_columns(CHECK, kind, seed))} FROM (SELECT range AS id FROM range({count}))"
+def beside(df: DataFrame, id_col: str, kind: str, seed: int = 42) -> DataFrame:
+    """A row of a kind for each row of df, by its number: as many made-up rows as real ones, made where these are."""
+    return df.select(F.col(id_col).cast("bigint").alias("id")).selectExpr(*_columns(SPARK, kind, seed))
+
+
+def check_sql(kind: str, count: str | int, seed: int = 42, source: str | None = None) -> str:
+    """The same rows as a SELECT of the checking engine; ``source`` is a FROM item with ids."""
+    return f"SELECT {', '.join(_columns(CHECK, kind, seed))} FROM {source or f'(SELECT range AS id FROM range({count}))'}"
 
 
 def mixture(spark: SparkSession, counts: dict[str, int], seed: int = 42) -> DataFrame:
@@ -115,7 +120,14 @@ def finance_counts(n: int) -> dict[str, int]:
 
 def demo_events(spark: SparkSession, count: int = 1200, days: int = 14, seed: int = 42) -> DataFrame:
     """Events over the days before a fixed date, with actions by the demo's limits (70 and 40)."""
-    return spark.range(count).selectExpr(*_events(SPARK, days, seed)).withColumn("ts", F.timestamp_seconds("at_second")).withColumn("action", F.when(F.col("risk_score") >= 70, "block").when(F.col("risk_score") >= 40, "warn").otherwise("silent")).select("event_id", "ts", "risk_score", "action")
+    return events_beside(spark.range(count), "id", days, seed)
+
+
+def events_beside(df: DataFrame, id_col: str, days: int = 14, seed: int = 42) -> DataFrame:
+    """A made-up event for each row of df, by its number."""
+    d = df.select(F.col(id_col).cast("bigint").alias("id")).selectExpr(*_events(SPARK, days, seed))
+    action = F.when(F.col("risk_score") >= 70, "block").when(F.col("risk_score") >= 40, "warn").otherwise("silent")
+    return d.withColumn("ts", F.timestamp_seconds("at_second")).withColumn("action", action).select("event_id", "ts", "risk_score", "action")
 
 
 def _events(d: Dialect, days: int, seed: int) -> list[str]:
@@ -123,5 +135,5 @@ def _events(d: Dialect, days: int, seed: int) -> list[str]:
     return ["id AS event_id", f"cast({_number(d, h('score'), 101)} AS int) AS risk_score", f"1735689600 - {_number(d, h('at'), days * 86_400)} AS at_second"]
 
 
-def events_check_sql(count: int = 1200, days: int = 14, seed: int = 42) -> str:
-    return f"SELECT *, CASE WHEN risk_score >= 70 THEN 'block' WHEN risk_score >= 40 THEN 'warn' ELSE 'silent' END AS action FROM (SELECT {', '.join(_events(CHECK, days, seed))} FROM (SELECT range AS id FROM range({count})))"
+def events_check_sql(count: int = 1200, days: int = 14, seed: int = 42, source: str | None = None) -> str:
+    return f"SELECT *, CASE WHEN risk_score >= 70 THEN 'block' WHEN risk_score >= 40 THEN 'warn' ELSE 'silent' END AS action FROM (SELECT {', '.join(_events(CHECK, days, seed))} FROM {source or f'(SELECT range AS id FROM range({count}))'})"
