@@ -112,6 +112,22 @@ def _offsets(name: str):
     return Query(run, f"SELECT doc_id, s.start::BIGINT AS start_at, s.\"end\"::BIGINT AS end_at, s.match AS matched FROM (SELECT doc_id, unnest({spans.offsets(CHECK, 'text', rx)}) AS s FROM documents WHERE {CHECK.rx('text', rx)})")
 
 
+def _all_spans() -> str:
+    """SQL: the spans of all detectors (doc_id, class, source, a, z); a look-ahead at a pattern's end is tested on the rest of the text."""
+    parts = []
+    for p in (*P.STRONG, *P.MEDIUM, *P.HIPAA, *P.SECRETS):
+        head, _, ahead = p.regex.partition("(?=")
+        rest = f"WHERE {CHECK.rx('substring(x, (s.' + chr(34) + 'end' + chr(34) + ')::BIGINT + 1)', '^(?i:' + ahead[:-1] + ')')}" if ahead else ""
+        source = "critical_secret" if p.tier == "secret" else "regex"
+        found = f"SELECT doc_id, x, unnest({spans.offsets(CHECK, 'x', head)}) AS s FROM d WHERE {CHECK.rx('x', head)}"
+        parts.append(f"SELECT doc_id, {CHECK.q(p.name)} AS class, '{source}' AS source, s.start AS a, s.{chr(34)}end{chr(34)} AS z FROM ({found}) {rest}")
+    return f"d AS (SELECT doc_id, {CHECK.ascii_bounds('text')} AS x FROM documents), f AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)}))"
+
+
+_OVERLAPS = f"""WITH {_all_spans()}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, z, class) AS i FROM f)
+    SELECT p.class AS class_a, q.class AS class_b, count(*) AS n FROM n p JOIN n q ON p.doc_id = q.doc_id AND p.i < q.i AND q.a < p.z AND p.a < q.z GROUP BY 1, 2"""
+
+
 def _chunks():
     sql = f"SELECT doc_id, start::INTEGER AS start, substring(text, start + 1, {scan.SIZE}) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= {scan.SIZE} THEN 1 ELSE length(text) END, {scan.SIZE - scan.OVERLAP})) AS start FROM documents WHERE length(text) > 0)"
     return sql
@@ -184,8 +200,8 @@ QUERIES: dict[str, Query] = {
     "text_keys": _per_doc(fingerprint_md5=lambda d: f"md5({X.fingerprint(d, 'text')})", audit_md5=lambda d: X.audit_key(d, "text"), words_md5=lambda d: f"md5({X.words_key(d, 'text')})", text_hash=lambda d: X.text_hash(d, "text"), squeezed_md5=lambda d: f"md5({X.squeeze(d, 'text')})"),
     "paste_preprocess": _per_doc(skipped=lambda d: f"(length(text) < 3 OR {d.strip('text')} = '')", truncated=lambda d: "length(text) > 50000", estimated_chunks=lambda d: f"cast(greatest(1, floor({X.n_words(d, 'left(text, 50000)')} / 70)) AS bigint)"),
     "html_strip": _html(),
-    "span_overlap_pairs": Query(lambda t, spark: spans.overlap_pairs(spans.find_all(dealt(t("documents").select("doc_id", "text"))), "doc_id").groupBy(F.col("one.class").alias("class_a"), F.col("two.class").alias("class_b")).agg(F.count(F.lit(1)).alias("n"))),
+    "span_overlap_pairs": Query(lambda t, spark: spans.overlap_pairs(spans.find_all(dealt(t("documents").select("doc_id", "text"))), "doc_id").groupBy(F.col("one.class").alias("class_a"), F.col("two.class").alias("class_b")).agg(F.count(F.lit(1)).alias("n")), _OVERLAPS),
     "highlight_spans": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).transform(spans.edit, "highlight").selectExpr("doc_id", "md5(edited) AS text_md5")),
     "mask_spans_partial": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).transform(spans.edit, "partial").selectExpr("doc_id", "md5(edited) AS text_md5")),
-    "span_layer_summary": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).select(F.explode("spans").alias("s")).groupBy("s.source", "s.class").agg(F.count(F.lit(1)).alias("n"))),
+    "span_layer_summary": Query(lambda t, spark: spans.find_all(dealt(t("documents").select("doc_id", "text"))).select(F.explode("spans").alias("s")).groupBy("s.source", "s.class").agg(F.count(F.lit(1)).alias("n")), f"WITH {_all_spans()} SELECT source, class, count(*) AS n FROM f GROUP BY 1, 2"),
 }
