@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
+from textwarden.sources import office
 
 # For each corpus the column names tried in order for text and label, and what a row without a label gets.
 CORPORA = {
@@ -302,7 +303,7 @@ DOCUMENT = "path string, page int, text string, method string, error string"
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of files: text formats here, others by libraries if these are installed; a failure is a row with an error."""
+    """Pages of files: texts and office files here, PDF by its library if that is installed; a failure is a row with an error, an empty file none."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,21 +330,8 @@ def extract(path: str, content: bytes) -> list[tuple[str, str]]:
         from pypdf import PdfReader
 
         return [(p.extract_text() or "", "pdf") for p in PdfReader(io.BytesIO(content)).pages]
-    if kind == ".docx":
-        from docx import Document
-
-        d = Document(io.BytesIO(content))
-        parts = [p.text for p in d.paragraphs] + [" | ".join(c.text for c in r.cells) for t in d.tables for r in t.rows]
-        return [("\n".join(parts), "docx")]
-    if kind == ".pptx":
-        from pptx import Presentation
-
-        return [("\n".join(s.text for s in slide.shapes if s.has_text_frame), "pptx") for slide in Presentation(io.BytesIO(content)).slides]
-    if kind == ".xlsx":
-        import openpyxl
-
-        book = openpyxl.load_workbook(io.BytesIO(content), read_only=True, data_only=True)
-        return [("\n".join(" | ".join("" if c is None else str(c) for c in row) for row in s.iter_rows(values_only=True)), "xlsx") for s in book]
+    if kind in office.READERS:
+        return [(text, kind[1:]) for text in office.READERS[kind](content)]
     return [(content.decode("utf-8", errors="replace"), "text")]
 
 
