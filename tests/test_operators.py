@@ -251,3 +251,17 @@ def test_feedback(spark):
 def test_mask_steps_leave_nulls(spark):
     df = spark.createDataFrame([(None,)], "text string")
     assert apply(df, remediate.mask_steps(SPARK, "text")).first()[remediate.LAST] is None
+
+
+def test_curves_scan_their_input_once(spark, tmp_path):
+    """However often a curve is read again, the table behind it is not; scores that crowd at one end are dealt evenly."""
+    rows = [(i % 3 == 0, 1 - i / 1e7) for i in range(4000)] + [(True, 0.1), (False, 0.1)]
+    spark.createDataFrame(rows, "y boolean, p double").selectExpr("cast(y AS int) AS y", "p").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    curve = evaluate.downsample(evaluate.pr_curve(df, "y", "p"), "p", 96)
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    assert str(tmp_path) not in plan and not any(f in str(tmp_path) for f in curve.inputFiles()) and curve.count() == 96
+    h = evaluate.histogram(df, "y", "p").orderBy("p").collect()
+    ps = sorted({p for _, p in rows})
+    assert [r.p for r in h] == ps and h[0].tp + h[0].fp == len(rows) and h[-1].tp + h[-1].fp == 1
+    assert all(a.tp - a.pos == b.tp and a.fp - a.neg == b.fp for a, b in zip(h[:-1], h[1:], strict=True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textwarden.functions import text as X
 from textwarden.functions.dialect import SPARK
+from textwarden.sources.writers import settled
 
 SEED = 42
 
@@ -56,7 +57,7 @@ def near_duplicates(df: DataFrame, corpus: DataFrame, id_col: str, corpus_id: st
     def tokens(d: DataFrame, k: str) -> DataFrame:
         return d.select(F.col(k).alias("id"), F.expr(X.token_set(SPARK, text_col)).alias("set")).where(F.size("set") > 0)
 
-    a, b = tokens(df, id_col), tokens(corpus, corpus_id)
+    a, b = settled(tokens(df, id_col)), settled(tokens(corpus, corpus_id))  # each is read several times below
     sizes = b.agg(F.min(F.size("set")).alias("_lo"), F.max(F.size("set")).alias("_hi"))
     a = a.join(F.broadcast(sizes)).where((F.size("set") >= threshold * F.col("_lo") - 1e-9) & (F.size("set") * threshold <= F.col("_hi") + 1e-9)).drop("_lo", "_hi")
     freq = b.select(F.explode("set").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))

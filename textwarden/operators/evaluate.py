@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textwarden.functions.patterns import STRONG
+from textwarden.sources.writers import settled
 
 
 def ratio(a: str | Column, b: str | Column) -> Column:
@@ -48,18 +49,14 @@ def sided(d: DataFrame) -> DataFrame:
     return d.withColumn("macro_f1", (F.col("f1") + F.col("safe_f1")) / 2)
 
 
-#: Even bins of the range of an ordering column; running sums go bin by bin, and over the bins' totals.
-BINS = 4096
-
-
 def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """df with running sums (new column: column summed) in order of a number, rows of equal numbers together.
 
-    The rows are split into up to BINS even bins, so no task orders the whole table; only the bins' totals (BINS rows) meet in one.
+    The rows are dealt to ranges of about equal numbers of rows, wherever they crowd (as many as the session has shuffle partitions), and written once; no
+    task orders the whole table, and only the ranges' totals, a row each, meet in one.
     """
-    edge = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    place = F.coalesce(F.least(F.lit(BINS - 1), F.floor((F.col(order) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * BINS)), F.lit(0))
-    binned = df.join(F.broadcast(edge)).withColumn("_bin", place.cast("int")).drop("_lo", "_hi")
+    ranges = max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    binned = settled(df.repartitionByRange(ranges, order).withColumn("_bin", F.spark_partition_id()))
     by = F.desc if descending else F.asc
     before = Window.orderBy(by("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     totals = binned.groupBy("_bin").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
@@ -70,7 +67,7 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
 
 
 def histogram(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(p, pos, neg) per distinct score, and the counts at or above it."""
+    """(p, pos, neg) per distinct score, and the counts at or above it; df is scanned once."""
     h = df.groupBy(F.col(score).alias("p")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg"))
     return running(h, "p", {"tp": "pos", "fp": "neg"}, descending=True)
 
