@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textwarden.functions.batches import pieces
 from textwarden.operators import curate
 from textwarden.sources import generators
 from textwarden.sources.writers import settled
@@ -131,7 +132,7 @@ def tokenise(df: DataFrame, load: Callable[[], Encoder], text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             found = [ids[:length] for ids in encode([t or "" for t in batch.column(names.index(text_col)).to_pylist()])]
             ids = [x + [pad] * (length - len(x)) for x in found]
             mask = [[1] * len(x) + [0] * (length - len(x)) for x in found]

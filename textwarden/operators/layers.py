@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textwarden.functions.batches import pieces
 from textwarden.functions.dialect import Dialect, Level
 from textwarden.operators import model_scores as M
 from textwarden.operators import score as S
@@ -43,7 +44,7 @@ def tag(df: DataFrame, load: Callable[[], Tagger], text_col: str = "text", out:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = load()
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts = [(t or "")[:most_chars] for t in batch.column(names.index(text_col)).to_pylist()]
             rows = [
                 [{"start": a, "end": b, "label": k, "type": types[k], "confidence": ENTITY_CONFIDENCE, "match": t[a:b]} for a, b, k in found if k in types]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.functions.batches import pieces
 from textwarden.functions.dialect import SPARK, Dialect
 from textwarden.functions.patterns import GUARDS, HIPAA, MEDIUM, NOT_DIGITS, SECRETS, STRONG, Pattern
 
@@ -69,7 +70,7 @@ def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *
         table = [(re.compile(p.regex), GUARDS.get(p.regex), p.name, "critical_secret" if p.tier == "secret" else "regex", RISK[p.tier]) for p in patterns]
         not_digits = re.compile(NOT_DIGITS)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *((k, pa.string()) for k in ("class", "match", "source", "risk"))]))
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             rows = []
             for text in batch.column(names.index(text_col)).to_pylist():
                 seen, text = {}, text or ""
@@ -156,7 +157,7 @@ def edit(df: DataFrame, mode: str, text_col: str = "text", spans_col: str = "spa
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts, spans = (batch.column(names.index(c)).to_pylist() for c in (text_col, spans_col))
             made = [None if t is None else edited(t, s or [], mode) for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*names, out])

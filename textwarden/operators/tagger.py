@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.functions.batches import pieces
+
 WORD = r"[\p{L}\p{N}]+(?:[.@_'-][\p{L}\p{N}]+)*|[^\x09-\x0D\x20\p{L}\p{N}]"
 _WORD = re.compile(r"[^\W_]+(?:[.@_'-][^\W_]+)*|[^\x09-\x0D\x20]")
 _SHAPE = ((re.compile(r"[a-z]+"), "x"), (re.compile(r"[A-Z]+"), "X"), (re.compile(r"[0-9]+"), "d"), (re.compile(r"[^Xxd]+"), "o"))
@@ -215,7 +217,7 @@ def token_rows(df: DataFrame, key: str, text_col: str = "text", spans_col: str =
     """(key, tokens, tags): words of texts, tagged with the class of the first (then longest) span that covers them whole, B- at its start and I- after."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 at, _ = words(text or "")

@@ -5,19 +5,23 @@ before it if there is one, and single white space. A vocabulary holds the most f
 so nothing is unknown and decoding gives the text back exactly. Ids: 0 padding, 1 and 2 the marks before and after a
 window, 3 free, then the 256 bytes, then the pieces. Any other encoder can stand in: windows need ids, starts and ends only.
 
-Encoding is one Arrow pass with the vocabulary (at most ``most`` pieces) in the task; windows are column expressions; decoding is a join of
-the ids with the vocabulary and an ordered aggregation by row.
+Encoding is one Arrow pass with the vocabulary (at most ``most`` pieces) in the task, by pieces of bounded text; windows and decoding are column
+expressions within a row.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textwarden.functions.batches import pieces as bounded
+
 #: The same pieces for engines with and without Unicode classes in brackets.
 PIECE = r" ?[\p{L}\p{N}]+| ?[^\x09-\x0D\x20\p{L}\p{N}]|[\x09-\x0D\x20]"
 _PIECE = re.compile(r" ?[^\W_]+| ?[^\x09-\x0D\x20]|[\x09-\x0D\x20]")
@@ -32,9 +36,9 @@ def vocabulary(df: DataFrame, most: int = 8000, text_col: str = "text") -> list[
     return [r.piece for r in pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "piece").limit(most).collect()]
 
 
-def encoded(text: str, ids: dict[str, int]) -> tuple[list[int], list[int], list[int]]:
-    """Ids of a text, and where the characters they stand for start and end; a piece starts after its space."""
-    out, starts, ends = [], [], []
+def encoded(text: str, ids: dict[str, int], out: list | array | None = None, starts: list | array | None = None, ends: list | array | None = None) -> tuple[list | array, list | array, list | array]:
+    """Ids of a text, and where the characters they stand for start and end; a piece starts after its space. With arrays given, they are added to these."""
+    out, starts, ends = ([] if x is None else x for x in (out, starts, ends))
     for m in _PIECE.finditer(text):
         a, b = m.span()
         i = ids.get(m.group())
@@ -45,9 +49,9 @@ def encoded(text: str, ids: dict[str, int]) -> tuple[list[int], list[int], list[
             continue
         for at in range(a, b):
             raw = text[at].encode()
-            out += [BYTE + x for x in raw]
-            starts += [at] * len(raw)
-            ends += [at + 1] * len(raw)
+            out.extend(BYTE + x for x in raw)
+            starts.extend([at] * len(raw))
+            ends.extend([at + 1] * len(raw))
     return out, starts, ends
 
 
@@ -58,9 +62,13 @@ def encode(df: DataFrame, pieces: list[str], text_col: str = "text") -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {p: FIRST + i for i, p in enumerate(pieces)}
-        for batch in batches:
-            rows = [encoded(t or "", ids) for t in batch.column(names.index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(3))], [*names, "ids", "starts", "ends"])
+        for batch in bounded(batches, text_col):
+            flat, ends = (array("i"), array("i"), array("i")), [0]
+            for t in batch.column(names.index(text_col)).to_pylist():
+                encoded(t or "", ids, *flat)
+                ends.append(len(flat[0]))
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(x, np.int32))) for x in flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*names, "ids", "starts", "ends"])
 
     kinds = ", ".join(f"`{k}` {v}" for k, v in df.dtypes)
     return df.mapInArrow(work, f"{kinds}, ids array<int>, starts array<int>, ends array<int>")
@@ -101,19 +109,14 @@ def spans_of_tokens(parts: DataFrame, key: str, hits_col: str = "hits") -> DataF
     return hit.selectExpr(f"`{key}`", f"{span} AS s").groupBy(key).agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
-def vocabulary_table(df: DataFrame, pieces: list[str]) -> DataFrame:
-    """(_id, _hex): what each id but the marks stands for, in bytes."""
-    spark = df.sparkSession
-    made = spark.createDataFrame([(FIRST + i, p) for i, p in enumerate(pieces)], "id int, piece string").selectExpr("id AS _id", "hex(encode(piece, 'UTF-8')) AS _hex")
-    return spark.range(256).selectExpr(f"cast(id + {BYTE} AS int) AS _id", "lpad(hex(id), 2, '0') AS _hex").union(made)
-
-
 def decode(df: DataFrame, pieces: list[str], key: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
     """(key, text) of rows of ids with a unique key; marks and padding are skipped, rows without any other id have an empty text."""
-    each = df.select(key, F.posexplode_outer(ids_col).alias("_at", "_id"))
-    said = each.join(F.broadcast(vocabulary_table(df, pieces)), "_id", "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_hex").isNotNull(), F.struct("_at", "_hex")))), lambda x: x["_hex"]), "")
-    return said.groupBy(key).agg(joined.alias("_said")).select(key, F.decode(F.unhex("_said"), "UTF-8").alias(out))
+    # what each id stands for, in bytes, at its place in a fixed array
+    said = [None] * FIRST
+    said[BYTE : BYTE + 256] = [f"{x:02X}" for x in range(256)]
+    table = F.array(*(F.lit(x).cast("string") for x in [*said, *(p.encode().hex().upper() for p in pieces)]))
+    joined = F.array_join(F.transform(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: F.get(table, i)), "")
+    return df.select(key, F.decode(F.unhex(joined), "UTF-8").alias(out))
 
 
 def candidates(decoded: DataFrame, key: str, text_col: str = "text", risk: str = "risk", label: str = "label") -> DataFrame:
