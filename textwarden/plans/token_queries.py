@@ -65,7 +65,10 @@ def _token_hits(t, spark):
     """At signs, marked as tokens of windows and mapped back to the text."""
     pieces = tokens.vocabulary(t("documents"), 300)
     w = tokens.windows(tokens.encode(_documents(t), pieces), "doc_id", short=0)
-    marked = w.withColumn("hits", F.expr("transform(filter(sequence(0, size(starts) - 1), i -> size(starts) > 0 AND substring(part, starts[i] - char_start + 1, 1) = '@'), i -> struct(i AS first, i + 1 AS last, 'at' AS class))"))
+    # bound once for each window: named in the lambda of the tokens, the part would be cut out of the text for each of them
+    at = "filter(sequence(0, size(x.starts) - 1), i -> substring(x.part, x.starts[i] - x.char_start + 1, 1) = '@')"
+    hits = f"transform(array(struct(part, starts, char_start)), x -> transform({at}, i -> struct(i AS first, i + 1 AS last, 'at' AS class)))[0]"
+    marked = w.where("contains(part, '@') AND size(starts) > 0").withColumn("hits", F.expr(hits))
     return tokens.spans_of_tokens(marked, "doc_id").selectExpr("doc_id", "cast(size(spans) AS bigint) AS n", "cast(aggregate(spans, 0, (x, s) -> x + s.start) AS bigint) AS start_sum")
 
 
