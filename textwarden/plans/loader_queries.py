@@ -109,8 +109,8 @@ def _misses(t, spark):
     return evaluate.miss_patterns(t("documents").selectExpr("CASE doc_id % 4 WHEN 0 THEN upper(left(text, 24)) WHEN 1 THEN cast(doc_id AS string) ELSE left(text, 24) END AS piece", "doc_id % 3 AS start"), "piece", "start")
 
 
-_MISSES = r"""SELECT sum((len(regexp_extract_all(p, '\S+')) < 3)::INT)::BIGINT AS short, sum((upper(p) = p AND regexp_matches(p, '[A-Z]'))::INT)::BIGINT AS capitals, sum(regexp_matches(p, '^[0-9./ -]+$')::INT)::BIGINT AS numbers_only, sum((start = 0)::INT)::BIGINT AS at_start
-    FROM (SELECT regexp_replace(CASE doc_id % 4 WHEN 0 THEN upper(left(text, 24)) WHEN 1 THEN CAST(doc_id AS VARCHAR) ELSE left(text, 24) END, '^\s+|\s+$', '', 'g') AS p, doc_id % 3 AS start FROM documents)"""
+_MISSES = rf"""SELECT sum((len(regexp_extract_all(p, '\S+')) < 3)::INT)::BIGINT AS short, sum(({CHECK.upper('p')} = p AND regexp_matches(p, '[A-Z]'))::INT)::BIGINT AS capitals, sum(regexp_matches(p, '^[0-9./ -]+$')::INT)::BIGINT AS numbers_only, sum((start = 0)::INT)::BIGINT AS at_start
+    FROM (SELECT regexp_replace(CASE doc_id % 4 WHEN 0 THEN {CHECK.upper('left(text, 24)')} WHEN 1 THEN CAST(doc_id AS VARCHAR) ELSE left(text, 24) END, '^\s+|\s+$', '', 'g') AS p, doc_id % 3 AS start FROM documents)"""
 
 
 def _errors(t, spark):
