@@ -48,7 +48,7 @@ def test_repeated_and_null_ids_are_rows(spark):
 def test_common_words_make_no_pairs(spark):
     """Texts that share half of their words, all of them common, are never paired, so nothing is moved for them."""
     common = " ".join(f"c{i}" for i in range(30))
-    sets = lambda tag, n: spark.range(n).select(F.col("id").alias("row"), F.split(F.concat(F.lit(common), *[F.concat(F.lit(f" {tag}{j}x"), F.col("id") % 9 if j < 3 else F.col("id")) for j in range(30)]), " ").alias("set"))
+    sets = lambda tag, n: spark.range(n).select(F.col("id").alias("row"), F.split(F.concat(F.lit(common), *[F.concat(F.lit(f" {tag}{j}x"), F.col("id") % 9 if j < 3 else F.col("id")) for j in range(30)]), " ").alias("set")).withColumn("key", F.col("row"))
     assert near.near_rows(sets("p", 200), sets("q", 100), 0.62).count() == 0
     assert near.near_rows(sets("p", 200), sets("p", 100), 0.62).count() == 100
 
@@ -61,3 +61,13 @@ def test_colliding_hashes_lose_no_pair(spark):
     text = " ".join(w for r in twins[:2] for w in r.ws)
     docs, items = [(1, text + " a b c"), (2, text)], [(1, text + " a b d"), (2, text)]
     assert found(spark, docs, items, 0.62) == wanted(docs, items, 0.62)
+
+
+def test_equal_sets_are_compared_once(spark):
+    """Copies, also with words in another order, are one set in the cells and pairs of their own in the result."""
+    docs = [(i, "a b c d e" if i % 2 else "e d c b a a") for i in range(40)]
+    items = [(i, "a b c d f") for i in range(3)] + [(i, "c a b d e") for i in range(3, 10)]
+    rows = lambda r: spark.createDataFrame(r, "row long, text string").select("row", F.expr("array_distinct(split(text, ' '))").alias("set")).withColumn("key", F.array_join(F.sort_array("set"), " "))
+    assert [tuple(r)[1:] for r in near.near_rows(rows(docs), rows(items), 0.62).orderBy("other").collect()] == [(0, 0), (0, 3)]
+    want = wanted(docs, items, 0.62)
+    assert found(spark, docs, items, 0.62) == want and sum(want.values()) == 400
