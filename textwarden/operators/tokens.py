@@ -5,8 +5,8 @@ before it if there is one, and single white space. A vocabulary holds the most f
 so nothing is unknown and decoding gives the text back exactly. Ids: 0 padding, 1 and 2 the marks before and after a
 window, 3 free, then the 256 bytes, then the pieces. Any other encoder can stand in: windows need ids, starts and ends only.
 
-Encoding is one Arrow pass with the vocabulary (at most ``most`` pieces) in the task, by pieces of bounded text; windows and decoding are column
-expressions within a row.
+Encoding is one Arrow pass with the vocabulary (at most ``most`` pieces) in the task, by pieces of bounded text, and cutting windows another; decoding is a column
+expression within a row.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from textwarden.functions.batches import pieces as bounded
 #: The same pieces for engines with and without Unicode classes in brackets.
 PIECE = r" ?[\p{L}\p{N}]+| ?[^\x09-\x0D\x20\p{L}\p{N}]|[\x09-\x0D\x20]"
 _PIECE = re.compile(r" ?[^\W_]+| ?[^\x09-\x0D\x20]|[\x09-\x0D\x20]")
+_WORD = re.compile(r"[^\x09-\x0D\x20]+")
 PAD, BEFORE, AFTER, BYTE, FIRST = 0, 1, 2, 4, 260
 #: Windows hold so many tokens beside their two marks and share so many with the next; texts of fewer words are one window, cut off at its size.
 CONTENT, SHARED, SHORT = 126, 32, 80
+#: Windows that a task holds at once.
+AT_ONCE = 4096
 
 
 def vocabulary(df: DataFrame, most: int = 8000, text_col: str = "text") -> list[str]:
@@ -79,20 +82,51 @@ def windows(df: DataFrame, key: str, text_col: str = "text", content: int = CONT
 
     ``input_ids`` has the marks and padding, ``attention`` how many of it count, ``starts`` and ``ends`` the window's offsets, and ``part`` its text.
     A short text is one window, of whose tokens those beyond the window's size are cut off, and its part is the whole text.
+    A row holds its window only, so a text's windows take room and time in proportion to the text.
     """
     step = max(1, content - shared)
-    one = f"(regexp_count(`{text_col}`, '[^\\\\x09-\\\\x0D\\\\x20]+') < {short} OR size(ids) <= {content})"
-    d = df.where(F.col(text_col).isNotNull()).selectExpr(f"`{key}`", f"`{text_col}` AS _text", "ids", "starts", "ends", f"{one} AS _one")
-    last = f"CASE WHEN _one THEN 0 ELSE cast(ceil((size(ids) - {content}) / {float(step)}D) AS int) * {step} END"
-    d = d.selectExpr("*", f"explode(sequence(0, {last}, {step})) AS token_start")
-    d = d.selectExpr("*", f"least(token_start + {content}, size(ids)) AS token_end")
-    d = d.selectExpr("*", "CASE WHEN _one OR token_start = 0 THEN 0 ELSE starts[token_start] END AS char_start", "CASE WHEN _one THEN length(_text) ELSE ends[token_end - 1] END AS char_end")
-    own = lambda c: f"slice({c}, token_start + 1, {content})"
-    return d.selectExpr(
-        f"`{key}`", "token_start", "token_end", "char_start", "char_end",
-        f"concat(array({BEFORE}), {own('ids')}, array({AFTER}), array_repeat({PAD}, {content} - token_end + token_start)) AS input_ids", "token_end - token_start + 2 AS attention",
-        f"{own('starts')} AS starts", f"{own('ends')} AS ends", "substring(_text, char_start + 1, char_end - char_start) AS part",
-    )
+    whole = [("token_start", pa.int32()), ("token_end", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())]
+
+    def made(keys: pa.Array, cut: list[tuple[int, int, int, int, int]], lists: tuple[list[np.ndarray], ...], parts: list[str]) -> pa.RecordBatch:
+        """The windows in ``cut``: row of the key and the four places; lists: their ids, starts and ends."""
+        at = np.array(cut, np.int32)
+        size = at[:, 2] - at[:, 1]
+        ids = np.full((len(cut), content + 2), PAD, np.int32)
+        ids[:, 0] = BEFORE
+        ids[:, 1:-1][np.arange(content) < size[:, None]] = np.concatenate(lists[0])
+        ids[np.arange(len(cut)), size + 1] = AFTER
+        ends = pa.array(np.append(0, size.cumsum()).astype(np.int32))
+        own = (pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in lists[1:])
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1, dtype=np.int32) * (content + 2)), pa.array(ids.ravel()))
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(at[:, 0])), *(pa.array(at[:, 1 + i], k) for i, (_, k) in enumerate(whole)), each, pa.array(size + 2, pa.int32()), *own, pa.array(parts, pa.string())],
+            [key, *(n for n, _ in whole), "input_ids", "attention", "starts", "ends", "part"],
+        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "_text"):
+            flat = [np.asarray(batch.column(i).values) for i in (2, 3, 4)]
+            edge = [np.asarray(batch.column(i).offsets).tolist() for i in (2, 3, 4)]
+            cut, lists, parts = [], ([], [], []), []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                ids, starts, ends = (x[e[row] : e[row + 1]] for x, e in zip(flat, edge, strict=True))
+                one = len(ids) <= content or (short > 0 and len(_WORD.findall(text)) < short)
+                for a in range(0, 1 if one else -(-(len(ids) - content) // step) * step + 1, step):
+                    z = min(a + content, len(ids))
+                    first, last = 0 if one or not a else int(starts[a]), len(text) if one else int(ends[z - 1])
+                    cut.append((row, a, z, first, last))
+                    for held, x in zip(lists, (ids, starts, ends), strict=True):
+                        held.append(x[a:z])
+                    parts.append(text[first:last])
+                    if len(cut) == AT_ONCE:
+                        yield made(batch.column(0), cut, lists, parts)
+                        cut, lists, parts = [], ([], [], []), []
+            if cut:
+                yield made(batch.column(0), cut, lists, parts)
+
+    d = df.where(F.col(text_col).isNotNull()).select(key, F.col(text_col).alias("_text"), "ids", "starts", "ends")
+    kinds = ", ".join(f"{n} int" for n, _ in whole)
+    return d.mapInArrow(work, f"`{key}` {dict(df.dtypes)[key]}, {kinds}, input_ids array<int>, attention int, starts array<int>, ends array<int>, part string")
 
 
 def rebuilt(parts: DataFrame, key: str, out: str = "text") -> DataFrame:

@@ -64,7 +64,8 @@ _DECODED = r"""SELECT doc_id, 0 AS start, length(x) AS stop, CASE WHEN phi THEN
 def _token_hits(t, spark):
     """At signs, marked as tokens of windows and mapped back to the text."""
     pieces = tokens.vocabulary(t("documents"), 300)
-    w = tokens.windows(tokens.encode(_documents(t), pieces), "doc_id", short=0)
+    # a text without the sign has no such token, so it isn't encoded; the vocabulary is that of all texts
+    w = tokens.windows(tokens.encode(dealt(t("documents").select("doc_id", "text").where("contains(text, '@')")), pieces), "doc_id", short=0)
     # bound once for each window: named in the lambda of the tokens, the part would be cut out of the text for each of them
     at = "filter(sequence(0, size(x.starts) - 1), i -> substring(x.part, x.starts[i] - x.char_start + 1, 1) = '@')"
     hits = f"transform(array(struct(part, starts, char_start)), x -> transform({at}, i -> struct(i AS first, i + 1 AS last, 'at' AS class)))[0]"
