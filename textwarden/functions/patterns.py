@@ -136,6 +136,11 @@ class Guard:
     words: tuple[str, ...] = ()
     digits: str = ""
 
+    @property
+    def folds(self) -> bool:
+        """Whether letters beyond ASCII may stand for those of ``words``."""
+        return any(w.upper() != w for w in self.words)
+
     def holds(self, low: str, digits: str, find) -> bool:
         return (not self.words or any(w in low for w in self.words)) and (not self.digits or find(self.digits, digits) is not None)
 

@@ -61,22 +61,23 @@ def find(df: DataFrame, pattern: Pattern, text_col: str = "text", out: str = "sp
 def find_all(df: DataFrame, patterns: tuple[Pattern, ...] = (*STRONG, *MEDIUM, *HIPAA, *SECRETS), text_col: str = "text", out: str = "spans", most_chars: int | None = 500) -> DataFrame:
     """df with the spans of all detectors, in order of start and end; overlaps between detectors are kept. ``match`` has the first ``most_chars`` characters.
 
-    A detector is run on texts only that hold what its matches need; on texts beyond ASCII always, as letters may fold there.
+    A detector is run on texts only that hold what its matches need; if that is words with letters, on texts beyond ASCII always, as letters may fold there.
     """
     df = df.drop(out)
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [(re.compile(p.regex), GUARDS.get(p.regex), p.name, "critical_secret" if p.tier == "secret" else "regex", RISK[p.tier]) for p in patterns]
-        not_digits = re.compile(NOT_DIGITS)
+        not_digits, not_any_digits = re.compile(NOT_DIGITS), re.compile(r"\D+")  # beyond ASCII there are more digits
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *((k, pa.string()) for k in ("class", "match", "source", "risk"))]))
         for batch in pieces(batches, text_col):
             rows = []
             for text in batch.column(names.index(text_col)).to_pylist():
                 seen, text = {}, text or ""
-                plain, low, digits = text.isascii(), text.lower(), not_digits.sub(" ", text)
+                plain, low = text.isascii(), text.lower()
+                digits = (not_digits if plain else not_any_digits).sub(" ", text)
                 for rx, guard, name, source, risk in table:
-                    if plain and guard and not guard.holds(low, digits, re.search):
+                    if guard and (plain or not guard.folds) and not guard.holds(low, digits, re.search):
                         continue
                     for m in rx.finditer(text):
                         seen.setdefault((m.start(), m.end(), name), {"start": m.start(), "end": m.end(), "class": name, "match": m.group()[:most_chars], "source": source, "risk": risk})
