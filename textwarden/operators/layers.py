@@ -6,6 +6,7 @@ Expressions are SQL text in a dialect. Named entities come from a tagger that :f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,11 +47,11 @@ def tag(df: DataFrame, load: Callable[[], Tagger], text_col: str = "text", out:
         tagger = load()
         for batch in pieces(batches, text_col):
             texts = [(t or "")[:most_chars] for t in batch.column(names.index(text_col)).to_pylist()]
-            rows = [
-                [{"start": a, "end": b, "label": k, "type": types[k], "confidence": ENTITY_CONFIDENCE, "match": t[a:b]} for a, b, k in found if k in types]
-                for t, found in zip(texts, tagger(texts), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.struct(fields)))], [*names, out])
+            kept = [[x for x in found if x[2] in types] for found in tagger(texts)]
+            flat = [(a, b, k, types[k], ENTITY_CONFIDENCE, t[a:b]) for t, found in zip(texts, kept, strict=True) for a, b, k in found]
+            each = pa.StructArray.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*flat, strict=True) if flat else [()] * len(fields), fields, strict=True)], [n for n, _ in fields])
+            ends = pa.array([0, *accumulate(map(len, kept))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, each)], [*names, out])
 
     kinds = ", ".join(f"`{k}` {v}" for k, v in df.dtypes)
     return df.mapInArrow(work, f"{kinds}, `{out}` array<struct<start:int,end:int,label:string,type:string,confidence:double,match:string>>")
