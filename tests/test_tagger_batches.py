@@ -7,6 +7,7 @@ import pytest
 
 from textwarden.functions.patterns import MEDIUM, STRONG
 from textwarden.operators import spans, tagger
+from textwarden.plans import tagger_queries
 
 ODD = ["", "\n", " a", "x", "A.b. c.d@e-f_g'h' .i\n\nJ", "é漢字😀 12ab_cd, ünï²", "\x00\x0b\x0c!? Yes", "a.. b", "_a_", "3.5.6-", "@x@y@", "٣٤.٥ ⅧK\x1c z", "Go! Now", "Go!Now"]
 
@@ -60,6 +61,17 @@ def test_tagging_many_texts(seed):
     assert tag([]) == []
 
 
+def test_words_of_a_shape():
+    some = [*texts(3, 200), "a1B-" * 3 + " " + "a1B-" * 6 + "a1B " + "a1B-" * 7 + "aa " + "a1B-" * 40 + " " + "1a" * 13 + "1" + " " + "1a" * 14, "z" * 300 + "Q" * 300]
+    whole, a, z, _ = tagger.split(some)
+    like, back = tagger.alike(whole, a, z)
+    assert [tagger.shape(like[i]) for i in back] == [tagger.shape(whole[i:j]) for i, j in zip(a.tolist(), z.tolist())]
+    assert len(like) < 100 < len(back)
+    assert tagger.alike("\n", *(np.zeros(0, np.int64),) * 2)[0] == []
+    tag = tagger.load(tagger_queries.FIXED)
+    assert tag(some) == [plain(tagger_queries.FIXED, t) for t in some] and sum(map(len, tag(some))) > 100
+
+
 def test_numbers_of_words_are_bounded():
     seen = tagger.Seen(lambda p, vs: tagger.hashed(p, vs, 64), most=10)
     want = {w: tagger.hashed("w=", [w], 64)[0] for w in map(str, range(40))}

@@ -87,6 +87,33 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return whole, a, z, new
 
 
+#: Signs of a shape by a number from 1, each with a character of its kind; a shape of at most SIGNS signs is a number to the base 5.
+_KIND_OF = np.array([4] * 129, np.uint8)
+_KIND_OF[97:123], _KIND_OF[65:91], _KIND_OF[48:58] = 1, 2, 3
+LIKE, SIGNS = " aA0.", 27
+
+
+def alike(whole: str, a: np.ndarray, z: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words of different shapes, one of each, and which of them has the shape of each word from a to z."""
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KIND_OF[np.minimum(code, 128)]
+    first, inside = np.zeros(len(code), bool), np.zeros(len(code) + 1, np.int8)
+    first[a] = True
+    np.add.at(inside, a, 1)
+    np.add.at(inside, z, -1)
+    turn = np.append(True, kind[1:] != kind[:-1])
+    at = np.flatnonzero((first | turn) & (inside[:-1].cumsum(dtype=np.int8) > 0))
+    begin = np.flatnonzero(first[at])
+    size = np.diff(np.append(begin, len(at)))
+    place = np.arange(len(at)) - np.repeat(begin, size)
+    key = np.add.reduceat(kind[at] * 5 ** np.minimum(place, SIGNS - 1).astype(np.int64), begin) if len(at) else np.zeros(0, np.int64)
+    long = np.flatnonzero(size > SIGNS)
+    key[long] = -1 - long  # each for itself
+    keys, back = np.unique(key, return_inverse=True)
+    signs = lambda k: [k // 5**i % 5 for i in range(SIGNS) if k >= 5**i] if k > 0 else kind[at[begin[-1 - k] : begin[-1 - k] + size[-1 - k]]].tolist()
+    return ["".join(LIKE[x] for x in signs(k)) for k in keys.tolist()], back
+
+
 class Names(NamedTuple):
     """Features of a word, of the word before it and of the one after, each a prefix and what is told of the word; ``pair`` is the prefix for the shapes of the one before and its own."""
 
@@ -208,9 +235,13 @@ class Model:
     def seen(self) -> Seen:
         return Seen(self.of_names, self.names, emit=np.concatenate([self.emit, np.zeros((1, len(self.labels)), self.emit.dtype)]))
 
-    def scored(self, seen: Seen, tokens: list[str], new: np.ndarray) -> np.ndarray:
-        """Words x labels of the words of sentences."""
-        ids = seen.of(tokens)
+    @property
+    def only_shapes(self) -> bool:
+        """Whether nothing but the shapes of words counts."""
+        return {k for ps in self.names[:3] for _, k in ps} == {"shape"}
+
+    def scored(self, seen: Seen, ids: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Words x labels of the words of sentences, by their numbers."""
         before, after = neighbours(ids, new)
         own, left, right = seen.sums
         out = own[ids].astype(np.float64)
@@ -223,7 +254,8 @@ class Model:
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """Words x labels of one sentence."""
-        return self.scored(self.seen(), tokens, np.arange(len(tokens)) == 0)
+        seen = self.seen()
+        return self.scored(seen, seen.of(tokens), np.arange(len(tokens)) == 0)
 
 
 def _paths(scores: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -234,20 +266,27 @@ def _paths(scores: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarra
     begin, size = first[order], size[order]
     deep = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(1, deep + 1), "right").tolist()  # stretches with a word at each place
-    back, last, best = [np.zeros((0, len(move)), np.int64)], np.zeros(len(size), np.int64), scores[begin]
+    wide = range(len(move))
+    back, last, best = [np.zeros((0, 0), np.int8)], np.zeros(len(size), np.int64), scores[begin].T.copy()
+    step = [x[:, None] for x in move]
     for t in range(1, deep):
         k = live[t]
-        last[k : live[t - 1]] = best[k:].argmax(1)
-        ways = best[:k, :, None] + move[None]
-        back.append(ways.argmax(1))
-        best = ways.max(1) + scores[begin[:k] + t]
+        if k < live[t - 1]:
+            last[k : live[t - 1]] = best[:, k:].argmax(0)
+        most, of = best[0, :k] + step[0], np.zeros((len(move), k), np.int8)
+        for j in wide[1:]:  # the first of the best
+            way = best[j, :k] + step[j]
+            of[way > most] = j
+            np.maximum(most, way, out=most)
+        back.append(of)
+        best = most + scores[begin[:k] + t].T
     if deep:
-        last[: live[-1]] = best.argmax(1)
+        last[: live[-1]] = best.argmax(0)
     label = np.zeros(0, np.int64)
     for t in range(deep - 1, -1, -1):
         k, longer = live[t], len(label)
         if longer:
-            label = back[t + 1][np.arange(longer), label]
+            label = back[t + 1][label, np.arange(longer)]
         label = np.append(label, last[longer:k])
         out[begin[:k] + t] = label
     return out
@@ -433,7 +472,12 @@ def load(m: Model) -> Callable[[list[str]], list[list[tuple[int, int, str]]]]:
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not len(a):
             return out
-        labels = decoded(m.move, m.start, m.scored(seen, [whole[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], new), new)
+        if m.only_shapes:
+            like, back = alike(whole, a, z)
+            ids = seen.of(like)[back]
+        else:
+            ids = seen.of([whole[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)])
+        labels = decoded(m.move, m.start, m.scored(seen, ids, new), new)
         # a span ends before the next word that begins one or is outside
         same = np.append(False, ~new[1:] & (name_of[labels[1:]] == name_of[labels[:-1]]) & ~begins[labels[1:]])
         first = np.flatnonzero(~same & ~outside[labels])
